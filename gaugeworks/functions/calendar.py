@@ -81,11 +81,14 @@ def add_calendar_features(df: DataFrame, time: str = "timestamp") -> DataFrame:
 
 
 def time_range(ts: Column | str, *ranges: tuple[str, str]) -> Column:
-    """Half-open ranges joined with OR; the raw column is compared, so Parquet can skip row groups."""
+    """Half-open ranges joined with OR; the raw column is compared, so Parquet can skip row groups.
+
+    The bounds stay text literals: Spark turns them into the column's own timestamp type, with or without zone.
+    """
     t = col(ts)
     out = F.lit(False)
     for start, end in ranges:
-        part = (t >= F.lit(start).cast("timestamp")) & (t < F.lit(end).cast("timestamp"))
+        part = (t >= F.lit(start)) & (t < F.lit(end))
         out = part if len(ranges) == 1 else (out | part)
     return out
 

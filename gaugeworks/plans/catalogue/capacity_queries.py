@@ -24,7 +24,7 @@ WEATHER_SQL = """weather AS (SELECT o_orderdate AS "timestamp", o_totalprice / 1
 def weather(spark, folder):
     price = F.col("o_totalprice")
     return T.table(spark, folder, "orders").select(
-        F.col("o_orderdate").cast("timestamp").alias("timestamp"), (price / 10000).alias("temperature"),
+        F.col("o_orderdate").alias("timestamp"), (price / 10000).alias("temperature"),
         F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"), price / 1000).otherwise(0.0).alias("precipitation"),
         (F.col("o_custkey") / 10).alias("wind_speed"))
 

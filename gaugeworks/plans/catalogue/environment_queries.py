@@ -16,7 +16,7 @@ POLLUTANTS = ("pm25", "pm10", "no2", "co")
 
 def air(spark, folder):
     return T.table(spark, folder, "lineitem").select(
-        F.col("l_shipdate").cast("timestamp").alias("timestamp"), F.col("l_quantity").alias("pm25"),
+        F.col("l_shipdate").alias("timestamp"), F.col("l_quantity").alias("pm25"),
         (F.col("l_quantity") * F.col("l_linenumber")).alias("pm10"), (F.col("l_extendedprice") / 1000).alias("no2"), (F.col("l_tax") * 100).alias("co"))
 
 

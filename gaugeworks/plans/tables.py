@@ -18,7 +18,7 @@ def traffic(spark: SparkSession, folder: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
     kind = F.col("event_type")
     return table(spark, folder, "events").select(
-        "event_id", F.col("user_id").alias("sensor_id"), F.col("ts").cast("timestamp").alias("timestamp"),
+        "event_id", F.col("user_id").alias("sensor_id"), F.col("ts").alias("timestamp"),
         F.col("value").alias("vehicle_count"), k.alias("avg_speed"),
         F.when(kind == "error", "high").when(kind == "click", "medium").otherwise("low").alias("congestion_level"),
         kind.alias("road_type"), (k / 10).alias("location_lat"), ((k * 7) % 100 / 10).alias("location_lon"),
@@ -35,7 +35,7 @@ TRAFFIC_SQL = """traffic AS (
 def occupancy(spark: SparkSession, folder: str) -> DataFrame:
     """Room readings: suppliers are sensors, the quantity is the room stock, the undiscounted part is occupied."""
     return table(spark, folder, "lineitem").select(
-        F.col("l_suppkey").alias("sensor_id"), F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+        F.col("l_suppkey").alias("sensor_id"), F.col("l_shipdate").alias("timestamp"),
         F.col("l_quantity").alias("available_rooms"),
         (F.col("l_quantity") * (1 - F.col("l_discount") * 5)).alias("occupied_rooms"),
         (F.col("l_quantity") * F.col("l_linenumber")).alias("guests"),
@@ -50,7 +50,7 @@ OCCUPANCY_SQL = """occupancy AS (
 def fiscal(spark: SparkSession, folder: str) -> DataFrame:
     """Revenue and expense readings by ship date; suppliers are sensors."""
     return table(spark, folder, "lineitem").select(
-        F.col("l_suppkey").alias("sensor_id"), F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+        F.col("l_suppkey").alias("sensor_id"), F.col("l_shipdate").alias("timestamp"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
         (F.col("l_extendedprice") * F.col("l_tax")).alias("expense"),
     )
@@ -65,7 +65,7 @@ def energy(spark: SparkSession, folder: str) -> DataFrame:
     """Load readings by order date; customers are meters, priorities are building types."""
     return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("reading_id"), F.col("o_custkey").alias("meter_id"),
-        F.col("o_orderdate").cast("timestamp").alias("timestamp"), F.col("o_orderpriority").alias("building_type"),
+        F.col("o_orderdate").alias("timestamp"), F.col("o_orderpriority").alias("building_type"),
         F.col("o_totalprice").alias("power_consumption"),
     )
 
@@ -73,3 +73,36 @@ def energy(spark: SparkSession, folder: str) -> DataFrame:
 ENERGY_SQL = """energy AS (
   SELECT o_orderkey AS reading_id, o_custkey AS meter_id, o_orderdate AS "timestamp", o_orderpriority AS building_type,
          o_totalprice AS power_consumption FROM orders)"""
+
+
+def dirty_traffic(spark: SparkSession, folder: str) -> DataFrame:
+    """All events as raw traffic text with defects worked in at fixed places: blanks, bad times, impossible values,
+    copies, copies that differ only in spacing, and conflicting readings of one key."""
+    m = F.col("event_id") % 50
+    e = table(spark, folder, "events").withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(m.isin(9, 10, 11), 2).otherwise(1))))
+    k = F.get_json_object("props", "$.k").cast("double")
+    name = F.concat(F.lit(" u"), F.col("user_id").cast("string"))
+    kind = F.col("event_type")
+    level = F.when(kind == "error", "high").when(kind == "click", "medium").otherwise("low")
+    twin = F.col("copy") == 2
+    return e.select(
+        F.when(m == 1, "  ").when((m == 10) & twin, F.concat(name, F.lit("  "))).otherwise(name).alias("sensor_id"),
+        F.when(m == 2, "bad").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("timestamp"),
+        F.when(m == 3, 95.0).otherwise(k / 10).alias("location_lat"), (k / 5).alias("location_lon"),
+        F.when(m == 4, -F.col("value")).when((m == 11) & twin, F.col("value") + 1).otherwise(F.col("value")).alias("vehicle_count"),
+        F.when(m == 5, float("inf")).when(m != 6, k).alias("avg_speed"),
+        F.when(m == 7, "impossible").when(m == 8, " HIGH ").otherwise(level).alias("congestion_level"),
+        kind.alias("road_type"),
+    )
+
+
+DIRTY_SQL = """dirty AS (
+  SELECT CASE WHEN m = 1 THEN '  ' WHEN m = 10 AND copy = 2 THEN name || '  ' ELSE name END AS sensor_id,
+    CASE WHEN m = 2 THEN 'bad' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS "timestamp",
+    CASE WHEN m = 3 THEN 95.0 ELSE k / 10 END AS location_lat, k / 5 AS location_lon,
+    CASE WHEN m = 4 THEN -value WHEN m = 11 AND copy = 2 THEN value + 1 ELSE value END AS vehicle_count,
+    CASE WHEN m = 5 THEN CAST('Infinity' AS DOUBLE) WHEN m <> 6 THEN k END AS avg_speed,
+    CASE WHEN m = 7 THEN 'impossible' WHEN m = 8 THEN ' HIGH ' WHEN event_type = 'error' THEN 'high' WHEN event_type = 'click' THEN 'medium' ELSE 'low' END AS congestion_level,
+    event_type AS road_type
+  FROM (SELECT *, event_id % 50 AS m, ' u' || CAST(user_id AS VARCHAR) AS name, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
+               unnest(CASE WHEN event_id % 50 IN (9, 10, 11) THEN [1, 2] ELSE [1] END) AS copy FROM events))"""
