@@ -63,7 +63,7 @@ class Sliced:
 
 
 def slice_series(df: DataFrame, keys: Sequence[str], time: str, budget: int | None = None) -> Sliced:
-    """Give rows of oversized series a slice number by time; equal times always share a slice."""
+    """Give rows of oversized series a slice number by time; equal times always share a slice, other series get -1."""
     keys = list(keys)
     budget = row_budget(df, budget)
     big, n_big, largest = oversized_keys(df, keys, budget)
@@ -79,7 +79,7 @@ def slice_series(df: DataFrame, keys: Sequence[str], time: str, budget: int | No
     )
     sliced = (
         checked_join(df, cuts, keys, "left", n_big)
-        .withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
+        .withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(
             F.size(F.filter("_cuts", lambda b: b < t))))
         .drop("_cuts")
     )
@@ -97,20 +97,16 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], before:
     if not s.cut:
         return s
     parts = [*s.keys, "_slice"]
-    numbered = (
-        s.frame.groupBy(*parts).agg(F.count("*").alias("_rows"))
-        .withColumn("_ordinal", F.row_number().over(Window.partitionBy(*s.keys).orderBy("_slice")))
-        .withColumn("_pieces", F.max("_ordinal").over(Window.partitionBy(*s.keys).orderBy(F.col("_ordinal").desc())))
-        .filter(F.col("_pieces") > 1)
-        .select(*parts, "_ordinal")
-    )
+    cut_rows = s.frame.filter(F.col("_slice") >= 0)
+    numbered = cut_rows.groupBy(*parts).agg(F.count("*").alias("_rows")).withColumn(
+        "_ordinal", F.row_number().over(Window.partitionBy(*s.keys).orderBy("_slice"))).select(*parts, "_ordinal")
     targets = numbered.withColumnRenamed("_slice", "_target")
 
     def edge(count: int, forward: bool) -> DataFrame:
         """Edge rows of each slice, offered to the next (or previous) slices and trimmed to ``count`` per slice."""
         nearest = [F.col(c).desc() if forward else F.col(c).asc() for c in order]
         rim = (
-            s.frame.withColumn("_k", F.row_number().over(Window.partitionBy(*parts).orderBy(*nearest)))
+            cut_rows.withColumn("_k", F.row_number().over(Window.partitionBy(*parts).orderBy(*nearest)))
             .filter(F.col("_k") <= count).drop("_k")
             .join(numbered, parts, "inner")
         )
@@ -155,7 +151,7 @@ def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
         return inner.drop(*[f"_v_{n}" for n in values])
     parts = [*s.keys, "_slice"]
     rank = F.struct(*[F.col(c) for c in order])
-    edges = frame.groupBy(*parts).agg(*[
+    edges = frame.filter(F.col("_slice") >= 0).groupBy(*parts).agg(*[
         e for n in values for e in (
             F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), rank)).alias(f"_tail_{n}"),
             F.min_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), rank)).alias(f"_head_{n}"))
