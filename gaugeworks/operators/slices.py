@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.calendar import DAY_SECONDS, epoch, epoch_micros
+from gaugeworks.session import keep
 
 ROW_BUDGET = 4_000_000
 """Rows one task may hold of one series."""
@@ -77,7 +78,8 @@ def slice_series(df: DataFrame, keys: Sequence[str], time: str, budget: int | No
         .groupBy(*keys)
         .agg(F.percentile_approx("_t", fractions, 10 * pieces).alias("_cuts"))
     )
-    sliced = (
+    # The sliced rows feed several branches (halo, slice numbers, windows): they are written once.
+    sliced = keep(
         checked_join(df, cuts, keys, "left", n_big)
         .withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(
             F.size(F.filter("_cuts", lambda b: b < t))))
