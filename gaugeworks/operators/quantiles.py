@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.slices import checked_join, row_budget
@@ -83,28 +83,32 @@ def quantile_values(df: DataFrame, columns: dict[str, tuple[str, float]], rule:
     return exact_quantiles(df, [], columns, rule, budget).first().asDict()
 
 
-def value_ranks(df: DataFrame, value: str, budget: int | None = None) -> DataFrame:
-    """Each distinct non-NULL value with ``copies``, ``below`` (rows smaller) and ``average_rank``.
+def value_ranks(df: DataFrame, value: str, budget: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Each distinct non-NULL value (per group) with ``copies``, ``below`` (rows smaller) and ``average_rank``.
 
     Copies are counted before anything is ordered. If more distinct values remain than one task should order, they
     are split at sketch boundaries and each part is offset by the counts of the parts before it.
     """
-    budget = row_budget(df, budget)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("copies"))
-    distinct = counted.count()
+    by, budget = list(by), row_budget(df, budget)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("copies"))
+    sizes = counted.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.count("*").alias("k")).first()
+    distinct, groups = int(sizes["n"] or 0), int(sizes["k"])
     if distinct <= budget:
-        below = F.sum("copies").over(Window.orderBy(value)) - F.col("copies")
+        below = F.sum("copies").over(Window.partitionBy(*by).orderBy(value)) - F.col("copies")
         ranked = counted.withColumn("below", below)
     else:
         parts = -(-distinct // budget)
-        edges = counted.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-        limits = F.array(*[F.lit(e) for e in sorted(set(edges))])
-        cut = counted.withColumn("_part", F.size(F.filter(limits, lambda b: b < F.col(value))))
-        offsets = cut.groupBy("_part").agg(F.sum("copies").alias("_rows"))
-        offsets = offsets.withColumn("_before", F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).drop("_rows")
-        inner = F.sum("copies").over(Window.partitionBy("_part").orderBy(value)) - F.col("copies")
-        ranked = (cut.withColumn("_inner", inner).join(F.broadcast(offsets), "_part")  # at most `parts` rows
-                  .withColumn("below", F.col("_before") + F.col("_inner")).drop("_part", "_before", "_inner"))
+        keys = by or ["_all"]
+        rows = counted if by else counted.withColumn("_all", F.lit(1))
+        edges = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts).alias("_edges"))
+        cut = checked_join(rows, edges, keys, "inner", groups).withColumn(
+            "_part", F.size(F.filter(F.array_distinct("_edges"), lambda b: b < F.col(value)))).drop("_edges")
+        offsets = cut.groupBy(*keys, "_part").agg(F.sum("copies").alias("_rows"))
+        before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_rows")
+        offsets = offsets.withColumn("_before", before).drop("_rows")
+        inner = F.sum("copies").over(Window.partitionBy(*keys, "_part").orderBy(value)) - F.col("copies")
+        ranked = (checked_join(cut.withColumn("_inner", inner), offsets, [*keys, "_part"], "inner", groups * parts)
+                  .withColumn("below", F.col("_before") + F.col("_inner")).drop("_part", "_before", "_inner", "_all"))
     return ranked.withColumn("average_rank", F.col("below") + (F.col("copies") + 1) / 2)
 
 
@@ -131,6 +135,3 @@ def numbered(df: DataFrame, order: Sequence[str], out: str, budget: int | None =
     inner = F.row_number().over(Window.partitionBy(lead).orderBy(*(rest or [lead])))
     return df.withColumn("_inner", inner).join(ranks, lead, "left").withColumn(out, F.col("below") + F.col("_inner")).drop("_inner", "below")
 
-
-def conditional(value: Column, when: Column) -> Column:
-    return F.when(when, value)
