@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -62,23 +62,42 @@ def band(c: Column | str, upper_bounds: Sequence[float], labels: Sequence[str],
     return out.otherwise(F.lit(labels[-1]))
 
 
-def code_label(c: Column | str, groups: Mapping[str, Sequence[int]], default: str) -> Column:
-    """Label a code column by membership in code groups."""
-    out = F.when(col(c).isNull(), F.lit(None).cast("string"))
-    for label, codes in groups.items():
-        out = out.when(col(c).isin(*codes), F.lit(label))
-    return out.otherwise(F.lit(default))
-
-
 # Public air-quality index categories and their upper bounds.
 AQI_BOUNDS = (50, 100, 150, 200, 300)
-AQI_LABELS = ("Good", "Moderate", "Unhealthy for Sensitive Groups", "Unhealthy", "Very Unhealthy", "Hazardous")
+AQI_LABELS = ("Good", "Moderate", "Unhealthy for sensitive groups", "Unhealthy", "Very unhealthy", "Hazardous")
 
 
 def aqi_category(c: Column | str) -> Column:
     return band(c, AQI_BOUNDS, AQI_LABELS)
 
 
+# Groups of the public weather codes; 51 to 82 are rain or showers and 95 upwards thunderstorms.
+SNOW_CODES = (71, 73, 75, 77, 85, 86)
+CLOUD_CODES = (1, 2, 3, 45, 48)
+
+
+def weather_condition(c: Column | str) -> Column:
+    """Readable condition of a weather code."""
+    code = col(c)
+    return (F.when(code >= 95, "Thunderstorm").when(code.isin(*SNOW_CODES), "Snow").when(code.between(51, 82), "Rain or showers")
+            .when(code.isin(*CLOUD_CODES), "Cloudy or partly cloudy").when(code == 0, "Clear").otherwise("Conditions unavailable"))
+
+
+# Map scales in degrees Fahrenheit and millimetres.
+TEMPERATURE_BOUNDS = (50, 60, 70, 80)
+TEMPERATURE_LABELS = ("below 50", "50 to 60", "60 to 70", "70 to 80", "80 and above")
+PRECIPITATION_BOUNDS = (0.1, 1, 5, 10)
+PRECIPITATION_LABELS = ("below 0.1", "0.1 to 1", "1 to 5", "5 to 10", "10 and above")
+
+
+def temperature_band(c: Column | str) -> Column:
+    return band(c, TEMPERATURE_BOUNDS, TEMPERATURE_LABELS, inclusive=False)
+
+
+def precipitation_band(c: Column | str) -> Column:
+    return band(c, PRECIPITATION_BOUNDS, PRECIPITATION_LABELS, inclusive=False)
+
+
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance."""
     a, b, c, d = (F.radians(col(x)) for x in (lat1, lon1, lat2, lon2))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 # The published metrics of each dataset.
 METRICS = {
-    "traffic": ("vehicle_count", "avg_speed"), "air_quality": ("pm25", "no2"), "weather": ("temperature", "precipitation"),
-    "energy": ("power_consumption",), "occupancy": ("available_rooms", "occupied_rooms", "guests"), "fiscal": ("revenue", "expense"),
+    "traffic": ("vehicle_count", "avg_speed"), "air_quality": ("pm25", "pm10", "no2", "co"),
+    "weather": ("temperature", "humidity", "wind_speed", "precipitation"),
+    "energy": ("power_consumption", "voltage", "current", "power_factor"),
+    "occupancy": ("available_rooms", "occupied_rooms", "guests"), "fiscal": ("revenue", "expense", "net_per_observation"),
 }
 
 

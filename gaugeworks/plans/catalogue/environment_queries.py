@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.columns import aqi_category, band, code_label
+from gaugeworks.functions.columns import aqi_category, precipitation_band, temperature_band, weather_condition
 from gaugeworks.plans import environment as E
 from gaugeworks.plans import tables as T
 from gaugeworks.plans.catalogue.capacity_queries import WEATHER_SQL, weather
@@ -104,15 +104,14 @@ def projection_by_point(spark, folder):
     return reported(E.project_points(samples, range(1996, 2001)))
 
 
-@query("band_classes", """SELECT event_id, CASE WHEN value <= 50 THEN 'Good' WHEN value <= 100 THEN 'Moderate' WHEN value <= 150 THEN 'Unhealthy for Sensitive Groups'
-   WHEN value <= 200 THEN 'Unhealthy' WHEN value <= 300 THEN 'Very Unhealthy' ELSE 'Hazardous' END AS aqi_category,
-  CASE WHEN value < 20 THEN 'cold' WHEN value < 60 THEN 'mild' ELSE 'hot' END AS temperature_band,
-  CASE WHEN k IN (0, 1) THEN 'Clear' WHEN k IN (2, 3) THEN 'Cloudy' WHEN k IN (45, 48) THEN 'Fog' WHEN k IN (51, 53, 55, 61, 63, 65, 80, 81, 82) THEN 'Rain'
-   WHEN k IN (71, 73, 75) THEN 'Snow' ELSE 'Other' END AS condition
+@query("band_classes", """SELECT event_id, CASE WHEN value <= 50 THEN 'Good' WHEN value <= 100 THEN 'Moderate' WHEN value <= 150 THEN 'Unhealthy for sensitive groups'
+   WHEN value <= 200 THEN 'Unhealthy' WHEN value <= 300 THEN 'Very unhealthy' ELSE 'Hazardous' END AS aqi_category,
+  CASE WHEN k < 50 THEN 'below 50' WHEN k < 60 THEN '50 to 60' WHEN k < 70 THEN '60 to 70' WHEN k < 80 THEN '70 to 80' ELSE '80 and above' END AS temperature_band,
+  CASE WHEN value < 0.1 THEN 'below 0.1' WHEN value < 1 THEN '0.1 to 1' WHEN value < 5 THEN '1 to 5' WHEN value < 10 THEN '5 to 10' ELSE '10 and above' END AS precipitation_band,
+  CASE WHEN k >= 95 THEN 'Thunderstorm' WHEN k IN (71, 73, 75, 77, 85, 86) THEN 'Snow' WHEN k BETWEEN 51 AND 82 THEN 'Rain or showers' WHEN k IN (1, 2, 3, 45, 48) THEN 'Cloudy or partly cloudy'
+   WHEN k = 0 THEN 'Clear' ELSE 'Conditions unavailable' END AS condition
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""")
 def band_classes(spark, folder):
-    groups = {"Clear": (0, 1), "Cloudy": (2, 3), "Fog": (45, 48), "Rain": (51, 53, 55, 61, 63, 65, 80, 81, 82), "Snow": (71, 73, 75)}
     return reported(T.traffic(spark, folder).select(
-        "event_id", aqi_category("vehicle_count").alias("aqi_category"),
-        band("vehicle_count", (20, 60), ("cold", "mild", "hot"), inclusive=False).alias("temperature_band"),
-        code_label("avg_speed", groups, "Other").alias("condition")))
+        "event_id", aqi_category("vehicle_count").alias("aqi_category"), temperature_band("avg_speed").alias("temperature_band"),
+        precipitation_band("vehicle_count").alias("precipitation_band"), weather_condition("avg_speed").alias("condition")))
