@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,51 +27,62 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: dict[str, tuple
     """
     keys = list(keys)
     budget = row_budget(df, budget)
-    wanted = sorted({c for c, _ in columns.values()})
+    by_column: dict[str, list[float]] = {}
+    for c, p in columns.values():
+        by_column.setdefault(c, [])
+        if p not in by_column[c]:
+            by_column[c].append(p)
     largest, groups = _largest_group(df, keys)
-    if largest <= budget and rule == "linear":
-        return df.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), p).alias(n) for n, (c, p) in columns.items()])
+    if largest * len(by_column) <= budget and rule == "linear":
+        # one pass over a column's values serves all of its probabilities
+        found = df.groupBy(*keys).agg(*[F.percentile(F.col(f"`{c}`").cast("double"), ps).alias(f"_p_{i}") for i, (c, ps) in enumerate(by_column.items())])
+        at = {c: i for i, c in enumerate(by_column)}
+        return found.select(*keys, *[F.col(f"_p_{at[c]}")[by_column[c].index(p)].alias(n) for n, (c, p) in columns.items()])
+    return _bracketed_quantiles(df, keys, columns, rule, groups)
+
+
+def _bracketed_quantiles(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, float]], rule: str, groups: int) -> DataFrame:
+    marker = keys or ["_all"]
+    wanted = list(columns.values())
+    names = {c: f"_x{i}" for i, c in enumerate(dict.fromkeys(c for c, _ in wanted))}
+    rows = (df if keys else df.withColumn("_all", F.lit(1))).select(*marker, *[F.col(f"`{c}`").cast("double").alias(x) for c, x in names.items()])
 
     # A sketch over n rows is off by at most n/accuracy ranks, so twice that on both sides holds the wanted rank.
     margin = 2.0 / ACCURACY
-    spans = df.groupBy(*keys).agg(*[
-        e for c in wanted for e in (F.count(c).alias(f"_n_{c}"), F.min(F.col(c).cast("double")).alias(f"_min_{c}"),
-                                    F.max(F.col(c).cast("double")).alias(f"_max_{c}"))
-    ], *[
-        e for i, (c, p) in enumerate(columns.values()) for e in (
-            F.percentile_approx(F.col(c).cast("double"), max(0.0, p - margin), ACCURACY).alias(f"_a{i}"),
-            F.percentile_approx(F.col(c).cast("double"), min(1.0, p + margin), ACCURACY).alias(f"_z{i}"))
-    ])
-    for i, (c, p) in enumerate(columns.values()):
+    points = {x: sorted({q for c, p in wanted if names[c] == x for q in (max(0.0, p - margin), min(1.0, p + margin))}) for x in names.values()}
+    spans = rows.groupBy(*marker).agg(*[e for x in names.values() for e in (
+        F.count(x).alias(f"_n{x}"), F.min(x).alias(f"_min{x}"), F.max(x).alias(f"_max{x}"), F.percentile_approx(x, points[x], ACCURACY).alias(f"_s{x}"))])
+    edges = {}
+    for i, (c, p) in enumerate(wanted):
+        x = names[c]
         # Small groups (and the ends) take the full range: rank rounding could step outside a narrow bracket.
-        wide = F.col(f"_n_{c}") <= ACCURACY
-        spans = spans.withColumns({
-            f"_a{i}": F.when(wide | F.lit(p - margin <= 0), F.col(f"_min_{c}")).otherwise(F.col(f"_a{i}")),
-            f"_z{i}": F.when(wide | F.lit(p + margin >= 1), F.col(f"_max_{c}")).otherwise(F.col(f"_z{i}")),
-        })
-    marker = keys or ["_all"]
-    rows = df if keys else df.withColumn("_all", F.lit(1))
-    spans = spans if keys else spans.withColumn("_all", F.lit(1))
-    joined = checked_join(rows.select(*marker, *wanted), spans, marker, "inner", groups)
-    values = reduce(DataFrame.unionByName, [
-        joined.filter(F.col(c).cast("double") <= F.col(f"_z{i}")).select(
-            *marker, F.lit(i).alias("_i"),
-            # all rows below the bracket collapse into one counted entry
-            F.when(F.col(c).cast("double") >= F.col(f"_a{i}"), F.col(c).cast("double")).alias("_v"),
-            F.col(f"_n_{c}").alias("_n"))
-        for i, (c, _) in enumerate(columns.values())
-    ])
-    counted = values.groupBy(*marker, "_i", "_v").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
-    upto = F.sum("_c").over(Window.partitionBy(*marker, "_i").orderBy(F.col("_v").asc_nulls_first()))
-    probability = F.element_at(F.array(*[F.lit(float(p)) for _, p in columns.values()]), F.col("_i") + 1)
-    place = probability * (F.col("_n") - 1)
-    ranked = counted.withColumn("_upto", upto).withColumn("_place", place)
-    low_at = F.floor("_place") if rule == "linear" else F.ceil("_place")
+        wide = F.col(f"_n{x}") <= ACCURACY
+        low, high = (F.col(f"_s{x}")[points[x].index(q)] for q in (max(0.0, p - margin), min(1.0, p + margin)))
+        edges[f"_a{i}"] = F.when(wide | F.lit(p - margin <= 0), F.col(f"_min{x}")).otherwise(low)
+        edges[f"_z{i}"] = F.when(wide | F.lit(p + margin >= 1), F.col(f"_max{x}")).otherwise(high)
+        edges[f"_n{i}"] = F.col(f"_n{x}")
+    spans = spans.select(*marker, *[e.alias(n) for n, e in edges.items()])
+    joined = checked_join(rows, spans, marker, "inner", groups)
+
+    def value(i: int):
+        return F.col(names[wanted[i][0]])
+
+    below = joined.groupBy(*marker).agg(*[e for i in range(len(wanted)) for e in (
+        F.count(F.when(value(i) < F.col(f"_a{i}"), 1)).alias(f"_b{i}"), F.first(f"_n{i}").alias(f"_n{i}"))])
+    hits = F.filter(F.array(*[F.when(value(i).between(F.col(f"_a{i}"), F.col(f"_z{i}")), F.struct(F.lit(i).alias("i"), value(i).alias("v")))
+                              for i in range(len(wanted))]), lambda h: h.isNotNull())
+    counted = (joined.select(*marker, F.explode(hits).alias("_h")).select(*marker, F.col("_h.i").alias("_i"), F.col("_h.v").alias("_v"))
+               .groupBy(*marker, "_i", "_v").agg(F.count("*").alias("_c")))
+    ranks = below.select(*marker, F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_b{i}").alias("_below"), F.lit(float(p)).alias("_p"),
+                         F.col(f"_n{i}").alias("_n")) for i, (_, p) in enumerate(wanted)])).alias("_r")).select(*marker, "_r.*")
+    place = F.col("_p") * (F.col("_n") - 1)
+    upto = F.sum("_c").over(Window.partitionBy(*marker, "_i").orderBy("_v")) + F.col("_below")
+    ranked = checked_join(counted, ranks, [*marker, "_i"], "inner", groups * len(wanted)).withColumns({"_upto": upto, "_place": place})
+    first = F.floor("_place") if rule == "linear" else F.ceil("_place")
     picked = ranked.groupBy(*marker, "_i").agg(
-        F.min(F.when(F.col("_upto") > low_at, F.col("_v"))).alias("_lo"),
-        F.min(F.when(F.col("_upto") > F.ceil("_place"), F.col("_v"))).alias("_hi"),
-        F.max(F.col("_place") - F.floor("_place")).alias("_part"),
-    ).withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part") if rule == "linear" else F.col("_lo"))
+        F.min(F.when(F.col("_upto") > first, F.col("_v"))).alias("_lo"), F.min(F.when(F.col("_upto") > F.ceil("_place"), F.col("_v"))).alias("_hi"),
+        F.max(F.col("_place") - F.floor("_place")).alias("_part"))
+    picked = picked.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part") if rule == "linear" else F.col("_lo"))
     wide_out = picked.groupBy(*marker).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(columns)])
     out = spans.select(*marker).join(wide_out, marker, "left")
     return out if keys else out.drop("_all")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.calendar import in_month, iso_weekday, time_range
 from gaugeworks.functions.columns import band, count_true, ratio
 from gaugeworks.operators.profiles import high_share, with_share
-from gaugeworks.operators.quantiles import percent_rank
+from gaugeworks.operators.quantiles import value_ranks
 
 COUNT, SPEED, LEVEL, TIME = "vehicle_count", "avg_speed", "congestion_level", "timestamp"
 
@@ -81,13 +81,20 @@ def mobility_outlook(traffic: DataFrame, summary_range: tuple[str, str], month:
 
 
 def transport_risk(sensors: DataFrame, k: int = 25) -> DataFrame:
-    """The k most exposed sensors by weighted percent ranks of congestion, volume and slowness."""
-    ranked = percent_rank(sensors, "high_congestion_percent", "congestion_risk")
-    ranked = percent_rank(ranked, "average_vehicle_count", "volume_risk")
-    ranked = percent_rank(ranked.withColumn("_slow", -F.col("average_speed_kmh")), "_slow", "speed_risk").drop("_slow")
+    """The k most exposed sensors by weighted percent ranks of congestion, volume and slowness.
+
+    The three measures are ranked together in long form, so the sensor summary is worked out twice, not six times.
+    """
+    slow = (-F.col("average_speed_kmh")).cast("double")
+    measures = {"congestion_risk": F.col("high_congestion_percent").cast("double"), "volume_risk": F.col("average_vehicle_count").cast("double"), "speed_risk": slow}
+    long = sensors.select("sensor_id", *[c.alias(n) for n, c in measures.items()]).unpivot(["sensor_id"], list(measures), "risk", "value")
+    ranks = value_ranks(long, "value", by=["risk"])
+    totals = ranks.groupBy("risk").agg(F.sum("copies").alias("_total"))
+    shares = long.join(ranks, ["risk", "value"]).join(F.broadcast(totals), "risk")  # three rows
+    wide = shares.groupBy("sensor_id").pivot("risk", list(measures)).agg(F.first(F.col("average_rank") / F.col("_total")))
     score = 100 * (0.5 * F.col("congestion_risk") + 0.3 * F.col("volume_risk") + 0.2 * F.col("speed_risk"))
-    top = ranked.withColumn("convention_risk_score", score).orderBy(F.desc("convention_risk_score"), "sensor_id").limit(k)
-    place = F.row_number().over(Window.orderBy(F.desc("convention_risk_score"), "sensor_id"))
+    top = wide.withColumn("convention_risk_score", score).orderBy(F.desc("convention_risk_score"), "sensor_id").limit(k)
+    place = F.row_number().over(Window.orderBy(F.desc("convention_risk_score"), "sensor_id"))  # k rows
     return top.withColumn("risk_rank", place)
 
 

@@ -19,6 +19,7 @@ from gaugeworks.operators.cleaning import digest_text
 from gaugeworks.operators.facts import METRICS
 from gaugeworks.operators.forecast import publication_violations
 from gaugeworks.operators.quality import older_than_days
+from gaugeworks.session import keep
 from gaugeworks.sources.writers import delete_folders, read_or_empty
 
 FACT_SCHEMA = "dataset string, metric string, day date, observations long, sensors long, mean double, minimum double, maximum double"
@@ -89,8 +90,9 @@ def publish(facts: DataFrame, alerts: DataFrame, root: str, run_id: str, provena
             metrics: Mapping[str, Sequence[str]] = METRICS) -> dict:
     """Publish a run once. The same content again is "unchanged"; other content under the same id is an error."""
     spark = facts.sparkSession
-    facts = facts.select(*[c.split()[0] for c in FACT_SCHEMA.split(", ")])
-    alerts = alerts.select(*ALERT_COLUMNS)
+    # checked, digested and written more than once: worked out a single time
+    facts = keep(facts.select(*[c.split()[0] for c in FACT_SCHEMA.split(", ")]))
+    alerts = keep(alerts.select(*ALERT_COLUMNS))
     raise_on(fact_violations(facts, metrics), "facts")
     raise_on(alert_violations(alerts, tuple(metrics)), "alerts")
     digest = f"{digest_text(facts)}/{digest_text(alerts)}"
