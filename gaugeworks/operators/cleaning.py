@@ -94,15 +94,20 @@ def account(source: DataFrame, accepted: DataFrame, quarantine: DataFrame) -> di
     return {"source": n, "accepted": a, "quarantined": q}
 
 
+def digest_columns(columns) -> list:
+    """Aggregates of an order-free content digest: row count, xor and sum over 60 bits of each row's sha-256."""
+    bits = F.conv(F.substring(row_fingerprint(columns), 1, 15), 16, 10).cast("long")
+    return [F.count("*").alias("rows"), F.coalesce(F.bit_xor(bits), F.lit(0).cast("long")).alias("xor_bits"),
+            F.coalesce(F.sum(bits.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("sum_bits")]
+
+
 def table_digest(df: DataFrame) -> DataFrame:
-    """Order-free content digest: row count, xor and sum over 60 bits of each row's sha-256."""
-    bits = F.conv(F.substring(row_fingerprint(df.columns), 1, 15), 16, 10).cast("long")
-    return df.select(bits.alias("_h")).agg(
-        F.count("*").alias("rows"), F.coalesce(F.bit_xor("_h"), F.lit(0).cast("long")).alias("xor_bits"),
-        F.coalesce(F.sum(F.col("_h").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("sum_bits"))
+    return df.agg(*digest_columns(df.columns))
 
 
-def digest_text(df: DataFrame) -> str:
-    r = table_digest(df).first()
-    return f"{r['rows']}:{r['xor_bits']}:{r['sum_bits']}"
+def digest_of(row) -> str:
+    return f"{row['rows']}:{row['xor_bits']}:{row['sum_bits']}"
 
+
+def digest_text(df: DataFrame) -> str:
+    return digest_of(table_digest(df).first())

@@ -100,17 +100,23 @@ def require_windows(windows: DataFrame, label: str) -> DataFrame:
     return windows
 
 
+def _overall(value: str, weight: str) -> Column:
+    """Weighted mean over all rows of a calendar-sized table."""
+    w = Window.partitionBy()
+    v, n = F.col(value), F.col(weight)
+    return ratio(F.sum(v * n).over(w), F.sum(F.when(v.isNotNull(), n)).over(w))
+
+
 def fiscal_index(monthly: DataFrame, year: int) -> DataFrame:
     """Revenue of each complete month of a year over the observation-weighted year mean."""
     complete = monthly.filter(F.col("complete_month") & F.col("month").startswith(f"{year}-"))
-    annual = complete.agg(weighted_mean("revenue", "observations").alias("annual_revenue"))
-    return complete.crossJoin(annual).select("month", "revenue", "annual_revenue", ratio("revenue", "annual_revenue").alias("fiscal_index"))  # one row
+    out = complete.withColumn("annual_revenue", _overall("revenue", "observations"))
+    return out.select("month", "revenue", "annual_revenue", ratio("revenue", "annual_revenue").alias("fiscal_index"))
 
 
 def pressure_index(monthly: DataFrame, weight: str = "capacity_days") -> DataFrame:
     """Occupancy rate of each month over the day-weighted rate of all months."""
-    annual = monthly.agg(weighted_mean("occupancy_rate", weight).alias("annual_rate"))
-    return monthly.crossJoin(annual).withColumn("pressure_index", ratio("occupancy_rate", "annual_rate"))  # one row
+    return monthly.withColumn("annual_rate", _overall("occupancy_rate", weight)).withColumn("pressure_index", ratio("occupancy_rate", "annual_rate"))
 
 
 # Published planning assumptions per scenario, the average daily rate and the tax rates.

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.calendar import add_calendar_features
-from gaugeworks.functions.columns import flag, pearson
+from gaugeworks.functions.columns import flag, is_finite, pearson
 from gaugeworks.operators.features import TARGETS, checked_parts, chronological_parts, daily_forecast_features, feature_names
 from gaugeworks.session import keep
 
@@ -229,19 +229,18 @@ def prediction_check(saved: DataFrame, again: DataFrame, key: Sequence[str]) ->
     return both.agg(F.count("*").alias("rows"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_difference"))
 
 
-def publication_violations(predictions: DataFrame, targets: Sequence[str] = TARGETS) -> DataFrame:
+def publication_rules(targets: Sequence[str] = TARGETS) -> list[Column]:
     """Counts of prediction lines that may not be published. Columns: kind, target, target_day, origin_day, actual,
     prediction, lower, upper."""
     def count(c: Column, name: str) -> Column:
         return F.count(F.when(c, 1)).alias(name)
-    finite = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in ("prediction", "lower", "upper")])
+    finite = is_finite("prediction") & is_finite("lower") & is_finite("upper")
+    ordered = (F.col("lower") >= 0) & (F.col("lower") <= F.col("prediction")) & (F.col("prediction") <= F.col("upper"))
     test = F.col("kind") == "test"
-    rules = predictions.agg(
-        count(F.datediff("target_day", "origin_day") != 1, "horizon"), count(~finite, "nonfinite"),
-        count(~((F.col("lower") >= 0) & (F.col("lower") <= F.col("prediction")) & (F.col("prediction") <= F.col("upper"))), "bounds"),
-        count(test & (F.col("actual").isNull() | (F.col("actual") < 0) | F.isnan("actual")), "actual"),
+    ahead = F.count(F.when(F.col("kind") == "next_day", 1))
+    return [
+        count(~flag(F.datediff("target_day", "origin_day") == 1), "horizon"), count(~finite, "nonfinite"), count(finite & ~ordered, "bounds"),
+        count(test & ~(is_finite("actual") & flag(F.col("actual") >= 0)), "actual"),
         (F.count("*") - F.count_distinct("kind", "target", "target_day")).alias("duplicate_keys"),
-        (F.lit(2 * len(targets)) - F.count_distinct("kind", "target")).alias("missing_targets"))
-    return rules
-
-
+        (F.lit(2 * len(targets)) - F.count_distinct("kind", "target")).alias("missing_targets"),
+        F.abs(ahead - F.lit(len(targets))).alias("next_day_lines")]

@@ -28,6 +28,8 @@ WEATHER = {
 }
 DURATIONS = (2, 3, 4)
 
+SMALL_TABLE = 1_000_000
+
 INPUTS = ("visitor_fraction", "people_per_room", "people_per_car", "peak_arrival_fraction", "arrival_window_hours", "venue_kwh_per_attendee_day",
           "hotel_incremental_kwh_per_room_night", "room_price", "nonhotel_visitor_spend_per_day", "local_retention_fraction", "event_fixed_cost",
           "event_cost_per_attendee_day", "access_uncertainty_multiplier")
@@ -103,7 +105,14 @@ def catalog(venues: Sequence[str] = tuple(VENUES), weathers: Sequence[str] = tup
 
 
 def with_scenarios(draws: DataFrame, grid: Sequence[tuple[str, str, str, int]] | None = None) -> DataFrame:
-    """One row per draw and scenario, made by exploding a fixed list; a draw keeps its place in its partition."""
+    """One row per draw and scenario, made by exploding a fixed list.
+
+    A small draws table may sit in a single input split; it is spread first, since every draw becomes many rows.
+    Larger tables already come in many splits and keep them.
+    """
+    if draws.count() <= SMALL_TABLE:
+        draws = draws.repartition(draws.sparkSession.sparkContext.defaultParallelism)
+
     def lit_struct(values: Mapping[str, float]) -> Column:
         return F.struct(*[F.lit(float(v)).alias(k) for k, v in values.items()])
     cells = [F.struct(F.lit(s).alias("scenario_id"), F.lit(v).alias("venue"), F.lit(w).alias("weather"), F.lit(d).alias("duration_days"),
@@ -204,27 +213,34 @@ def stress_envelope(draws: DataFrame, attendees: float, level: float = .975, cov
     return out.withColumn("joint_empirical_coverage", F.coalesce(low, F.col("joint_empirical_coverage")))
 
 
-# The three demand-management measures.
-INTERVENTIONS: dict[str, dict[str, Callable[[Column], Column]]] = {
-    "Spread arrivals over 50% longer window": {"arrival_window_hours": lambda v: v * 1.5},
-    "Increase car occupancy by 0.5 people": {"people_per_car": lambda v: v + 0.5},
-    "Reduce venue electricity intensity by 20%": {"venue_kwh_per_attendee_day": lambda v: v * 0.8},
+# The three demand-management measures as (input, factor, addend).
+INTERVENTIONS = {
+    "Spread arrivals over 50% longer window": ("arrival_window_hours", 1.5, 0.0),
+    "Increase car occupancy by 0.5 people": ("people_per_car", 1.0, 0.5),
+    "Reduce venue electricity intensity by 20%": ("venue_kwh_per_attendee_day", 0.8, 0.0),
 }
 CHANGED = ("peak_arriving_vehicles_per_hour", "peak_transit_passengers_per_hour", "private_vehicle_km", "incremental_energy_kwh")
 
 
 def interventions(draws: DataFrame, attendees: float, budget: int | None = None) -> DataFrame:
-    """Absolute and percent effect of each measure in each scenario, paired on the draw."""
+    """Absolute and percent effect of each measure in each scenario, paired on the draw.
+
+    Each draw is spread over scenarios and measures; a measure is a factor and an addend on one input, so the changed
+    demand is one more set of expressions in the same row.
+    """
+    inputs = [i for i, _, _ in INTERVENTIONS.values()]
+    cells = [F.struct(F.lit(n).alias("intervention"), *[e for c in inputs for e in (
+        F.lit(f if c == i else 1.0).alias(f"_f_{c}"), F.lit(a if c == i else 0.0).alias(f"_a_{c}"))]) for n, (i, f, a) in INTERVENTIONS.items()]
     rows = with_scenarios(draws)
+    rows = rows.withColumn("_i", F.explode(F.array(*cells))).select(*rows.columns, "_i.*")
     days, venue, weather = F.col("duration_days"), F.col("_venue"), F.col("_weather")
     base = demand(attendees, days, venue, weather)
-    cells = []
-    for name, change in INTERVENTIONS.items():
-        new = demand(attendees, days, venue, weather, change)
-        effect = [e for m in CHANGED for e in ((new[m] - base[m]).alias(f"{m}_delta"), (100 * ratio(new[m] - base[m], F.nullif(base[m], F.lit(0.0)))).alias(f"{m}_pct"))]
-        cells.append(F.struct(F.lit(name).alias("intervention"), *effect))
-    effects = rows.select(*SCENARIO, F.explode(F.array(*cells)).alias("_e")).select(*SCENARIO, "_e.*")
+    new = demand(attendees, days, venue, weather, {c: lambda v, c=c: v * F.col(f"_f_{c}") + F.col(f"_a_{c}") for c in inputs})
     ids = [*SCENARIO, "intervention"]
+    levels = rows.select(*ids, *[e for m in CHANGED for e in (base[m].alias(f"_b_{m}"), new[m].alias(f"_n_{m}"))])
+    effects = levels.select(*ids, *[e for m in CHANGED for e in (
+        (F.col(f"_n_{m}") - F.col(f"_b_{m}")).alias(f"{m}_delta"),
+        (100 * ratio(F.col(f"_n_{m}") - F.col(f"_b_{m}"), F.nullif(F.col(f"_b_{m}"), F.lit(0.0)))).alias(f"{m}_pct"))])
     columns = [f"{m}_{k}" for m in CHANGED for k in ("delta", "pct")]
     return exact_quantiles(effects, ids, {f"{c}_{q}": (c, p) for c in columns for q, p in QUANTILES.items()}, budget=budget)
 

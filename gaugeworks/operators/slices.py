@@ -23,7 +23,10 @@ ROW_BUDGET = 4_000_000
 BROADCAST_KEYS = 20_000
 """Most oversized series that are still replicated to every task; beyond it they are joined by shuffle."""
 
-MAX_CUTS = 2_000
+BROADCAST_BUCKETS = 1_000_000
+"""Most time buckets of oversized series that are replicated."""
+
+MIN_BUCKETS = 1_024
 
 
 def row_budget(df: DataFrame, given: int | None) -> int:
@@ -32,11 +35,11 @@ def row_budget(df: DataFrame, given: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.gaugeworks.rowBudget", str(ROW_BUDGET)))
 
 
-def oversized_keys(df: DataFrame, keys: Sequence[str], budget: int) -> tuple[DataFrame, int, int]:
-    """Keys with more rows than the budget, how many there are (counted up to the limit), and the largest size."""
-    big = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > budget)
+def oversized_keys(df: DataFrame, keys: Sequence[str], budget: int, *extra: Column) -> tuple[DataFrame, int, int]:
+    """Keys with more rows than the budget, how many there are, and the largest size."""
+    big = df.groupBy(*keys).agg(F.count("*").alias("_n"), *extra).filter(F.col("_n") > budget)
     found = big.agg(F.count("*").alias("k"), F.max("_n").alias("n")).first()
-    return big, int(found["k"]), int(found["n"] or 0)
+    return big.drop("_n"), int(found["k"]), int(found["n"] or 0)
 
 
 def checked_join(left: DataFrame, right: DataFrame, on, how: str, rows: int, limit: int = BROADCAST_KEYS) -> DataFrame:
@@ -64,26 +67,28 @@ class Sliced:
 
 
 def slice_series(df: DataFrame, keys: Sequence[str], time: str, budget: int | None = None) -> Sliced:
-    """Give rows of oversized series a slice number by time; equal times always share a slice, other series get -1."""
+    """Give rows of oversized series a slice number by time; equal times always share a slice, other series get -1.
+
+    Rows of an oversized series are counted in narrow time buckets, and consecutive buckets are gathered into slices
+    of about ``budget`` rows. A row finds its slice by one division and a lookup.
+    """
     keys = list(keys)
     budget = row_budget(df, budget)
-    big, n_big, largest = oversized_keys(df, keys, budget)
+    t = epoch_micros(time)
+    big, n_big, largest = oversized_keys(df, keys, budget, F.min(t).alias("_t0"), F.max(t).alias("_t1"))
     if n_big == 0:
         return Sliced(df, keys, False)
-    pieces = min(MAX_CUTS, -(-largest // budget))
-    fractions = [i / pieces for i in range(1, pieces)]
-    t = epoch_micros(time)
-    cuts = (
-        checked_join(df.select(*keys, t.alias("_t")), big.drop("_n"), keys, "inner", n_big)
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_t", fractions, 10 * pieces).alias("_cuts"))
-    )
+    buckets = max(MIN_BUCKETS, 16 * -(-largest // budget))
+    big = big.withColumn("_width", F.ceil((F.col("_t1") - F.col("_t0") + 1) / F.lit(buckets)).cast("long")).drop("_t1")
+    at = F.floor((t - F.col("_t0")) / F.col("_width")).cast("long")
+    counted = (checked_join(df.select(*keys, time), big, keys, "inner", n_big).groupBy(*keys, at.alias("_bucket")).agg(F.count("*").alias("_n")))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")
+    lookup = counted.select(*keys, "_bucket", F.floor(before / F.lit(budget)).cast("int").alias("_slice"))
+    placed = checked_join(df, big, keys, "left", n_big).withColumn("_bucket", at).drop("_t0", "_width")
     # The sliced rows feed several branches (halo, slice numbers, windows): they are written once.
     sliced = keep(
-        checked_join(df, cuts, keys, "left", n_big)
-        .withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(
-            F.size(F.filter("_cuts", lambda b: b < t))))
-        .drop("_cuts")
+        checked_join(placed, lookup, [*keys, "_bucket"], "left", n_big * buckets, BROADCAST_BUCKETS)
+        .withColumn("_slice", F.coalesce("_slice", F.lit(-1))).drop("_bucket")
     )
     return Sliced(sliced, keys, True, n_big)
 

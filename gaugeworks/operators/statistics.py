@@ -115,14 +115,15 @@ def weekly_decomposition(daily: DataFrame, by: Sequence[str], value: str, day: s
     """
     series = fill_calendar(daily.select(*by, day, value), day, by)
     whole = Window.partitionBy(*by)
-    series = series.filter(F.lit(True)).withColumns({"_n": F.count("*").over(whole), "_ok": F.count(value).over(whole)})
+    series = series.withColumns({"_n": F.count("*").over(whole), "_ok": F.count(value).over(whole)})
     series = series.filter((F.col("_n") >= minimum_days) & (F.col("_ok") == F.col("_n"))).drop("_n", "_ok")
     around = whole.orderBy(day).rowsBetween(-3, 3)
     out = series.withColumn("trend", F.when(F.count(value).over(around) == 7, F.avg(value).over(around)))
     out = out.withColumn("_weekday", F.weekday(day)).withColumn(
         "_effect", F.avg(F.col(value) - F.col("trend")).over(Window.partitionBy(*by, "_weekday")))
-    effects = out.groupBy(*by, "_weekday").agg(F.first("_effect").alias("_effect")).groupBy(*by).agg(F.avg("_effect").alias("_level"))
-    out = out.join(effects, list(by), "left") if by else out.crossJoin(effects)  # one row per series
+    # the mean of the seven weekday effects: each day counts with one over its weekday's number of days
+    share = 1 / F.count("*").over(Window.partitionBy(*by, "_weekday"))
+    out = out.withColumn("_share", share).withColumn("_level", F.sum(F.col("_effect") * F.col("_share")).over(whole) / F.sum("_share").over(whole))
     out = out.withColumn("weekly_component", F.col("_effect") - F.col("_level"))
     return out.withColumn("residual", F.col(value) - F.col("trend") - F.col("weekly_component")).select(
         *by, day, F.col(value).alias("observed"), "trend", "weekly_component", "residual")

@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.columns import is_finite, sums_of
 from gaugeworks.operators.anomaly import ALERT_COLUMNS
-from gaugeworks.operators.cleaning import digest_text
+from gaugeworks.operators.cleaning import digest_columns, digest_of
 from gaugeworks.operators.facts import METRICS
-from gaugeworks.operators.forecast import publication_violations
+from gaugeworks.operators.forecast import publication_rules
 from gaugeworks.operators.quality import older_than_days
 from gaugeworks.session import keep
 from gaugeworks.sources.writers import delete_folders, read_or_empty
@@ -33,7 +33,7 @@ def _partition(root: str, table: str, **keys) -> str:
     return "/".join([root.rstrip("/"), table, *[f"{k}={quote(str(v), safe='')}" for k, v in keys.items()]])
 
 
-def fact_violations(facts: DataFrame, metrics: Mapping[str, Sequence[str]] = METRICS) -> DataFrame:
+def fact_rules(metrics: Mapping[str, Sequence[str]] = METRICS) -> list[Column]:
     """Counts of broken rules over the facts: keys, numbers, bounds, counts and the exact metric set."""
     def count(c):
         return F.count(F.when(c, 1))
@@ -41,26 +41,34 @@ def fact_violations(facts: DataFrame, metrics: Mapping[str, Sequence[str]] = MET
     pair = F.concat_ws("|", "dataset", "metric")
     finite = is_finite("mean") & is_finite("minimum") & is_finite("maximum")
     size = sum(len(ms) for ms in metrics.values())
-    return facts.agg(
+    return [
         (F.count("*") - F.count_distinct("dataset", "metric", "day")).alias("duplicate_keys"), count(F.col("day").isNull()).alias("missing_day"),
         count(~finite).alias("nonfinite"), count(finite & ~((F.col("minimum") <= F.col("mean")) & (F.col("mean") <= F.col("maximum")))).alias("bounds"),
         count(~F.coalesce((F.col("sensors") > 0) & (F.col("sensors") <= F.col("observations")), F.lit(False))).alias("counts"),
         count(~F.array_contains(known, pair)).alias("unknown_metric"),
-        (F.lit(size) - F.count_distinct(F.when(F.array_contains(known, pair), pair))).alias("missing_metric"))
+        (F.lit(size) - F.count_distinct(F.when(F.array_contains(known, pair), pair))).alias("missing_metric")]
+
+
+def fact_violations(facts: DataFrame, metrics: Mapping[str, Sequence[str]] = METRICS) -> DataFrame:
+    return facts.agg(*fact_rules(metrics))
 
 
-def alert_violations(alerts: DataFrame, datasets: Sequence[str] = tuple(METRICS)) -> DataFrame:
+def alert_rules(datasets: Sequence[str] = tuple(METRICS)) -> list[Column]:
     blank = sums_of([F.when(F.coalesce(F.trim(F.col(c)) == "", F.lit(True)), 1).otherwise(0) for c in ("alert_id", "sensor_id", "model_id", "reasons", "observed_at")]) > 0
     bad_kind = ~F.coalesce(F.col("dataset").isin(*datasets) & (F.col("severity") == "review"), F.lit(False))
     bad_time = F.try_to_timestamp(F.col("observed_at")).isNull()
-    return alerts.agg((F.count("*") - F.count_distinct("alert_id")).alias("duplicate_alerts"), F.count(F.when(blank, 1)).alias("blank_fields"),
-                      F.count(F.when(bad_kind, 1)).alias("bad_dataset_or_severity"), F.count(F.when(bad_time, 1)).alias("bad_time"))
+    return [(F.count("*") - F.count_distinct("alert_id")).alias("duplicate_alerts"), F.count(F.when(blank, 1)).alias("blank_fields"),
+            F.count(F.when(bad_kind, 1)).alias("bad_dataset_or_severity"), F.count(F.when(bad_time, 1)).alias("bad_time")]
 
 
-def raise_on(violations: DataFrame, what: str) -> None:
-    found = {k: v for k, v in violations.first().asDict().items() if v}
+def checked_digest(df: DataFrame, rules: Sequence[Column], what: str) -> str:
+    """Content digest of a table that breaks none of the rules; both come from one pass."""
+    row = df.agg(*digest_columns(df.columns), *rules).first().asDict()
+    digest = digest_of({k: row.pop(k) for k in ("rows", "xor_bits", "sum_bits")})
+    found = {k: v for k, v in row.items() if v}
     if found:
         raise ValueError(f"{what} rejected: {found}")
+    return digest
 
 
 def ledger(spark: SparkSession, root: str, kind: str = "runs") -> DataFrame:
@@ -93,9 +101,7 @@ def publish(facts: DataFrame, alerts: DataFrame, root: str, run_id: str, provena
     # checked, digested and written more than once: worked out a single time
     facts = keep(facts.select(*[c.split()[0] for c in FACT_SCHEMA.split(", ")]))
     alerts = keep(alerts.select(*ALERT_COLUMNS))
-    raise_on(fact_violations(facts, metrics), "facts")
-    raise_on(alert_violations(alerts, tuple(metrics)), "alerts")
-    digest = f"{digest_text(facts)}/{digest_text(alerts)}"
+    digest = f"{checked_digest(facts, fact_rules(metrics), 'facts')}/{checked_digest(alerts, alert_rules(tuple(metrics)), 'alerts')}"
     known = _known_digest(spark, root, run_id)
     if known is not None:
         if known != digest:
@@ -181,8 +187,7 @@ def publish_forecast(predictions: DataFrame, root: str, run_id: str, provenance:
     """Forecast lines (held-out test and next day) under the same once-only protocol."""
     spark = predictions.sparkSession
     lines = predictions.select(*[c.split()[0] for c in FORECAST_SCHEMA.split(", ")])
-    raise_on(publication_violations(lines), "forecast")
-    digest = digest_text(lines)
+    digest = checked_digest(lines, publication_rules(), "forecast")
     known = _known_digest(spark, root, run_id, "forecast_runs")
     if known is not None:
         if known != digest:

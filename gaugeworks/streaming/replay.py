@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.calendar import epoch_micros
 from gaugeworks.functions.columns import row_fingerprint
 from gaugeworks.operators.anomaly import ALERT_COLUMNS
-from gaugeworks.operators.cleaning import digest_text
 from gaugeworks.operators.quantiles import numbered
 from gaugeworks.sources.writers import read_or_empty
-from gaugeworks.streaming.publish import ALERT_SCHEMA, alert_violations, raise_on
+from gaugeworks.streaming.publish import ALERT_SCHEMA, alert_rules, checked_digest
 
 BATCH_ROWS = 100
 STORED_SCHEMA = f"{ALERT_SCHEMA}, content_sha256 string, stream_id string, batch_id long"
@@ -42,8 +41,7 @@ def write_batch(frame: DataFrame, root: str, stream_id: str, batch_id: int) -> s
     spark = frame.sparkSession
     rows = frame.select(*ALERT_COLUMNS).persist()
     try:
-        raise_on(alert_violations(rows), "stream batch")
-        digest, size = digest_text(rows), rows.count()
+        digest = checked_digest(rows, alert_rules(), "stream batch")
         mine = (F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)
         seen = read_or_empty(spark, f"{root}/stream_batch", BATCH_SCHEMA).filter(mine).first()
         if seen is not None:
@@ -60,7 +58,7 @@ def write_batch(frame: DataFrame, root: str, stream_id: str, batch_id: int) -> s
         payload = F.to_json(F.struct(*[F.col(c) for c in ALERT_COLUMNS], F.lit(True).alias("replay")))
         outbox = fresh.select(F.col("alert_id").alias("event_id"), payload.alias("payload"), F.lit("pending").alias("delivery_status"))
         outbox.coalesce(1).write.mode("overwrite").parquet(_batch_folder(root, "outbox", stream_id, batch_id))
-        line = spark.range(1).select(F.lit(digest).alias("content_digest"), F.lit(size).cast("long").alias("rows_seen"))
+        line = spark.range(1).select(F.lit(digest).alias("content_digest"), F.lit(int(digest.split(":")[0])).cast("long").alias("rows_seen"))
         line.coalesce(1).write.mode("overwrite").parquet(_batch_folder(root, "stream_batch", stream_id, batch_id))
         return "committed"
     finally:

@@ -40,8 +40,8 @@ def test_analogues(spark):
     assert w.filter("selected").select("candidate_start").distinct().count() == 1
     gap = FS.analogue_windows(FS.daily_summary(fiscal_rows(spark).filter(F.col("day") != dt.date(2025, 4, 9))), 2025, *EVENT)
     assert gap.groupBy("candidate_start").count().filter("count = 3").count() > 0
-    heavy = FS.analogue_windows(FS.daily_summary(fiscal_rows(spark, extra=[(1, 1000.0)])), 2025, *EVENT).filter("historical_start = '2025-04-01'").first()
-    assert heavy["revenue"] == pytest.approx((100 + 101 + 1000 + 102) / 4) and heavy["observations"] == 4
+    heavy = FS.analogue_windows(FS.daily_summary(fiscal_rows(spark, extra=[(1, 1000.0)])), 2025, *EVENT).filter("historical_start = '2025-04-02'").first()
+    assert heavy["revenue"] == pytest.approx((101 + 1000 + 102 + 103) / 4) and heavy["observations"] == 4
     with pytest.raises(ValueError):
         FS.require_windows(FS.analogue_windows(panel, 2024, *EVENT), "April 2024")
 
