@@ -138,10 +138,16 @@ def percent_rank(df: DataFrame, value: str, out: str, budget: int | None = None)
 def numbered(df: DataFrame, order: Sequence[str], out: str, budget: int | None = None) -> DataFrame:
     """Global 1-based row number by ``order`` without sorting everything in one task.
 
-    The leading column is ranked by distinct value; rows then only compete with rows of the same leading value.
+    The leading column is ranked by distinct value; rows then only compete with rows of the same leading value. Where
+    the next column is text, its first two characters split even those, so that a leading value shared by a large part
+    of the rows is numbered by many tasks.
     """
     lead, *rest = order
     ranks = value_ranks(df, lead, budget).select(lead, "below")
-    inner = F.row_number().over(Window.partitionBy(lead).orderBy(*(rest or [lead])))
-    return df.withColumn("_inner", inner).join(ranks, lead, "left").withColumn(out, F.col("below") + F.col("_inner")).drop("_inner", "below")
-
+    text = bool(rest) and df.schema[rest[0]].dataType.typeName() == "string"
+    cut = df.withColumn("_head", F.coalesce(F.substring(rest[0], 1, 2), F.lit("")) if text else F.lit(""))
+    counts = cut.groupBy(lead, "_head").agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_ahead", F.sum("_c").over(Window.partitionBy(lead).orderBy("_head")) - F.col("_c")).drop("_c")
+    inner = F.row_number().over(Window.partitionBy(lead, "_head").orderBy(*(rest or [lead])))
+    return (cut.withColumn("_inner", inner).join(counts, [lead, "_head"]).join(ranks, lead)
+            .withColumn(out, F.col("below") + F.col("_ahead") + F.col("_inner")).drop("_head", "_inner", "_ahead", "below"))

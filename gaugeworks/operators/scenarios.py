@@ -285,11 +285,13 @@ def fiscal_scenarios(draws: DataFrame, attendees: float, days: int = 3, toleranc
 
 
 def invariant_violations(samples: DataFrame, attendees: float) -> DataFrame:
-    """Counts of rows that break the conservation rules, in one aggregate, plus draws whose room demand depends on the venue."""
-    rows = samples.agg(
-        count_true(F.abs(F.col("car_share") + F.col("walk_share") + F.col("transit_share") - 1) > 1e-9).alias("mode_shares"),
-        count_true(F.col("attendee_days") != F.lit(float(attendees)) * F.col("duration_days")).alias("attendee_days"),
-        count_true(F.col("room_nights") != F.col("rooms_per_night") * F.col("duration_days")).alias("room_nights"),
-        count_true(F.col("private_vehicle_km") < 0).alias("vehicle_km"))
-    per = samples.groupBy("draw", "weather", "duration_days").agg((F.max("rooms_per_night") - F.min("rooms_per_night")).alias("_spread"))
-    return rows.crossJoin(per.agg(count_true(F.col("_spread") > 0).alias("rooms_by_venue")))  # one row each
+    """Counts of rows that break the conservation rules, and of cases whose room demand depends on the venue, in one pass."""
+    broken = {
+        "mode_shares": F.abs(F.col("car_share") + F.col("walk_share") + F.col("transit_share") - 1) > 1e-9,
+        "attendee_days": F.col("attendee_days") != F.lit(float(attendees)) * F.col("duration_days"),
+        "room_nights": F.col("room_nights") != F.col("rooms_per_night") * F.col("duration_days"),
+        "vehicle_km": F.col("private_vehicle_km") < 0,
+    }
+    cases = samples.groupBy("draw", "weather", "duration_days").agg(
+        *[count_true(c).alias(n) for n, c in broken.items()], (F.max("rooms_per_night") > F.min("rooms_per_night")).alias("_differs"))
+    return cases.agg(*[F.sum(n).alias(n) for n in broken], count_true(F.col("_differs")).alias("rooms_by_venue"))

@@ -79,12 +79,18 @@ def load_by_year(energy: DataFrame, month: int) -> DataFrame:
         F.avg("power_consumption").alias("avg_power_kw"), F.max("power_consumption").alias("max_power_kw"))
 
 
-def capacity_impact(totals: DataFrame, split: DataFrame, attendees: float) -> DataFrame:
-    """Share of the event days' free rooms an event of that size would take. Both inputs hold one result row set."""
-    rates = split.agg(
-        F.max(F.when(F.col("day_group") == "Event days", F.col("avg_occupancy_rate"))).alias("event_days_rate"),
-        F.max(F.when(F.col("day_group") == "Other", F.col("avg_occupancy_rate"))).alias("other_rate"))
-    one = totals.crossJoin(rates)  # one row each
+def capacity_impact(occupancy: DataFrame, attendees: float, weekdays: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Share of the event days' free rooms an event of that size would take.
+
+    Sensor means and both day-group rates are partial sums of the same scan.
+    """
+    event = iso_weekday(TIME).isin(*weekdays)
+    rate = occupancy_rate()
+    per = occupancy.groupBy("sensor_id").agg(
+        F.avg("available_rooms").alias("c"), F.avg("occupied_rooms").alias("o"), F.avg("guests").alias("g"),
+        *[e for n, when in (("e", event), ("t", ~event)) for e in (F.sum(F.when(when, rate)).alias(f"s{n}"), F.count(F.when(when, rate)).alias(f"n{n}"))])
+    one = per.agg(F.sum("c").alias("total_capacity_rooms"), ratio(F.sum("g"), F.sum("o")).alias("guests_per_occupied_room"),
+                  ratio(F.sum("se"), F.sum("ne")).alias("event_days_rate"), ratio(F.sum("st"), F.sum("nt")).alias("other_rate"))
     occupied = F.col("event_days_rate") * F.col("total_capacity_rooms")
     needed = ratio(F.lit(float(attendees)), "guests_per_occupied_room")
     free = F.col("total_capacity_rooms") - occupied
@@ -100,12 +106,10 @@ def headroom_position(capacity: DataFrame, load: DataFrame, month: str) -> DataF
     place = F.row_number().over(Window.orderBy(F.desc("headroom_pct"), "month"))  # one row per calendar month
     ranked = capacity.select("month", "headroom_pct").withColumn("place", place)
     chosen = F.max(F.when(F.col("month") == month, F.col("place"))).over(Window.partitionBy())
-    return (
-        ranked.withColumn("_at", chosen).agg(
-            F.max("_at").alias("event_month_place"),
-            F.max(F.when(F.col("month") == month, F.col("headroom_pct"))).alias("event_month_headroom"),
-            F.count(F.when(F.col("place") < F.col("_at"), 1)).alias("looser_months"),
-            F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.when(F.col("place") < F.col("_at"), F.struct("place", "month")))),
-                                         lambda s: s["month"])).alias("looser_month_list"))
-        .crossJoin(load.agg(F.max_by("month", F.struct("max_power_kw", "month")).alias("peak_energy_month")))
-    )
+    looser = F.col("place") < F.col("_at")
+    both = ranked.withColumn("_at", chosen).join(load.select("month", "max_power_kw"), "month", "full_outer")
+    listed = F.array_sort(F.collect_list(F.when(looser, F.struct("place", "month"))))
+    return both.agg(
+        F.max("_at").alias("event_month_place"), F.max(F.when(F.col("month") == month, F.col("headroom_pct"))).alias("event_month_headroom"),
+        F.count(F.when(looser, 1)).alias("looser_months"), F.concat_ws(",", F.transform(listed, lambda s: s["month"])).alias("looser_month_list"),
+        F.max_by("month", F.when(F.col("max_power_kw").isNotNull(), F.struct("max_power_kw", "month"))).alias("peak_energy_month"))

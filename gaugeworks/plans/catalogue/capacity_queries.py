@@ -140,8 +140,7 @@ SELECT {num("c", "total_capacity_rooms")}, {num("per_room", "guests_per_occupied
   {num("c - e * c", "event_days_headroom_rooms")}, {num("15000 / per_room", "rooms_needed")}, {num("15000 / per_room / (c - e * c)", "pct_headroom_used")},
   {num("(e * c + 15000 / per_room) / c", "post_event_rate")} FROM x""")
 def capacity_impact(spark, folder):
-    occ = T.occupancy(spark, folder)
-    return reported(C.capacity_impact(C.city_capacity(occ), C.event_day_split(occ), 15000))
+    return reported(C.capacity_impact(T.occupancy(spark, folder), 15000))
 
 
 @query("headroom_position", f"""WITH {T.OCCUPANCY_SQL}, {T.ENERGY_SQL}, {CAPACITY}, {LOAD}, r AS (

@@ -17,7 +17,7 @@ def has_month_data(traffic: DataFrame, month: int) -> bool:
     return not traffic.filter(in_month(TIME, month)).limit(1).isEmpty()
 
 
-def _by_hour(traffic: DataFrame, extra: Column | None = None) -> DataFrame:
+def _by_hour(traffic: DataFrame) -> DataFrame:
     """Hourly sums from which both the overall means and the peak hour follow in one scan."""
     return traffic.groupBy(F.hour(TIME).alias("hour")).agg(
         F.count("*").alias("n"), F.sum(COUNT).alias("sum_count"), F.count(COUNT).alias("n_count"),
@@ -25,9 +25,9 @@ def _by_hour(traffic: DataFrame, extra: Column | None = None) -> DataFrame:
         count_true(F.col(LEVEL) == "high").alias("n_high"))
 
 
-def _peak(hourly: DataFrame) -> list[Column]:
+def _peak() -> list[Column]:
     mean = ratio("sum_count", "n_count")
-    best = F.max(F.struct(mean.alias("m"), (-F.col("hour")).alias("h")))
+    best = F.max(F.when(F.col("n_count") > 0, F.struct(mean.alias("m"), (-F.col("hour")).alias("h"))))
     return [(-best["h"]).alias("peak_hour"), best["m"].alias("peak_hour_average_vehicle_count")]
 
 
@@ -37,7 +37,7 @@ def mobility_summary(traffic: DataFrame, month: int | None = None) -> DataFrame:
         ratio(F.sum("sum_count"), F.sum("n_count")).alias("average_vehicle_count"),
         ratio(F.sum("sum_speed"), F.sum("n_speed")).alias("average_speed_kmh"),
         (100 * ratio(F.sum("n_high"), F.sum("n"))).alias("high_congestion_percent"),
-        *_peak(hourly))
+        *_peak())
 
 
 def hourly_traffic(traffic: DataFrame, month: int | None = None) -> DataFrame:
@@ -68,16 +68,21 @@ def sensor_summary(traffic: DataFrame, month: int | None = None) -> DataFrame:
 
 def mobility_outlook(traffic: DataFrame, summary_range: tuple[str, str], month: int, first_weekday: int = 2,
                      last_weekday: int = 4) -> DataFrame:
-    """Event-season baseline: the summary covers one dated range, the peak hour any year's month; Mon = 0."""
-    days = iso_weekday(TIME).between(first_weekday, last_weekday)
-    summary = traffic.filter(time_range(TIME, summary_range) & days).agg(
-        F.avg(COUNT).alias("average_vehicle_count"), F.avg(SPEED).alias("average_speed_kmh"),
-        high_share().alias("high_congestion_percent"))
-    hourly = _by_hour(traffic.filter(in_month(TIME, month) & days))
-    peak = hourly.agg(*_peak(hourly))
-    # two one-row results
-    return summary.crossJoin(peak).withColumn("mobility_outlook", band(
-        "high_congestion_percent", (30, 40), ("Lower", "Moderate", "Elevated"), inclusive=False))
+    """Event-season baseline: the summary covers one dated range, the peak hour any year's month; Mon = 0.
+
+    Both come from one scan: hourly sums are kept apart by which of the two filters a reading meets.
+    """
+    ranged, monthly = time_range(TIME, summary_range), in_month(TIME, month)
+    rows = traffic.filter(iso_weekday(TIME).between(first_weekday, last_weekday) & (ranged | monthly))
+    hourly = rows.groupBy(F.hour(TIME).alias("hour")).agg(
+        F.sum(F.when(ranged, F.col(COUNT))).alias("c"), F.count(F.when(ranged, F.col(COUNT))).alias("nc"),
+        F.sum(F.when(ranged, F.col(SPEED))).alias("s"), F.count(F.when(ranged, F.col(SPEED))).alias("ns"),
+        count_true(ranged & (F.col(LEVEL) == "high")).alias("high"), count_true(ranged).alias("n"),
+        F.sum(F.when(monthly, F.col(COUNT))).alias("sum_count"), F.count(F.when(monthly, F.col(COUNT))).alias("n_count"))
+    return hourly.agg(
+        ratio(F.sum("c"), F.sum("nc")).alias("average_vehicle_count"), ratio(F.sum("s"), F.sum("ns")).alias("average_speed_kmh"),
+        (100 * ratio(F.sum("high"), F.sum("n"))).alias("high_congestion_percent"), *_peak(),
+    ).withColumn("mobility_outlook", band("high_congestion_percent", (30, 40), ("Lower", "Moderate", "Elevated"), inclusive=False))
 
 
 def transport_risk(sensors: DataFrame, k: int = 25) -> DataFrame:

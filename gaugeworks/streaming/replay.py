@@ -54,10 +54,10 @@ def write_batch(frame: DataFrame, root: str, stream_id: str, batch_id: int) -> s
         if not clash.limit(1).isEmpty():
             raise ValueError("an alert id exists with changed content")
         fresh = marked.join(stored, "alert_id", "left_anti")
-        fresh.coalesce(1).write.mode("overwrite").parquet(_batch_folder(root, "stream_alert", stream_id, batch_id))
+        fresh.write.mode("overwrite").parquet(_batch_folder(root, "stream_alert", stream_id, batch_id))
         payload = F.to_json(F.struct(*[F.col(c) for c in ALERT_COLUMNS], F.lit(True).alias("replay")))
         outbox = fresh.select(F.col("alert_id").alias("event_id"), payload.alias("payload"), F.lit("pending").alias("delivery_status"))
-        outbox.coalesce(1).write.mode("overwrite").parquet(_batch_folder(root, "outbox", stream_id, batch_id))
+        outbox.write.mode("overwrite").parquet(_batch_folder(root, "outbox", stream_id, batch_id))
         line = spark.range(1).select(F.lit(digest).alias("content_digest"), F.lit(int(digest.split(":")[0])).cast("long").alias("rows_seen"))
         line.coalesce(1).write.mode("overwrite").parquet(_batch_folder(root, "stream_batch", stream_id, batch_id))
         return "committed"

@@ -61,3 +61,7 @@ def test_global_numbers(spark):
     want = sorted(((i % 90, i) for i in range(500)))
     assert sorted(got) == [(n, t, i) for n, (t, i) in enumerate(want, 1)]
     assert math.isclose(sum(r[0] for r in got), 500 * 501 / 2)
+    # one leading value for a third of the rows, ordered further by text
+    text = spark.range(300).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("t"), F.md5(F.col("id").cast("string")).alias("name"))
+    numbers = rows(numbered(text, ["t", "name"], "n"), "n", "t", "name")
+    assert [r[1:] for r in sorted(numbers)] == sorted(r[1:] for r in numbers) and sorted(r[0] for r in numbers) == list(range(1, 301))
