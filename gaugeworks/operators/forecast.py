@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -102,15 +104,15 @@ def _assembler(columns: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(columns), outputCol="features")
 
 
-def fit_ridge(train: DataFrame, target: str, penalty: float, columns: Sequence[str] | None = None) -> Model:
+def fit_ridge(train: DataFrame, target: str, penalty: float, columns: Sequence[str] | None = None, stats: tuple[int, float] | None = None) -> Model:
     """Ridge on population-standardised features with a free intercept.
 
     The sum-of-squares penalty maps to the regParam of the normal-equation solver through the row count and the
-    label's population standard deviation.
+    label's population standard deviation (``stats``, looked up unless given).
     """
-    row = train.agg(F.count(target).alias("n"), F.stddev_pop(target).alias("s")).first()
-    strength = penalty / row["n"] * (row["s"] or 0.0)
-    model = LinearRegression(featuresCol="features", labelCol=target, solver="normal", standardization=True, elasticNetParam=0.0, regParam=strength)
+    n, spread = stats or train.agg(F.count(target), F.stddev_pop(target)).first()
+    model = LinearRegression(featuresCol="features", labelCol=target, solver="normal", standardization=True, elasticNetParam=0.0,
+                             regParam=penalty / n * (spread or 0.0))
     return Pipeline(stages=[_assembler(columns or feature_names()), model]).fit(train)
 
 
@@ -139,17 +141,19 @@ class Forecasts:
     models: dict[tuple[str, str], Model] = field(default_factory=dict)
 
 
-def all_predictions(parts: DataFrame, targets: Sequence[str] = TARGETS, forest: bool = True) -> tuple[DataFrame, dict[tuple[str, str], Model]]:
+def all_predictions(parts: DataFrame, targets: Sequence[str] = TARGETS, forest: bool = True, parallel: int = 4) -> tuple[DataFrame, dict[tuple[str, str], Model]]:
+    """Predictions of every candidate for every usable day. The fits are independent jobs and run side by side."""
     usable = parts.filter("usable")
     train = usable.filter(F.col("part") == "train")
-    models: dict[tuple[str, str], Model] = {}
-    tables = [baseline_predictions(parts, targets)]
-    for t in targets:
-        for p in PENALTIES:
-            models[(t, f"ridge_{p:g}")] = fit_ridge(train, t, p)
-        if forest:
-            models[(t, FOREST)] = fit_forest(train, t)
-    tables += [model_predictions(m, usable, t, name) for (t, name), m in models.items()]
+    row = train.agg(*[e for t in targets for e in (F.count(t), F.stddev_pop(t))]).first()
+    stats = {t: (row[2 * i], row[2 * i + 1]) for i, t in enumerate(targets)}
+    tasks = {(t, f"ridge_{p:g}"): (lambda t=t, p=p: fit_ridge(train, t, p, stats=stats[t])) for t in targets for p in PENALTIES}
+    if forest:
+        tasks |= {(t, FOREST): (lambda t=t: fit_forest(train, t)) for t in targets}
+    with ThreadPoolExecutor(parallel) as pool:
+        fits = {k: pool.submit(inheritable_thread_target(train.sparkSession)(fit)) for k, fit in tasks.items()}
+        models = {k: f.result() for k, f in fits.items()}
+    tables = [baseline_predictions(parts, targets)] + [model_predictions(m, usable, t, name) for (t, name), m in models.items()]
     return reduce(DataFrame.unionByName, tables), models
 
 
@@ -158,7 +162,7 @@ def evaluate_forecasts(daily: DataFrame, targets: Sequence[str] = TARGETS, fores
 
     Only the choice per target, its radius and the training means reach the driver.
     """
-    parts = keep(checked_parts(forecast_panel(daily)))
+    parts = checked_parts(keep(forecast_panel(daily)))
     every, models = all_predictions(parts, targets, forest)
     every = keep(every)
     order = {m: i for i, m in enumerate(CANDIDATES)}

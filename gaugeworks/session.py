@@ -31,18 +31,21 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (a single-machine test) is a temporary folder made for the session.
+    Only where that is unset (a single-machine test) is a temporary folder made, one per application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-gw-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-gw-", dir="/tmp")
+    return _OWN[app]
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
