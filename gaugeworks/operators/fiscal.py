@@ -163,7 +163,7 @@ def event_impact(parameters: DataFrame, scenarios: Mapping[str, Mapping[str, flo
     })
 
 
-def distribution_audit(rows: DataFrame, sensor: str, measures: Sequence[str] = MEASURES, budget: int | None = None) -> DataFrame:
+def distribution_audit(rows: DataFrame, measures: Sequence[str] = MEASURES, budget: int | None = None) -> DataFrame:
     """Moments and deciles per measure with the share of negative values."""
     from gaugeworks.operators.profiles import melt
 

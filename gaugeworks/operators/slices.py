@@ -231,11 +231,10 @@ def elapsed_stats(df: DataFrame, keys: Sequence[str], time: str, values: Sequenc
                       f"_full{d}_h_{v}": F.max(f"h_{v}").over(w)}
     filled = buckets.select(*keys, "_b", *[c.alias(n) for n, c in whole.items()])
 
-    everyone = rows.withColumn("_shift", F.lit(0))
-    for d in days:
-        span = d * DAY_SECONDS
-        copies = rows.withColumns({"_e": F.col("_e") + span, "_b": F.col("_b") + span // bucket_seconds, "_shift": F.lit(d)})
-        everyone = everyone.unionByName(copies)
+    # each row also appears, moved ahead by the frame length, in the bucket whose rows' frames begin in its own bucket
+    moved = F.col("_shift") * DAY_SECONDS
+    everyone = rows.withColumn("_shift", F.explode(F.array(*[F.lit(d) for d in (0, *days)]))).withColumns(
+        {"_e": F.col("_e") + moved, "_b": F.col("_b") + (moved / bucket_seconds).cast("long")})
     by_time = Window.partitionBy(*keys, "_b").orderBy("_e")
     cols: dict[str, Column] = {}
     for v in values:

@@ -137,4 +137,4 @@ def _audit(m: str) -> str:
 
 @query("distribution_audit", f"WITH {NET} " + " UNION ALL ".join(_audit(m) for m in X.MEASURES))
 def distribution_audit(spark, folder):
-    return reported(X.distribution_audit(rows(spark, folder), "sensor_id"))
+    return reported(X.distribution_audit(rows(spark, folder)))
