@@ -54,7 +54,7 @@ class DigestIndex:
         """
         batch = uuid.uuid4().hex
         first = F.min(F.struct((-F.col("n_points")).alias("n"), "doc_id", "row")).alias("first")
-        groups = digested.groupBy("text_sha256").agg(first)
+        groups = keep(digested.groupBy("text_sha256").agg(first))  # stored, else the anti-join is moved below the aggregate
         unseen = groups.hint("merge").join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
         self._append(unseen.select("text_sha256", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"),
                                    F.lit(batch).alias("batch")))
