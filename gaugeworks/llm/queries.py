@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module of this subpackage; each module holds the query under its own name and its SQL, where SQL can say it.
 MODULES = {
     "op1_simhash_near_dedup": "simhash",
+    "op2_language_id": "language_id",
     "op5_best_fit_packing": "packing",
     "op8_exact_dedup": "exact_dedup",
     "op9_mixing": "mixing",
