@@ -1,7 +1,7 @@
 """Toxicity of a text: a weighted lexicon matched by Aho-Corasick after folding, normalised by length, with exception phrases.
 
 Folding lower-cases, maps look-alike letters and digits that stand for letters to plain letters and everything else to
-single blanks. The lexicon is learned: whole words and beginnings of words that are much more frequent in toxic than in other
+single blanks; signs at the end of a word are no letters. The lexicon is learned: whole words and beginnings of words that are much more frequent in toxic than in other
 labelled documents, with their log odds as weights. A phrase of two words with a lexicon word in it is an exception where it is
 found in other documents at least as often as in toxic ones; words inside an exception do not count. A text's score is a
 logistic function of the summed weights over a power of its length in words; power, slope and intercept are fitted on labelled
@@ -15,6 +15,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -58,11 +59,13 @@ class Folding(dict):
 
 
 _FOLDING = Folding()
+#: Signs that end a word are marks, not letters.
+_MARKS = re.compile(r"[!$@]+(?![^\W_])")
 
 
 def folded(text: str) -> str:
     """Words of plain letters with one blank before and after each."""
-    words = text.lower().translate(_FOLDING).split()
+    words = _MARKS.sub(" ", text.lower()).translate(_FOLDING).split()
     return f" {' '.join(words)} " if words else " "
 
 
