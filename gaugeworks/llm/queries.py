@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_simhash_near_dedup": "simhash",
     "op2_language_id": "language_id",
+    "op3_secrets": "secrets",
     "op5_best_fit_packing": "packing",
     "op8_exact_dedup": "exact_dedup",
     "op10_toxicity": "toxicity",
