@@ -182,8 +182,12 @@ def _joined(secrets):
     return F.array_join(F.transform(secrets, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of_kinds(*kinds: str):
+    return F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(documents(spark, sf_dir))
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    base = F.filter("secrets", lambda s: s["kind"].isin(*BASE))
+    counts = [F.size(_of_kinds(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    base = _of_kinds(*BASE)
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"))
