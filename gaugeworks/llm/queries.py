@@ -10,6 +10,7 @@ MODULES = {
     "op2_language_id": "language_id",
     "op3_secrets": "secrets",
     "op5_best_fit_packing": "packing",
+    "op6_hmm_scoring": "hmm",
     "op8_exact_dedup": "exact_dedup",
     "op10_toxicity": "toxicity",
     "op9_mixing": "mixing",
