@@ -11,6 +11,7 @@ MODULES = {
     "op3_secrets": "secrets",
     "op5_best_fit_packing": "packing",
     "op6_hmm_scoring": "hmm",
+    "op7_exact_topk": "topk",
     "op8_exact_dedup": "exact_dedup",
     "op10_toxicity": "toxicity",
     "op9_mixing": "mixing",
