@@ -9,6 +9,7 @@ MODULES = {
     "op1_simhash_near_dedup": "simhash",
     "op2_language_id": "language_id",
     "op3_secrets": "secrets",
+    "op4_suffix_dedup": "suffix_dedup",
     "op5_best_fit_packing": "packing",
     "op6_hmm_scoring": "hmm",
     "op7_exact_topk": "topk",
