@@ -34,41 +34,53 @@ BITS = 64
 SEED = 42
 #: Homes of one anchor that one task compares with the anchor's replicas.
 HOMES = 4096
+#: Crowded anchors that may go to every task as a list.
+FEW = 100_000
 #: Pairs that are compared at once inside a task, and shingles that are hashed at once.
 PAIRS, SLICE = 1 << 21, 1 << 16
 
 
-def fingerprint(text: bytes, words_each: int, seed: int = SEED) -> int:
-    """Majority of the bits of the XXH64 of all word shingles, repeats included."""
+def remixed(h: np.ndarray, number: int) -> np.ndarray:
+    """The hashes as they are for number 0, and independent looking ones made of them for others."""
+    if not number:
+        return h
+    x = h * np.uint64(0x9E3779B97F4A7C15 * (2 * number + 1) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def fingerprint(text: bytes, words_each: int, width: int = 1) -> list[int]:
+    """``width`` numbers of 64 bits: majority of the bits of the XXH64 of all word shingles, repeats included."""
     words = text.lower().split()  # of bytes: A-Z only, and the blanks of common.BLANK
     if not words:
-        return 0
+        return [0] * width
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start, joined, n = (end - size).tolist(), b" ".join(words), max(1, len(words) - words_each + 1)
     end = end[min(words_each, len(words)) - 1:].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    digest, ones = xxhash.xxh64_intdigest, np.zeros((width, BITS), np.int64)
     for at in range(0, n, SLICE):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(start[at:at + SLICE], end[at:at + SLICE])], "<u8")  # noqa: B905
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+        h = np.array([digest(joined[a:b], SEED) for a, b in zip(start[at:at + SLICE], end[at:at + SLICE])], "<u8")  # noqa: B905
+        for i in range(width):
+            ones[i] += np.unpackbits(remixed(h, i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], words_each: int, seeds: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], words_each: int, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = [[fingerprint(t, words_each, s) for s in seeds] for _, t in rows_per_task([batch], ("doc_id", "text"))]
-        columns = np.array(marks, np.uint64).reshape(-1, len(seeds)).astype(np.int64).T
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], names=["doc_id", *names_of(seeds)])
+        marks = [fingerprint(t, words_each, width) for _, t in rows_per_task([batch], ("doc_id", "text"))]
+        columns = np.array(marks, np.uint64).reshape(-1, width).astype(np.int64).T
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], names=["doc_id", *names_of(width)])
 
 
-def names_of(seeds: tuple[int, ...]) -> list[str]:
-    return [f"mark{i}" for i in range(len(seeds))]
+def names_of(width: int) -> list[str]:
+    return [f"mark{i}" for i in range(width)]
 
 
-def fingerprints(docs: DataFrame, words_each: int, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """doc_id and one 64-bit fingerprint (signed) for each seed: mark0, mark1, ..."""
-    schema = ", ".join(["doc_id bigint", *(f"{m} bigint" for m in names_of(seeds))])
-    return texts(docs).mapInArrow(partial(_fingerprints, words_each=words_each, seeds=seeds), schema)
+def fingerprints(docs: DataFrame, words_each: int, width: int = 1) -> DataFrame:
+    """doc_id and ``width`` fingerprints of 64 bits (signed): mark0, mark1, ..."""
+    schema = ", ".join(["doc_id bigint", *(f"{m} bigint" for m in names_of(width))])
+    return texts(docs).mapInArrow(partial(_fingerprints, words_each=words_each, width=width), schema)
 
 
 @lru_cache
@@ -94,7 +106,7 @@ def steps_to_anchors(width: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return of_bit, [np.array([mask for _, mask in sorted(f)], np.uint64) for f in flips]
 
 
-def _replicas(batches: Iterator[pa.RecordBatch], marks: list[str], threshold: int) -> Iterator[pa.RecordBatch]:
+def _replicas(batches: Iterator[pa.RecordBatch], marks: list[str], threshold: int, homes_only: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows (anchor, away, node, marks): home is where away is 0."""
     for whole in batches:
         for batch in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
@@ -109,6 +121,9 @@ def _replicas(batches: Iterator[pa.RecordBatch], marks: list[str], threshold: in
                     tag = np.int64((w * BITS + number) << 40)
                     for s in np.unique(syndrome):
                         at, masks = np.flatnonzero(syndrome == s), flips[s]
+                        if homes_only:
+                            yield pa.RecordBatch.from_arrays([pa.array((part[at] ^ masks[0]).astype(np.int64) | tag)], names=["anchor"])
+                            continue
                         anchors = (part[at, None] ^ masks[None, :]).astype(np.int64) | tag
                         home = np.zeros(len(at), np.int64)
                         rows = np.concatenate([np.repeat(at, len(masks)), at])
@@ -171,7 +186,10 @@ def near_links(nodes: DataFrame, marks: list[str], threshold: int, total: int) -
     """Links (a, b) that connect all ``nodes`` (node, marks; a stored table) within the threshold of each other."""
     fields = ", ".join(["anchor bigint", "away tinyint", "node bigint", *(f"{m} bigint" for m in marks)])
     rows = nodes.mapInArrow(partial(_replicas, marks=marks, threshold=threshold), fields)
-    crowded = rows.filter("away = 0").groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / HOMES).alias("lots")).filter("lots > 1")
+    homes = nodes.mapInArrow(partial(_replicas, marks=marks, threshold=threshold, homes_only=True), "anchor bigint")
+    crowded = keep(homes.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / HOMES).alias("lots")).filter("lots > 1"))
+    if crowded.count() <= FEW:
+        crowded = F.broadcast(crowded)
     mine = F.pmod(F.xxhash64("node"), F.coalesce("lots", F.lit(1)))
     lots = F.when(F.col("away") == 0, F.array(mine)).otherwise(F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1)) - 1))
     dealt = rows.join(crowded, "anchor", "left").select("anchor", "away", "node", *marks, F.explode(lots).alias("lot"))
@@ -179,14 +197,14 @@ def near_links(nodes: DataFrame, marks: list[str], threshold: int, total: int) -
     return sorted_rows.mapInArrow(partial(_compare, marks=marks, threshold=threshold, total=total), "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, words_each: int, threshold: int, seeds: tuple[int, ...] = (SEED,), total: int | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, words_each: int, threshold: int, width: int = 1, total: int | None = None) -> DataFrame:
     """doc_id, the fingerprints and component_id (smallest doc_id that links lead to) of every row of ``docs``.
 
-    Two texts are linked where the fingerprints of one of the ``seeds`` differ in at most ``threshold`` bits and those of all
-    seeds in at most ``total`` bits together.
+    Two texts are linked where one of their ``width`` fingerprints differs in at most ``threshold`` bits and all of them differ in
+    at most ``total`` bits together.
     """
-    marks = names_of(seeds)
-    own = keep(fingerprints(docs, words_each, seeds))
+    marks = names_of(width)
+    own = keep(fingerprints(docs, words_each, width))
     nodes = keep(own.groupBy(*marks).agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()))
     roots = keep(components(near_links(nodes.select("node", *marks), marks, threshold, threshold if total is None else total)))
     named = nodes.join(roots, "node").select(*marks, "root", "first_id")
@@ -196,16 +214,16 @@ def near_groups(docs: DataFrame, words_each: int, threshold: int, seeds: tuple[i
     return own.join(linked.unionByName(alone), marks).select("doc_id", *marks, "component_id")
 
 
-def keep_one_of_each_group(docs: DataFrame, words_each: int = 5, threshold: int = 7, seeds: tuple[int, ...] = (SEED, SEED + 1),
-                           total: int = 24) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, words_each: int = 5, threshold: int = 7, width: int = 3, total: int = 33) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group the one with the smallest doc_id.
 
-    The defaults stand for a similarity of 0.8 or more of five-word shingle sets: at Jaccard 0.8 two independent fingerprints
-    differ in about 19 of 128 bits. Rows with a null doc_id stay.
+    The defaults stand for a similarity of 0.8 or more of five-word shingle sets: at Jaccard 0.8 three independent fingerprints
+    differ in about 29 of 192 bits. Rows with a null doc_id stay, and so do repeated rows of the one that stays.
     """
-    groups = near_groups(docs, words_each, threshold, seeds, total)
-    going = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(fresh(docs, "going"))).distinct()
-    return docs.join(going, docs["doc_id"].cast("long") == going[fresh(docs, "going")], "left_anti")
+    groups = near_groups(docs, words_each, threshold, width, total)
+    gone = fresh(docs, "gone")
+    going = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(going, docs["doc_id"].cast("long") == going[gone], "left_anti")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
