@@ -11,7 +11,7 @@ grouped sum, whatever the source's size), and rows only inside the one range of
 
 Defined cases: a null text has size 0; a null source is a source, the last one; a null doc_id is hashed as an empty text;
 repeated rows are separate documents; a source of size 0 has target 0 and takes nothing; an empty table gives an empty result.
-Documents of size 0 follow their place in the order. Other columns are ignored, or passed on by ``mixed_documents``.
+Documents of size 0 follow their place in the order and are never taken more often than ``max_epochs`` either. Other columns are ignored, or passed on by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def repetitions(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     rows = docs.alias("d").join(blocks.alias("t"), here).select(
         "d.row", "d.doc_id", "d.source", "size", "u", "before", "upto", "source_size", "target", "whole", "goal", "d.block")
     inside = (F.col("before") < F.col("goal")) & (F.col("upto") > F.col("goal"))
-    sure = rows.filter(~inside).withColumn("more", (F.col("upto") <= F.col("goal")).cast("long"))
+    sure = rows.filter(~inside).withColumn("more", ((F.col("goal") > 0) & (F.col("upto") <= F.col("goal"))).cast("long"))
     order = Window.partitionBy("source", "block").orderBy("u", "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     split = rows.filter(inside).withColumn("more", (F.col("before") + F.sum("size").over(order) <= F.col("goal")).cast("long"))
     columns = ["row", "doc_id", "source", "size", "u", "source_size", "target", "whole", "goal", "more"]
@@ -167,7 +167,7 @@ r AS (
          sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id) AS upto
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 -- a range of the seeded order is taken whole where it ends at or below the goal
-m AS (SELECT *, CASE WHEN upto <= goal THEN 1 ELSE 0 END AS more FROM r),
+m AS (SELECT *, CASE WHEN goal > 0 AND upto <= goal THEN 1 ELSE 0 END AS more FROM r),
 h AS (SELECT source, max(goal) - coalesce(sum(CASE WHEN more = 1 THEN size END), 0) AS short FROM m GROUP BY source),
 x AS (
   SELECT m.source, arg_min(doc_id, (abs(short - size), u, doc_id)) FILTER (WHERE abs(short - size) < short) AS pick
