@@ -98,28 +98,23 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 def _sequences(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     """Symbols of each text, what the dictionary says about it, and the words it doesn't know with how often they occur."""
     vocabulary: Vocabulary = sent.value
-    known, log_divisor = vocabulary.known, np.log10(vocabulary.divisor)
-    symbol_of = {w: s for w, (s, _) in known.items()}
-    end_log = np.log10(vocabulary.end_count + 0.5)
+    number = {w: i + 1 for i, w in enumerate(vocabulary.known)}  # 0: not in the dictionary
+    symbol = np.array([RARE, *(s for s, _ in vocabulary.known.values())], np.int32)
+    log = np.array([0.0, *(np.log10(c + 0.5) for _, c in vocabulary.known.values())])
+    log_rare, log_divisor, end_log = log * (symbol == RARE), np.log10(vocabulary.divisor), np.log10(vocabulary.end_count + 0.5)
     words_type, times_type = pa.list_(pa.binary()), pa.list_(pa.int32())
     for whole in batches:
         for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
             out = []
             for text in batch.column("text").to_pylist():
                 words = text.lower().split()
-                symbols = np.fromiter((symbol_of.get(w, RARE) for w in words), np.int32, len(words))
-                counted = Counter(words)
-                unknown = {w: m for w, m in counted.items() if w not in known}
-                logs, rare, n_known = 0.0, 0.0, 0
-                for w, m in counted.items():
-                    if w in known:
-                        symbol, c = known[w]
-                        logs += m * np.log10(c + 0.5)
-                        rare += m * np.log10(c + 0.5) * (symbol == RARE)
-                        n_known += m
+                at = np.array([number.get(w, 0) for w in words], np.int64)
+                symbols = symbol[at]
+                unknown = Counter([words[i] for i in np.flatnonzero(at == 0)])
+                n_known = len(words) - unknown.total()
                 n_end = int(vocabulary.end_count > 0)
-                out.append((len(words) + 1, n_known + n_end, logs + end_log - (n_known + 1) * log_divisor, rare, int((symbols == RARE).sum()),
-                            np.append(symbols, END).astype(np.int32), list(unknown), list(unknown.values())))
+                out.append((len(words) + 1, n_known + n_end, float(log[at].sum()) + end_log - (n_known + 1) * log_divisor, float(log_rare[at].sum()),
+                            int((symbols == RARE).sum()), np.append(symbols, np.int32(END)), list(unknown), list(unknown.values())))
             columns = list(zip(*out, strict=True)) if out else [()] * 8
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32()), words_type, times_type]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("draw"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
