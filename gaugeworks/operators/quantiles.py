@@ -140,14 +140,17 @@ def numbered(df: DataFrame, order: Sequence[str], out: str, budget: int | None =
 
     The leading column is ranked by distinct value; rows then only compete with rows of the same leading value. Where
     the next column is text, its first two characters split even those, so that a leading value shared by a large part
-    of the rows is numbered by many tasks.
+    of the rows is numbered by many tasks. Rows without a leading value come first, as in any ascending order.
     """
     lead, *rest = order
-    ranks = value_ranks(df, lead, budget).select(lead, "below")
+    without = df.filter(F.col(lead).isNull()).count()
+    ranks = value_ranks(df, lead, budget).select(F.col(lead).alias("_lead"), (F.col("below") + without).alias("below"))
     text = bool(rest) and df.schema[rest[0]].dataType.typeName() == "string"
     cut = df.withColumn("_head", F.coalesce(F.substring(rest[0], 1, 2), F.lit("")) if text else F.lit(""))
-    counts = cut.groupBy(lead, "_head").agg(F.count("*").alias("_c"))
-    counts = counts.withColumn("_ahead", F.sum("_c").over(Window.partitionBy(lead).orderBy("_head")) - F.col("_c")).drop("_c")
+    counts = cut.groupBy(F.col(lead).alias("_of"), F.col("_head").alias("_with")).agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_ahead", F.sum("_c").over(Window.partitionBy("_of").orderBy("_with")) - F.col("_c")).drop("_c")
     inner = F.row_number().over(Window.partitionBy(lead, "_head").orderBy(*(rest or [lead])))
-    return (cut.withColumn("_inner", inner).join(counts, [lead, "_head"]).join(ranks, lead)
-            .withColumn(out, F.col("below") + F.col("_ahead") + F.col("_inner")).drop("_head", "_inner", "_ahead", "below"))
+    same = F.col(lead).eqNullSafe(F.col("_of")) & (F.col("_head") == F.col("_with"))
+    return (cut.withColumn("_inner", inner).join(counts, same).join(ranks, F.col(lead) == F.col("_lead"), "left")
+            .withColumn(out, F.coalesce("below", F.lit(0)) + F.col("_ahead") + F.col("_inner"))
+            .drop("_head", "_inner", "_ahead", "below", "_of", "_with", "_lead"))

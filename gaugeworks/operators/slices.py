@@ -23,10 +23,11 @@ ROW_BUDGET = 4_000_000
 BROADCAST_KEYS = 20_000
 """Most oversized series that are still replicated to every task; beyond it they are joined by shuffle."""
 
-BROADCAST_BUCKETS = 1_000_000
-"""Most time buckets of oversized series that are replicated."""
+SMALL, TIMELESS = -2, -1
+"""Slices of series that are not cut, and of the rows without a time in those that are: they come before slice 0."""
 
-MIN_BUCKETS = 1_024
+DENSE_ROWS = 2_000
+"""Rows of a series from which elapsed-time frames are put together from time buckets instead of being gone through anew for each row."""
 
 
 def row_budget(df: DataFrame, given: int | None) -> int:
@@ -67,29 +68,26 @@ class Sliced:
 
 
 def slice_series(df: DataFrame, keys: Sequence[str], time: str, budget: int | None = None) -> Sliced:
-    """Give rows of oversized series a slice number by time; equal times always share a slice, other series get -1.
+    """Give rows of oversized series a slice number by time; equal times always share a slice.
 
-    Rows of an oversized series are counted in narrow time buckets, and consecutive buckets are gathered into slices
-    of about ``budget`` rows. A row finds its slice by one division and a lookup.
+    The cuts are quantiles of the row times from a mergeable sketch, so slices hold about ``budget`` rows however the times are
+    spread, and a single far date shifts nothing. Where exactly a cut falls does not show in any result. Rows without a time
+    form a slice of their own before all others, as they come first in an uncut window.
     """
     keys = list(keys)
     budget = row_budget(df, budget)
     t = epoch_micros(time)
-    big, n_big, largest = oversized_keys(df, keys, budget, F.min(t).alias("_t0"), F.max(t).alias("_t1"))
+    big, n_big, largest = oversized_keys(df, keys, budget)
     if n_big == 0:
         return Sliced(df, keys, False)
-    buckets = max(MIN_BUCKETS, 16 * -(-largest // budget))
-    big = big.withColumn("_width", F.ceil((F.col("_t1") - F.col("_t0") + 1) / F.lit(buckets)).cast("long")).drop("_t1")
-    at = F.floor((t - F.col("_t0")) / F.col("_width")).cast("long")
-    counted = (checked_join(df.select(*keys, time), big, keys, "inner", n_big).groupBy(*keys, at.alias("_bucket")).agg(F.count("*").alias("_n")))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")
-    lookup = counted.select(*keys, "_bucket", F.floor(before / F.lit(budget)).cast("int").alias("_slice"))
-    placed = checked_join(df, big, keys, "left", n_big).withColumn("_bucket", at).drop("_t0", "_width")
+    parts = -(-largest // budget)
+    points = [i / parts for i in range(1, parts)]
+    cuts = (checked_join(df.select(*keys, time), big, keys, "inner", n_big).groupBy(*keys)
+            .agg(F.array_distinct(F.coalesce(F.percentile_approx(t, points, 20 * parts), F.array().cast("array<bigint>"))).alias("_cuts")))
+    placed = checked_join(df, cuts, keys, "left", n_big * parts)
+    number = F.size(F.filter("_cuts", lambda c: c < t))
     # The sliced rows feed several branches (halo, slice numbers, windows): they are written once.
-    sliced = keep(
-        checked_join(placed, lookup, [*keys, "_bucket"], "left", n_big * buckets, BROADCAST_BUCKETS)
-        .withColumn("_slice", F.coalesce("_slice", F.lit(-1))).drop("_bucket")
-    )
+    sliced = keep(placed.withColumn("_slice", F.when(F.col("_cuts").isNull(), SMALL).when(t.isNull(), TIMELESS).otherwise(number)).drop("_cuts"))
     return Sliced(sliced, keys, True, n_big)
 
 
@@ -104,7 +102,7 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], before:
     if not s.cut:
         return s
     parts = [*s.keys, "_slice"]
-    cut_rows = s.frame.filter(F.col("_slice") >= 0)
+    cut_rows = s.frame.filter(F.col("_slice") > SMALL)
     numbered = cut_rows.groupBy(*parts).agg(F.count("*").alias("_rows")).withColumn(
         "_ordinal", F.row_number().over(Window.partitionBy(*s.keys).orderBy("_slice"))).select(*parts, "_ordinal")
     targets = numbered.withColumnRenamed("_slice", "_target")
@@ -149,25 +147,24 @@ def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
     frame = s.frame.withColumns({f"_v_{n}": c for n, c in values.items()})
     w = s.window(*order)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    inner = frame.withColumns({
-        **{f"_prev_{n}": F.last(f"_v_{n}", ignorenulls=True).over(back) for n in values},
-        **{f"_next_{n}": F.first(f"_v_{n}", ignorenulls=True).over(ahead) for n in values},
-    })
+    # backwards in time: a frame that only grows is carried along, one that ends at the last row is gone through for every row
+    ahead = s.window(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    inner = frame.withColumns({f"_prev_{n}": F.last(f"_v_{n}", ignorenulls=True).over(back) for n in values})
+    inner = inner.withColumns({f"_next_{n}": F.last(f"_v_{n}", ignorenulls=True).over(ahead) for n in values})
     if not s.cut:
         return inner.drop(*[f"_v_{n}" for n in values])
     parts = [*s.keys, "_slice"]
     rank = F.struct(*[F.col(c) for c in order])
-    edges = frame.filter(F.col("_slice") >= 0).groupBy(*parts).agg(*[
+    edges = frame.filter(F.col("_slice") > SMALL).groupBy(*parts).agg(*[
         e for n in values for e in (
             F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), rank)).alias(f"_tail_{n}"),
             F.min_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), rank)).alias(f"_head_{n}"))
     ])
-    by_slice = Window.partitionBy(*s.keys).orderBy("_slice")
+    by_slice, from_end = (Window.partitionBy(*s.keys).orderBy(o) for o in ("_slice", F.desc("_slice")))
     carried = edges.select(*parts, *[
         e for n in values for e in (
             F.last(f"_tail_{n}", ignorenulls=True).over(by_slice.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_in_{n}"),
-            F.first(f"_head_{n}", ignorenulls=True).over(by_slice.rowsBetween(1, Window.unboundedFollowing)).alias(f"_out_{n}"))
+            F.last(f"_head_{n}", ignorenulls=True).over(from_end.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_out_{n}"))
     ])
     out = inner.join(carried, parts, "left")
     out = out.withColumns({
@@ -187,13 +184,13 @@ def elapsed_stats(df: DataFrame, keys: Sequence[str], time: str, values: Sequenc
                   budget: int | None = None, bucket_seconds: int = 3600) -> DataFrame:
     """Count, mean, sample std, min and max over the prior ``days`` of elapsed time, current timestamp excluded.
 
-    Series within the budget use a range frame. If any series exceeds it, every frame is split in three parts, none
-    of which needs more than one bucket of raw rows in a task: the rest of the row's own bucket, whole buckets
-    (already aggregated), and the end of the bucket in which the frame starts.
+    Short series use a range frame, which Spark goes through anew for every row. If any series has more than
+    ``DENSE_ROWS`` rows (or than the budget), every frame is split in three parts, each of which is carried along or small, and
+    none of which needs more than one bucket of raw rows in a task: the rest of the row's own bucket, whole buckets (already
+    aggregated), and the end of the bucket in which the frame starts.
     """
     keys = list(keys)
-    budget = row_budget(df, budget)
-    _, n_big, _ = oversized_keys(df, keys, budget)
+    _, n_big, _ = oversized_keys(df, keys, min(row_budget(df, budget), DENSE_ROWS))
     base = df.withColumn("_e", epoch(time))
     if n_big == 0:
         out = base
@@ -235,12 +232,12 @@ def elapsed_stats(df: DataFrame, keys: Sequence[str], time: str, values: Sequenc
     moved = F.col("_shift") * DAY_SECONDS
     everyone = rows.withColumn("_shift", F.explode(F.array(*[F.lit(d) for d in (0, *days)]))).withColumns(
         {"_e": F.col("_e") + moved, "_b": F.col("_b") + (moved / bucket_seconds).cast("long")})
-    by_time = Window.partitionBy(*keys, "_b").orderBy("_e")
+    by_time, from_end = (Window.partitionBy(*keys, "_b").orderBy(o) for o in ("_e", F.desc("_e")))
     cols: dict[str, Column] = {}
     for v in values:
         cols |= parts_of(v, F.col("_shift") == 0, "own", by_time.rangeBetween(Window.unboundedPreceding, -1))
         for d in days:
-            cols |= parts_of(v, F.col("_shift") == d, f"edge{d}", by_time.rangeBetween(0, Window.unboundedFollowing))
+            cols |= parts_of(v, F.col("_shift") == d, f"edge{d}", from_end.rangeBetween(Window.unboundedPreceding, 0))
     out = everyone.withColumns(cols).filter(F.col("_shift") == 0).join(filled, [*keys, "_b"], "left")
     final: dict[str, Column] = {}
     for v in values:

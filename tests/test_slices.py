@@ -33,7 +33,20 @@ def test_slices_are_balanced_and_ties_stay_together(hot):
     sizes = [r["n"] for r in s.frame.filter("sensor_id = 'hot'").groupBy("_slice").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) > 8 and max(sizes) <= 60
     assert s.frame.groupBy("sensor_id", "t").agg(F.count_distinct("_slice").alias("k")).filter("k > 1").count() == 0
-    assert s.frame.filter("sensor_id <> 'hot' and _slice <> -1").count() == 0
+    assert s.frame.filter("sensor_id <> 'hot' and _slice <> -2").count() == 0
+
+
+def test_far_dates_and_missing_times_do_not_undo_the_cuts(spark, hot):
+    far = hot.unionByName(spark.createDataFrame([(9000, "hot", 253370764800, 1.0), (9001, "hot", None, 2.0), (9002, "hot", None, None), (9003, "a", None, 3.0)], "id long, sensor_id string, t long, v double")
+                          .withColumn("timestamp", F.timestamp_seconds("t")))
+    s = slice_series(far, ["sensor_id"], "timestamp", 20)
+    sizes = [r["n"] for r in s.frame.filter("sensor_id = 'hot'").groupBy("_slice").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 8 and max(sizes) <= 60
+    order = ["timestamp", "id"]
+    for run in (lambda b: lag_features(far, "sensor_id", ["v"], order, budget=b), lambda b: step_trends(far, "v", "sensor_id", order, budget=b),
+                lambda b: with_carry(far, ["sensor_id"], order, {"v": F.col("v")}, b)):
+        names = sorted(run(1_000_000).columns)
+        assert rows(run(1_000_000), *names) == rows(run(20), *names) == rows(run(3), *names)
 
 
 @pytest.mark.parametrize("before, after", [(1, 0), (24, 0), (0, 1), (7, 7)])
