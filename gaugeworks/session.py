@@ -32,16 +32,25 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 
 
 _OWN: dict[str, str] = {}
+_KEPT: dict[str, list[str]] = {}
+
+
+def is_single_process(master: str) -> bool:
+    """Whether driver and executors share one machine's disk: ``local`` and ``local[...]``, not ``local-cluster[...]``."""
+    return master == "local" or master.startswith("local[")
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (a single-machine test) is a temporary folder made, one per application.
+    Only on a local master, where driver and executors are one process, is a temporary folder made if it is unset, one per
+    application. Elsewhere that is an error, since executors would write to disks that nobody else sees.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not is_single_process(spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="spark-gw-", dir="/tmp")
@@ -61,4 +70,18 @@ def keep(df: DataFrame) -> DataFrame:
     """
     path = new_folder(df.sparkSession, "kept")
     df.write.mode("errorifexists").parquet(path)
+    _KEPT.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_kept(spark: SparkSession) -> int:
+    """Delete the tables that ``keep`` has written in this application so far; returns how many there were.
+
+    To be called when results have been written: DataFrames that still read a kept table fail afterwards.
+    """
+    paths = _KEPT.pop(spark.sparkContext.applicationId, [])
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop).delete(folder, True)
+    return len(paths)
