@@ -16,16 +16,22 @@ METRICS = {
     "occupancy": ("available_rooms", "occupied_rooms", "guests"), "fiscal": ("revenue", "expense", "net_per_observation"),
 }
 
+EXACT = "decimal(28,9)"
+
 
 def daily_facts(df: DataFrame, dataset: str, sensor: str, metrics: Sequence[str], time: str = "timestamp") -> DataFrame:
     """Observations, distinct sensors, mean, min and max of each metric per day, in long form.
 
-    The distinct sensors are counted from (day, sensor) partial sums, so the raw rows are read and shuffled once.
+    The distinct sensors are counted from (day, sensor) partial sums, so the raw rows are read and shuffled once. Sums are exact
+    decimals (each value to nine places), so that a mean, and with it a published digest, does not depend on how the rows
+    were partitioned; a day with a value that is not finite has mean NaN.
     """
     per = df.groupBy(F.to_date(time).alias("day"), sensor).agg(F.count("*").alias("_n"), *[
-        e for m in metrics for e in (F.count(m).alias(f"_c_{m}"), F.sum(m).alias(f"_s_{m}"), F.min(m).alias(f"_l_{m}"), F.max(m).alias(f"_h_{m}"))])
+        e for m in metrics for e in (F.count(m).alias(f"_c_{m}"), F.sum(F.col(m).try_cast(EXACT)).alias(f"_s_{m}"), F.count(F.col(m).try_cast(EXACT)).alias(f"_f_{m}"),
+                                     F.min(m).alias(f"_l_{m}"), F.max(m).alias(f"_h_{m}"))])
     wide = per.groupBy("day").agg(F.sum("_n").alias("observations"), F.count(sensor).alias("sensors"), *[
-        e for m in metrics for e in (F.try_divide(F.sum(f"_s_{m}"), F.sum(f"_c_{m}").cast("double")).alias(f"mean_{m}"),
+        e for m in metrics for e in (F.when(F.sum(f"_c_{m}") > F.sum(f"_f_{m}"), float("nan")).otherwise(
+                                         F.try_divide(F.sum(f"_s_{m}").cast("double"), F.sum(f"_c_{m}").cast("double"))).alias(f"mean_{m}"),
                                      F.min(f"_l_{m}").alias(f"min_{m}"), F.max(f"_h_{m}").alias(f"max_{m}"))])
     lines = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"mean_{m}").cast("double").alias("mean"), F.col(f"min_{m}").cast("double").alias("minimum"),
                                F.col(f"max_{m}").cast("double").alias("maximum")) for m in metrics])

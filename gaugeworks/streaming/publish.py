@@ -1,8 +1,10 @@
 """Versioned publication of daily facts and alerts.
 
 A store is a folder: ``facts/run_id=…`` and ``alerts/run_id=…`` hold the data of a run, ``runs`` the ledger of complete
-runs with their digest, ``publication`` the pointer history. Data is written first, the ledger line next and the
-pointer last, so a run that died half-way is simply written again, and readers never see it.
+runs with their digest, ``publication`` the pointer history, ``removed`` the runs that retention took away. Data is written
+first, the ledger line next and the pointer last. A run that died before its ledger line is written again, one that died
+before its pointer only gets the pointer, and readers never see either. Retention notes a run as removed before it deletes
+anything, so a run that is half deleted is never read or published again.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from gaugeworks.sources.writers import delete_folders, read_or_empty
 FACT_SCHEMA = "dataset string, metric string, day date, observations long, sensors long, mean double, minimum double, maximum double"
 ALERT_SCHEMA = ", ".join(f"{c} string" for c in ALERT_COLUMNS)
 RUN_SCHEMA = "run_id string, digest string, provenance string, created_at timestamp"
+REMOVED_SCHEMA = "run_id string, removed_at timestamp"
 POINTER_SCHEMA = "name string, run_id string, published_at timestamp"
 FORECAST_SCHEMA = "kind string, target string, target_day date, origin_day date, actual double, prediction double, lower double, upper double"
 
@@ -71,8 +74,14 @@ def checked_digest(df: DataFrame, rules: Sequence[Column], what: str) -> str:
     return digest
 
 
+def removed_runs(spark: SparkSession, root: str) -> DataFrame:
+    return read_or_empty(spark, f"{root}/removed", REMOVED_SCHEMA).select("run_id").distinct()
+
+
 def ledger(spark: SparkSession, root: str, kind: str = "runs") -> DataFrame:
-    return read_or_empty(spark, f"{root}/{kind}", RUN_SCHEMA)
+    """Complete runs that are still there."""
+    lines = read_or_empty(spark, f"{root}/{kind}", RUN_SCHEMA)
+    return lines.join(removed_runs(spark, root), "run_id", "left_anti") if kind == "runs" else lines
 
 
 def pointers(spark: SparkSession, root: str) -> DataFrame:
@@ -86,27 +95,47 @@ def _known_digest(spark: SparkSession, root: str, run_id: str, kind: str = "runs
     return row["digest"] if row else None
 
 
+def _append_line(spark: SparkSession, path: str, **values) -> None:
+    spark.range(1).select(*[F.lit(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in values.items()]).coalesce(1).write.mode("append").parquet(path)
+
+
+def _point(spark: SparkSession, root: str, name: str, run_id: str) -> None:
+    _append_line(spark, f"{root}/publication", name=name, run_id=run_id, published_at=F.current_timestamp())
+
+
+def _settled(spark: SparkSession, root: str, run_id: str, digest: str, name: str, kind: str = "runs") -> dict | None:
+    """What to answer for a run id that the store knows; None if it has to be written."""
+    if kind == "runs" and not removed_runs(spark, root).filter(F.col("run_id") == run_id).isEmpty():
+        raise ValueError(f"run {run_id} was removed by retention; publish under a new id")
+    known = _known_digest(spark, root, run_id, kind)
+    if known is None:
+        return None
+    if known != digest:
+        raise ValueError(f"run {run_id} is already stored with another digest; its content cannot be replaced")
+    history = read_or_empty(spark, f"{root}/publication", POINTER_SCHEMA)
+    if not history.filter((F.col("name") == name) & (F.col("run_id") == run_id)).isEmpty():
+        return {"status": "unchanged", "run_id": run_id}
+    _point(spark, root, name, run_id)  # stopped between ledger line and pointer
+    return {"status": "completed", "run_id": run_id}
+
+
 def _record(spark: SparkSession, root: str, run_id: str, digest: str, provenance: str, name: str, kind: str = "runs") -> None:
-    now = F.current_timestamp()
-    line = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(digest).alias("digest"), F.lit(provenance).alias("provenance"), now.alias("created_at"))
-    line.coalesce(1).write.mode("append").parquet(f"{root}/{kind}")
-    point = spark.range(1).select(F.lit(name).alias("name"), F.lit(run_id).alias("run_id"), now.alias("published_at"))
-    point.coalesce(1).write.mode("append").parquet(f"{root}/publication")
+    _append_line(spark, f"{root}/{kind}", run_id=run_id, digest=digest, provenance=provenance, created_at=F.current_timestamp())
+    _point(spark, root, name, run_id)
 
 
 def publish(facts: DataFrame, alerts: DataFrame, root: str, run_id: str, provenance: str = "{}", name: str = "operations",
             metrics: Mapping[str, Sequence[str]] = METRICS) -> dict:
-    """Publish a run once. The same content again is "unchanged"; other content under the same id is an error."""
+    """Publish a run once. The same content again is "unchanged", or "completed" if the first attempt had stopped before its
+    pointer; other content under the same id is an error, and so is an id that retention has removed."""
     spark = facts.sparkSession
     # checked, digested and written more than once: worked out a single time
     facts = keep(facts.select(*[c.split()[0] for c in FACT_SCHEMA.split(", ")]))
     alerts = keep(alerts.select(*ALERT_COLUMNS))
     digest = f"{checked_digest(facts, fact_rules(metrics), 'facts')}/{checked_digest(alerts, alert_rules(tuple(metrics)), 'alerts')}"
-    known = _known_digest(spark, root, run_id)
-    if known is not None:
-        if known != digest:
-            raise ValueError("the run id exists with different content; use a new version")
-        return {"status": "unchanged", "run_id": run_id}
+    settled = _settled(spark, root, run_id, digest, name)
+    if settled:
+        return settled
     facts.write.mode("overwrite").parquet(_partition(root, "facts", run_id=run_id))
     alerts.write.mode("overwrite").parquet(_partition(root, "alerts", run_id=run_id))
     add_dimensions(facts, root)
@@ -123,7 +152,7 @@ def add_dimensions(facts: DataFrame, root: str) -> None:
     spark = facts.sparkSession
     dates = read_or_empty(spark, f"{root}/dim_date", "day date, year int, month int, weekday int")
     date_rows(facts).join(dates.select("day"), "day", "left_anti").coalesce(1).write.mode("append").parquet(f"{root}/dim_date")
-    note = "Observation mean; units unconfirmed; not a city total"
+    note = "mean over the observations of the day, in the unit of the source"
     names = read_or_empty(spark, f"{root}/dim_metric", "dataset string, metric string, description string")
     new = facts.select("dataset", "metric").distinct().join(names.select("dataset", "metric"), ["dataset", "metric"], "left_anti")
     new.withColumn("description", F.lit(note)).coalesce(1).write.mode("append").parquet(f"{root}/dim_metric")
@@ -145,14 +174,17 @@ def read_published(spark: SparkSession, root: str, name: str = "operations") ->
 
 
 def retention_candidates(spark: SparkSession, root: str, keep_days: int = 90, now: str | None = None, apply: bool = False) -> DataFrame:
-    """Runs older than the limit that are not published; with ``apply`` their data folders are removed."""
+    """Runs older than the limit that are not published; with ``apply`` they are noted as removed and their data folders deleted."""
     if not isinstance(keep_days, int) or isinstance(keep_days, bool) or keep_days < 1:
         raise ValueError("keep_days must be a positive integer")
     at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
     old = ledger(spark, root).filter(older_than_days(F.col("created_at"), at, keep_days)).select("run_id")
     out = old.join(pointers(spark, root).select("run_id"), "run_id", "left_anti")
     if apply:
+        out = keep(out)
         runs = [r["run_id"] for r in out.collect()]  # one line per run
+        if runs:
+            out.withColumn("removed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/removed")
         delete_folders(spark, [_partition(root, t, run_id=r) for r in runs for t in ("facts", "alerts")])
     return out
 
@@ -188,11 +220,9 @@ def publish_forecast(predictions: DataFrame, root: str, run_id: str, provenance:
     spark = predictions.sparkSession
     lines = predictions.select(*[c.split()[0] for c in FORECAST_SCHEMA.split(", ")])
     digest = checked_digest(lines, publication_rules(), "forecast")
-    known = _known_digest(spark, root, run_id, "forecast_runs")
-    if known is not None:
-        if known != digest:
-            raise ValueError("the forecast run exists with different content; use a new version")
-        return {"status": "unchanged", "run_id": run_id}
+    settled = _settled(spark, root, run_id, digest, "fiscal", "forecast_runs")
+    if settled:
+        return settled
     lines.write.mode("overwrite").parquet(_partition(root, "predictions", run_id=run_id))
     _record(spark, root, run_id, digest, provenance, "fiscal", "forecast_runs")
     return {"status": "published", "run_id": run_id}

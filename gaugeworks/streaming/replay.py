@@ -66,12 +66,20 @@ def write_batch(frame: DataFrame, root: str, stream_id: str, batch_id: int) -> s
 
 
 def replay(spark: SparkSession, folder: str, root: str, stream_id: str, checkpoint: str) -> list[int]:
-    """Stream the replay files, one per trigger, into the store; returns the rows of each processed batch."""
+    """Stream the replay files, one per trigger, into the store; returns the rows of each processed batch, by the batch ledger."""
+    done: list[int] = []
+
+    def store(frame: DataFrame, batch: int) -> None:
+        write_batch(frame, root, stream_id, int(batch))
+        done.append(int(batch))
+
     source = spark.readStream.schema(ALERT_SCHEMA).option("maxFilesPerTrigger", 1).json(folder)
-    run = (source.select(*ALERT_COLUMNS).writeStream.foreachBatch(lambda frame, batch: write_batch(frame, root, stream_id, int(batch)) and None)
+    run = (source.select(*ALERT_COLUMNS).writeStream.foreachBatch(store)
            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     run.awaitTermination()
-    return [p["numInputRows"] for p in run.recentProgress if p["numInputRows"]]
+    lines = read_or_empty(spark, f"{root}/stream_batch", BATCH_SCHEMA).filter(F.col("stream_id") == stream_id).select("batch_id", "rows_seen").collect()
+    seen = {r["batch_id"]: r["rows_seen"] for r in lines}  # one line per batch
+    return [seen[b] for b in done]
 
 
 def stored_alerts(spark: SparkSession, root: str) -> DataFrame:
