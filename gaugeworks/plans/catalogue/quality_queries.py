@@ -160,10 +160,9 @@ h AS (SELECT sensor_id, count(*) AS total_readings, min("timestamp") AS a, max("
   round(100.0 * (count(*) - count(vehicle_count)) / count(*), 2) AS m1, round(100.0 * (count(*) - count(avg_speed)) / count(*), 2) AS m2, var_samp(vehicle_count) AS v1, var_samp(avg_speed) AS v2 FROM g GROUP BY 1),
 s AS (SELECT *, floor(greatest(0.0, 100 - (m1 + m2) / 2 - CASE WHEN coalesce(v1, 0) = 0 OR coalesce(v2, 0) = 0 THEN 25 ELSE 0 END - CASE WHEN mg > 3 * ag THEN 15 ELSE 0 END) * 100 + 0.5000001) / 100 AS health_score FROM h)
 SELECT sensor_id, total_readings, {moment("a", "first_reading")}, {moment("z", "last_reading")}, {num("m1", "vehicle_count_missing_pct")}, {num("v1", "vehicle_count_variance")}, {num("v2", "avg_speed_variance")},
-  {num("m2", "avg_speed_missing_pct")}, CASE WHEN health_score > 80 THEN 'healthy' WHEN health_score > 60 THEN 'warning' ELSE 'critical' END AS status FROM s""")
+  {num("m2", "avg_speed_missing_pct")}, {num("ag", "avg_gap_minutes")}, {num("mg", "max_gap_minutes")}, {num("health_score", "health_score")}, CASE WHEN health_score > 80 THEN 'healthy' WHEN health_score > 60 THEN 'warning' ELSE 'critical' END AS status FROM s""")
 def sensor_health(spark, folder):
-    h = Q.sensor_health(holes(spark, folder), "sensor_id", ["vehicle_count", "avg_speed"])
-    return reported(h.drop("avg_gap_minutes", "max_gap_minutes", "health_score"))
+    return reported(Q.sensor_health(holes(spark, folder), "sensor_id", ["vehicle_count", "avg_speed"]))
 
 
 def _missing(group: str) -> str:

@@ -28,24 +28,34 @@ def test_linear_trend(spark):
 
 
 def test_weekly_decomposition(spark):
-    values = [i * .1 + math.sin(i * 2 * math.pi / 7) for i in range(84)]
-    full = S.weekly_decomposition(daily(spark, values), ["series"], "value").filter("trend is not null").collect()
-    assert len(full) == 78 and all(r["observed"] == pytest.approx(r["trend"] + r["weekly_component"] + r["residual"]) for r in full)
-    assert S.weekly_decomposition(daily(spark, values, skip=[10]), ["series"], "value").count() == 0
-    assert S.weekly_decomposition(daily(spark, values[:10]), ["series"], "value").count() == 0
-
-
-def test_prior_patterns_ignore_the_future(spark):
-    values = [i * .1 + math.sin(i * 2 * math.pi / 7) for i in range(84)]
-    base = S.prior_weekday_deviation(daily(spark, values), ["series"], "value")
-    later = S.prior_weekday_deviation(daily(spark, [v + (1000 if i >= 65 else 0) for i, v in enumerate(values)]), ["series"], "value")
-    cut = START + dt.timedelta(65)
-    assert rows(base.filter(F.col("day") < cut)) == rows(later.filter(F.col("day") < cut))
-    current = S.prior_weekday_deviation(daily(spark, [v + (1000 if i == 60 else 0) for i, v in enumerate(values)]), ["series"], "value")
-    at = F.col("day") == START + dt.timedelta(60)
-    assert rows(base.filter(at), "expected") == rows(current.filter(at), "expected")
-    flat = S.prior_weekday_deviation(daily(spark, [1.0] * 84), ["series"], "value")
-    assert flat.filter("review_flag is not null").count() == 0
+    """Against a plain centred seven-day mean and weekday means of what it leaves, on a noisy series."""
+    rng = np.random.default_rng(12)
+    values = 50 + 0.3 * np.arange(70) + np.tile([4, 0, -1, -2, -3, 1, 1], 10) + rng.normal(0, .5, 70)
+    got = {r["day"]: r for r in S.weekly_decomposition(daily(spark, values), ["series"], "value").collect()}
+    trend = {i: values[i - 3:i + 4].mean() for i in range(3, 67)}
+    assert {i for i in range(70) if got.get(START + dt.timedelta(i)) and got[START + dt.timedelta(i)]["trend"] is not None} == set(trend)
+    for i, t in trend.items():
+        r = got[START + dt.timedelta(i)]
+        assert r["trend"] == pytest.approx(t) and r["trend"] + r["weekly_component"] + r["residual"] == pytest.approx(values[i])
+    parts = {(START + dt.timedelta(i)).weekday(): got[START + dt.timedelta(i)]["weekly_component"] for i in trend}
+    assert sum(parts.values()) == pytest.approx(0, abs=1e-9) and parts[START.weekday()] == max(parts.values())
+    for holes in ([35], range(12, 70)):  # a day is missing; fewer than two weeks
+        assert S.weekly_decomposition(daily(spark, values, skip=holes), ["series"], "value").isEmpty()
+
+
+@pytest.mark.parametrize("shift", [-400.0, 25.0])
+def test_expected_values_come_from_the_past_only(spark, shift):
+    """Whatever happens from one day on, that day's own value included, what was expected up to it stays."""
+    rng = np.random.default_rng(31)
+    values = rng.gamma(4, 10, 91)
+    turn = 70
+    bent = np.where(np.arange(91) >= turn, values + shift, values)
+    plain, changed = ({r["day"]: r["expected"] for r in S.prior_weekday_deviation(daily(spark, v), ["series"], "value").collect()} for v in (values, bent))
+    days = [START + dt.timedelta(i) for i in range(91)]
+    assert [plain.get(d) for d in days[:turn + 1]] == [changed.get(d) for d in days[:turn + 1]]
+    assert any(plain.get(d) != changed.get(d) for d in days[turn + 7:])
+    same = S.prior_weekday_deviation(daily(spark, [6.5] * 91), ["series"], "value")
+    assert same.filter("review_flag").isEmpty()
 
 
 def test_median_flags(spark):
@@ -114,17 +124,28 @@ def test_rank_correlation(spark):
     assert r["observations"] == 4 and r["spearman"] == pytest.approx(1) and r["pearson"] < 1
 
 
-def test_prior_window_boundaries(spark):
-    day = 86400
-    d = spark.createDataFrame([("a", t * day, v) for t, v in ((1, 10.0), (2, 20.0), (20, 1000.0))], "sensor string, t long, v double").withColumn("timestamp", F.timestamp_seconds("t"))
-    got = X.lag_features(X.prior_window_features(d, "sensor", ["v"]), "sensor", ["v"]).orderBy("t").collect()
-    assert got[1]["v_prior_7d_mean"] == 10 and got[2]["v_prior_7d_count"] == 0 and got[2]["v_prior_7d_mean"] is None
-    assert got[2]["v_prior_30d_mean"] == 15 and got[1]["v_change_per_hour"] == pytest.approx(10 / 24)
-    edge = spark.createDataFrame([("a", t * day, v) for t, v in ((0, 0.0), (23, 5.0), (30, 7.0))], "sensor string, t long, v double").withColumn("timestamp", F.timestamp_seconds("t"))
-    for budget in (None, 1):
-        r = X.prior_window_features(edge, "sensor", ["v"], budget=budget).orderBy("t").collect()[2]
-        assert r["v_prior_7d_count"] == 1 and r["v_prior_30d_count"] == 2
-    assert X.lag_features(edge, "sensor", ["v"]).orderBy("t").collect()[1]["v_pct_change"] is None
+@pytest.mark.parametrize("budget", [None, 1])
+def test_elapsed_windows_against_a_plain_loop(spark, budget):
+    """Readings at odd seconds, some exactly 7 or 30 days apart, several at one time."""
+    rng = np.random.default_rng(77)
+    times = sorted({int(t) for t in rng.integers(0, 60 * 86400, 40)})
+    times += [times[3] + 7 * 86400, times[5] + 30 * 86400, times[9]]
+    data = [("k", t, None if i % 9 == 4 else float(rng.integers(0, 100))) for i, t in enumerate(times)]
+    table = spark.createDataFrame(data, "sensor string, t long, v double").withColumn("timestamp", F.timestamp_seconds("t"))
+    got = X.prior_window_features(table, "sensor", ["v"], budget=budget).collect()
+    assert len(got) == len(data)
+    for r in got:
+        for days in (7, 30):
+            past = [v for _, t, v in data if r["t"] - days * 86400 <= t < r["t"] and v is not None]
+            assert r[f"v_prior_{days}d_count"] == len(past)
+            assert r[f"v_prior_{days}d_mean"] == (pytest.approx(np.mean(past)) if past else None)
+            assert (r[f"v_prior_{days}d_min"], r[f"v_prior_{days}d_max"]) == ((pytest.approx(min(past)), pytest.approx(max(past))) if past else (None, None))
+
+
+def test_changes_between_readings(spark):
+    table = spark.createDataFrame([("k", 0, 8.0), ("k", 7200, 6.0), ("k", 10800, 0.0), ("k", 14400, 3.0)], "sensor string, t long, v double").withColumn("timestamp", F.timestamp_seconds("t"))
+    got = X.lag_features(table, "sensor", ["v"]).orderBy("t").collect()
+    assert [r["v_change_per_hour"] for r in got] == [None, -1.0, -6.0, 3.0] and got[3]["v_pct_change"] is None
 
 
 def test_chronological_pairs(spark):
