@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view as windows
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,7 +109,10 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
             if parts and size + len(part) > SLICE:
                 yield made()
                 parts, rows, offsets, size = [], [], [], 0
-            parts, rows, offsets, size = [*parts, part], [*rows, row], [*offsets, at], size + len(part)
+            parts.append(part)
+            rows.append(row)
+            offsets.append(at)
+            size += len(part)
     if parts:
         yield made()
 
@@ -161,8 +165,7 @@ def cover_ranks(text: np.ndarray, place: np.ndarray, end: np.ndarray, where: np.
     at = np.flatnonzero(chosen[place])
     length = end[at] - at
     width = int(length.max()) if len(at) else 0
-    column = np.arange(width)
-    strings = np.where(column < length[:, None], text[np.minimum(at[:, None] + column, len(text) - 1)], 0).astype(np.uint8)
+    strings = windows(np.append(text, np.zeros(width, np.uint8)), width)[at] * (np.arange(width) < length[:, None])
     ranks = np.full(len(text), -1)
     if len(at):
         _, ranks[at] = np.unique(np.ascontiguousarray(strings).view(f"S{width}").ravel(), return_inverse=True)
@@ -171,7 +174,7 @@ def cover_ranks(text: np.ndarray, place: np.ndarray, end: np.ndarray, where: np.
 
 def sorted_suffixes(text: np.ndarray, place: np.ndarray, end: np.ndarray, at: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``at`` within their buckets, and which of them tie on COVER bytes with the one before."""
-    words = text[at[:, None] + np.arange(COVER)].view(">u8").astype(np.uint64)
+    words = windows(text, COVER)[at].view(">u8").astype(np.uint64)
     order = np.lexsort((*words.T[::-1], bucket))
     tie = np.zeros(len(order), bool)
     a, b = order[1:], order[:-1]
@@ -210,10 +213,10 @@ def repeated_windows(parts: list[bytes], bucket: np.ndarray, doc: np.ndarray, ta
     order, tie = sorted_suffixes(text, place, ends[owner], at, bucket[segment])
     same = np.zeros(len(order), bool)
     pairs = np.flatnonzero(tie)
-    for i in range(0, len(pairs), 1 << 16):
-        p = pairs[i:i + (1 << 16)]
+    for i in range(0, len(pairs), 1 << 15):
+        p = pairs[i:i + (1 << 15)]
         x, y = at[order[p]], at[order[p - 1]]
-        same[p] = (text[x[:, None] + np.arange(LENGTH)] == text[y[:, None] + np.arange(LENGTH)]).all(1)
+        same[p] = (windows(text, LENGTH)[x] == windows(text, LENGTH)[y]).all(1)
     number = np.empty(len(at), np.int64)  # order of the windows in the corpus
     by_place = np.lexsort((start[segment] + window, tag[segment], doc[segment]))
     x, y = by_place[1:], by_place[:-1]
@@ -320,7 +323,8 @@ def _removed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.
 def repeated_runs(rows: DataFrame) -> DataFrame:
     """Runs (doc, tag, start, n) of windows of LENGTH bytes that also start earlier; ``rows`` is (doc, tag, text)."""
     found = rows.mapInArrow(_segments, SEGMENTS)
-    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # stored, so that both sides of the join are dealt out by it and Spark can split a crowded bucket
+    shared = keep(found.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
     stored = keep(found.join(shared, "h"))
     here = ["doc", "tag", "start", "n"]
     gone = stored.filter("gone").select(*here)
@@ -328,7 +332,7 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     first = keep(left.groupBy("h", "sh", "n").agg(F.min(F.struct("doc", "tag", "start")).alias("first")))
     later = left.join(first, ["h", "sh", "n"]).filter(F.struct("doc", "tag", "start") != F.col("first")).select(*here)
 
-    unlike = first.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("h", F.ceil(F.col("members") / BLOCK).alias("lots"))
+    unlike = keep(first.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("h", F.ceil(F.col("members") / BLOCK).alias("lots")))
     wanted = (first.join(unlike, "h").select("first.*", "n", "h", F.pmod("sh", "lots").alias("lot"), "lots")
               .groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "lot", "lots", "start", "n")).alias("wanted")))
     packed = rows.select(F.lit(0).cast("long").alias("doc_id"), "doc", "tag", "text").mapInArrow(_compressed, "doc_id bigint, doc bigint, tag bigint, packed binary")
