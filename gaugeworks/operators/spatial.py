@@ -36,7 +36,7 @@ def map_to_zones(points: DataFrame, zones: DataFrame, key: Sequence[str], bin_si
 
     ``ties="lowest"`` keeps every point once, with the smallest matching zone id and ``zone_match_count``;
     ``ties="all"`` keeps all matches. Unmatched points keep NULL. Points and zones meet on grid cells, never by
-    comparing every point with every zone. While the cell table is small (its size is counted), each cell carries
+    comparing every point with every zone; ``key`` only documents what a point is and may repeat or be NULL. While the cell table is small (its size is counted), each cell carries
     its zones to the points and no point is shuffled; otherwise both sides are shuffled on the cell.
     """
     if ties not in ("lowest", "all"):
@@ -71,11 +71,12 @@ def map_to_zones(points: DataFrame, zones: DataFrame, key: Sequence[str], bin_si
     same = (F.col("p._lat_bin") == F.col("z._lat_bin")) & (F.col("p._lon_bin") == F.col("z._lon_bin"))
     if ties == "all":
         return p.join(z, same & inside, "left").select(*[F.col(f"p.{c}") for c in points.columns], "z.zone_id", *[f"z.{a}" for a in attributes])
-    keyed = placed.select(*key, lat, lon, *at).alias("p")
-    best = (keyed.join(z, same & inside, "inner")
-            .select(*[F.col(f"p.{k}") for k in key], F.struct("z.zone_id", *[f"z.{a}" for a in attributes]).alias("_z"))
-            .groupBy(*key).agg(F.min_by("_z", "_z.zone_id").alias("_z"), F.count("*").alias("_n")))
-    return points.join(best, list(key), "left").withColumns({
+    # a point's zone depends on its place only: each place is compared once, and points need no key to get the answer back
+    spots = placed.select(lat, lon, *at).distinct().alias("p")
+    best = (spots.join(z, same & inside, "inner")
+            .select(F.col(f"p.{lat}").alias(lat), F.col(f"p.{lon}").alias(lon), F.struct("z.zone_id", *[f"z.{a}" for a in attributes]).alias("_z"))
+            .groupBy(lat, lon).agg(F.min_by("_z", "_z.zone_id").alias("_z"), F.count("*").alias("_n")))
+    return points.join(best, [lat, lon], "left").select(*points.columns, "_z", "_n").withColumns({
         "zone_match_count": F.coalesce("_n", F.lit(0)).cast("int"), "zone_id": F.col("_z.zone_id"),
         **{a: F.col(f"_z.{a}") for a in attributes}}).drop("_z", "_n")
 

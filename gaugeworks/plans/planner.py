@@ -43,9 +43,9 @@ def score_violations(scores: DataFrame, start: str = "start_date", end: str | No
 
 
 def best_periods(scores: DataFrame, start: str, score: str) -> DataFrame:
-    """The best period overall and within each month; ties go to the earlier period."""
+    """The best period within each month and, in a row without a month, overall; ties go to the earlier period."""
     best = F.max_by(start, F.struct(F.col(score), F.negative(F.unix_date(F.col(start)))))
-    months = scores.filter(F.col(score).isNotNull()).groupBy(F.date_format(start, "yyyy-MM").alias("month"))
+    months = scores.filter(F.col(score).isNotNull()).withColumn("month", F.date_format(start, "yyyy-MM")).rollup("month")
     return months.agg(best.alias("best_start"), F.max(score).alias("best_score"))
 
 

@@ -33,6 +33,17 @@ def test_zone_plans_match_brute_force(spark, bins, per):
     assert sorted(got) == sorted((i, min(h) if h else None, len(h)) for i, h in hits.items())
 
 
+@pytest.mark.parametrize("bins", [500_000, 0])
+def test_points_need_no_key(spark, bins):
+    """Two readings with one key in different zones, several without a key, without a place, and equal readings."""
+    zones = spark.createDataFrame([(1, 0.0, 2.0, 0.0, 2.0), (2, 2.0, 4.0, 0.0, 2.0), (3, 1.5, 2.5, 0.0, 9.0)], "zone_id int, lat_min double, lat_max double, lon_min double, lon_max double")
+    points = spark.createDataFrame([("k", .5, 1.0), ("k", 3.5, 1.0), (None, .5, 1.0), (None, 2.0, 1.0), ("x", None, 1.0), ("y", 1.0, None), ("z", 8.0, 8.0), ("z", 8.0, 8.0)],
+                                   "id string, location_lat double, location_lon double")
+    got = rows(S.map_to_zones(points, zones, ["id"], .25, broadcast_bins=bins), "id", "location_lat", "zone_id", "zone_match_count")
+    want = [("k", .5, 1, 1), ("k", 3.5, 2, 1), (None, .5, 1, 1), (None, 2.0, 1, 3), ("x", None, None, 0), ("y", 1.0, None, 0), ("z", 8.0, None, 0), ("z", 8.0, None, 0)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("shift", [0.0, 179.0])
 def test_near_pairs_match_brute_force(spark, shift):
     rng = random.Random(2)
