@@ -71,7 +71,25 @@ def keep(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession, "kept")
     df.write.mode("errorifexists").parquet(path)
     _KEPT.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.kept_in = path
+    return kept
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that ``keep`` returned, once nothing will read them any more."""
+    for df in frames:
+        path = getattr(df, "kept_in", None)
+        known = _KEPT.get(df.sparkSession.sparkContext.applicationId, [])
+        if path in known:
+            known.remove(path)
+            _delete(df.sparkSession, [path])
 
 
 def drop_kept(spark: SparkSession) -> int:
@@ -80,8 +98,5 @@ def drop_kept(spark: SparkSession) -> int:
     To be called when results have been written: DataFrames that still read a kept table fail afterwards.
     """
     paths = _KEPT.pop(spark.sparkContext.applicationId, [])
-    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(hadoop).delete(folder, True)
+    _delete(spark, paths)
     return len(paths)
