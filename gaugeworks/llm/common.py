@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.session import keep
+from gaugeworks.session import forget, keep
 
-__all__ = ["BLANK", "documents", "embeddings", "fresh", "fold_of", "keep", "parts_of", "rows_per_task", "texts", "whole_text"]
+__all__ = ["BLANK", "documents", "embeddings", "fresh", "fold_of", "forget", "keep", "parts_of", "rows_per_task", "texts", "whole_text"]
 
 #: Characters that separate words: [\x20\x09-\x0D]. Fixed value.
 BLANK = " \t\n\x0b\x0c\r"

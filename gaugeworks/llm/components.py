@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import keep
+from gaugeworks.llm.common import forget, keep
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         both = small.unionByName(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         above = small.select(F.col("b").alias("u"), F.col("a").alias("v"))  # neighbours above a node
-        edges = keep(above.join(least.select(F.col("a").alias("u"), "m"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        old, edges = edges, keep(above.join(least.select(F.col("a").alias("u"), "m"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        forget(small, old)
         now = _state(edges)
         if now == before:
             break

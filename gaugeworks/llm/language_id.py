@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import documents, fold_of, keep, texts
+from gaugeworks.llm.common import documents, fold_of, forget, keep, texts
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -180,6 +180,7 @@ def fit(training: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
                 state = np.mean([np.frombuffer(r.state).reshape(state.shape) for r in found], axis=0)
     weights = weights_of(*state)
     checked = drawn.filter(held).mapInArrow(partial(_logits, weights=weights, names=names), "truth int, logits array<double>").collect() if len(names) > 1 else []
+    forget(drawn)
     temperature = best_temperature(np.array([r.truth for r in checked], np.int64), np.array([r.logits for r in checked]))
     return LanguageModel(names, weights, idf, temperature)
 
@@ -209,8 +210,11 @@ def _accepted(batches: Iterator[pa.RecordBatch], model, least: float) -> Iterato
         yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
 
 
-def keep_known_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text is in one of the learned languages, with a score of ``least`` or more."""
+def keep_known_languages(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text is in one of the learned languages, with a score of ``least`` or more.
+
+    Very short texts of a known language score 0.3 to 0.5 among four; only what is hardly above chance is turned away.
+    """
     texts(docs)  # bounds the batches
     sent = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs)))
     return docs.mapInArrow(partial(_accepted, model=sent, least=least), docs.schema)

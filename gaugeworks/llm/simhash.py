@@ -3,7 +3,8 @@
 A fingerprint of 64 bits is cut into bands so that two fingerprints within the threshold differ by at most one bit in some
 band. In each band the anchors are a covering code: a Hamming code on the largest 2^r - 1 bits and all settings of the rest, so
 that every point has one anchor within covering radius 1, its home. A fingerprint goes home, and is replicated to every anchor
-within covering radius plus the band's threshold; whatever it is near to is then at home at one of these anchors. Anchors
+within covering radius plus the band's threshold; whatever it is near to is then at home at one of these anchors. Of two points
+that differ in one bit, one has an odd number of bits, so only odd points are replicated and even ones just go home. Anchors
 are compared with numpy in blocks, homes against replicas; a block hands on a star per connected set instead of its pairs, so
 what leaves a group grows with its members, not with their square. Homes of a crowded anchor are dealt out to several
 tasks, each of which sees all replicas in a stream.
@@ -119,8 +120,11 @@ def _replicas(batches: Iterator[pa.RecordBatch], marks: list[str], threshold: in
                     for i, s in enumerate(of_bit.tolist()):
                         syndrome ^= s * (part >> np.uint64(i) & np.uint64(1)).astype(np.int64)
                     tag = np.int64((w * BITS + number) << 40)
-                    for s in np.unique(syndrome):
-                        at, masks = np.flatnonzero(syndrome == s), flips[s]
+                    even = np.bitwise_count(part) & 1 == 0
+                    for s, alone in [(s, alone) for s in np.unique(syndrome) for alone in (True, False)]:
+                        at, masks = np.flatnonzero((syndrome == s) & (even == alone)), flips[s][:1] if alone else flips[s]
+                        if not len(at):
+                            continue
                         if homes_only:
                             yield pa.RecordBatch.from_arrays([pa.array((part[at] ^ masks[0]).astype(np.int64) | tag)], names=["anchor"])
                             continue

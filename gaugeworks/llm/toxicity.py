@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import documents, fold_of, keep, texts
+from gaugeworks.llm.common import documents, fold_of, forget, keep, texts
 
 FIT_ROWS = 16_000
 #: Lengths of word beginnings that may become lexicon terms.
@@ -228,6 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
                .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter("other >= 2 AND other >= toxic").select("term").collect())
     lexicon = Lexicon(weights, {r.term for r in phrases})
     seen = check.mapInArrow(partial(_features, lexicon=lexicon), "summed double, words bigint, toxic int").collect()  # fit_rows / 3 rows
+    forget(rows, known)
     x, n, y = (np.array([r[i] for r in seen], float) for i in range(3))
     if not len(y) or y.min() == y.max():
         return ToxicityModel(lexicon, 0.0, 1.0, -LEAST_ODDS)
