@@ -28,8 +28,7 @@ WEATHER = {
 }
 DURATIONS = (2, 3, 4)
 
-SMALL_TABLE = 1_000_000
-
+# The uncertain inputs of a draw, and below the figures that are reported of it.
 INPUTS = ("visitor_fraction", "people_per_room", "people_per_car", "peak_arrival_fraction", "arrival_window_hours", "venue_kwh_per_attendee_day",
           "hotel_incremental_kwh_per_room_night", "room_price", "nonhotel_visitor_spend_per_day", "local_retention_fraction", "event_fixed_cost",
           "event_cost_per_attendee_day", "access_uncertainty_multiplier")
@@ -107,11 +106,9 @@ def catalog(venues: Sequence[str] = tuple(VENUES), weathers: Sequence[str] = tup
 def with_scenarios(draws: DataFrame, grid: Sequence[tuple[str, str, str, int]] | None = None) -> DataFrame:
     """One row per draw and scenario, made by exploding a fixed list.
 
-    A small draws table may sit in a single input split; it is spread first, since every draw becomes many rows.
-    Larger tables already come in many splits and keep them.
+    Draws may sit in a single input split; they are spread first, since every draw becomes many rows.
     """
-    if draws.count() <= SMALL_TABLE:
-        draws = draws.repartition(draws.sparkSession.sparkContext.defaultParallelism)
+    draws = draws.repartition(int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def lit_struct(values: Mapping[str, float]) -> Column:
         return F.struct(*[F.lit(float(v)).alias(k) for k, v in values.items()])

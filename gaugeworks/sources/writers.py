@@ -13,8 +13,6 @@ from pyspark.sql.types import StructType
 from gaugeworks.operators.cleaning import digest_text
 from gaugeworks.operators.contracts import Contract, contract_for, require
 
-SMALL_ROWS = 100_000
-
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either table that the other lacks, copies counted."""
@@ -42,14 +40,12 @@ def write_by_month(df: DataFrame, path: str, time: str, spread: int = 1, rows_pe
     dated.repartition("year", "month", salt).write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).partitionBy("year", "month").parquet(path)
 
 
-def export_small(df: DataFrame, path: str, format: str = "csv", limit: int = SMALL_ROWS) -> int:
-    """One CSV or JSON file of a small result; larger tables are refused."""
-    rows = df.limit(limit + 1).count()
-    if rows > limit:
-        raise ValueError(f"more than {limit} rows; write Parquet instead")
-    writer = df.coalesce(1).write.mode("errorifexists")
+def export_text(df: DataFrame, path: str, format: str = "csv", rows_per_file: int = 5_000_000) -> int:
+    """CSV or JSON lines as a folder of part files, whatever the size; returns the rows written, by reading them back."""
+    writer = df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file)
     writer.option("header", True).csv(path) if format == "csv" else writer.json(path)
-    return rows
+    back = df.sparkSession.read
+    return (back.option("header", True).schema(df.schema).csv(path) if format == "csv" else back.schema(df.schema).json(path)).count()
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

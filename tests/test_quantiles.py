@@ -65,3 +65,25 @@ def test_global_numbers(spark):
     text = spark.range(300).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("t"), F.md5(F.col("id").cast("string")).alias("name"))
     numbers = rows(numbered(text, ["t", "name"], "n"), "n", "t", "name")
     assert [r[1:] for r in sorted(numbers)] == sorted(r[1:] for r in numbers) and sorted(r[0] for r in numbers) == list(range(1, 301))
+
+
+def test_a_shared_folder_is_asked_for_off_local_masters(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from gaugeworks import session
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: default), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(away)
+    assert [session.is_single_process(m) for m in ("local", "local[*]", "local[8]", "local-cluster[2,1,1024]", "yarn", "k8s://x")] == [True] * 3 + [False] * 3
+    one, two = session.keep(spark.range(5)), session.keep(spark.range(6))
+    session.forget(one)
+    assert two.count() == 6
+    with pytest.raises(Exception):
+        spark.read.parquet(one.kept_in).count()
+
+
+def test_rows_without_a_leading_value_are_numbered_first(spark):
+    df = spark.createDataFrame([(3, "a"), (None, "b"), (1, "c"), (None, "a"), (1, "b")], "lead int, name string")
+    from gaugeworks.operators.quantiles import numbered
+    got = [(r["lead"], r["name"]) for r in numbered(df, ["lead", "name"], "n", 1).orderBy("n").collect()]
+    assert got == [(None, "a"), (None, "b"), (1, "b"), (1, "c"), (3, "a")]
