@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import fiscal as X
+from gaugeworks.operators.contracts import validate_fiscal
 from gaugeworks.operators.facts import readings_panel
 from gaugeworks.plans import tables as T
 from gaugeworks.plans.registry import day, near, num, query, reported
@@ -138,3 +139,13 @@ def _audit(m: str) -> str:
 @query("distribution_audit", f"WITH {NET} " + " UNION ALL ".join(_audit(m) for m in X.MEASURES))
 def distribution_audit(spark, folder):
     return reported(X.distribution_audit(rows(spark, folder)))
+
+
+@query("fiscal_strict", f"""WITH {T.FISCAL_SQL}, g AS (SELECT sensor_id, "timestamp", sum(revenue) AS revenue, sum(expense) AS expense FROM fiscal GROUP BY 1, 2)
+SELECT {day('CAST("timestamp" AS DATE)', "day")}, count(*) AS rows, {num("sum(revenue - expense)", "net")} FROM g GROUP BY CAST("timestamp" AS DATE)""")
+def fiscal_strict(spark, folder):
+    """Takings of each supplier and day as strictly checked fiscal input."""
+    takings = T.fiscal(spark, folder).groupBy("sensor_id", "timestamp").agg(F.sum("revenue").alias("revenue"), F.sum("expense").alias("expense"))
+    checked = validate_fiscal(takings.select(F.col("sensor_id").cast("string").alias("sensor_id"), F.col("timestamp").cast("timestamp").alias("timestamp"), "revenue", "expense",
+                                             F.lit(40.0).alias("location_lat"), F.lit(-73.0).alias("location_lon")))
+    return reported(checked.groupBy("day").agg(F.count("*").alias("rows"), F.sum("net_per_observation").alias("net")))

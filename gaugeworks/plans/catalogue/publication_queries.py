@@ -48,6 +48,14 @@ def published_alerts(spark, folder):
     return reported(PB.read_published(spark, published(spark, folder)[0])[1].select("alert_id", "sensor_id", "reasons", "run_id"))
 
 
+@query("saved_alerts_checked", f"""WITH {T.TRAFFIC_SQL}, {ZSCORE} SELECT sha256('run-1|traffic|' || sensor_id || '|' || CAST("timestamp" AS VARCHAR)) AS alert_id, 'traffic' AS dataset, CAST(sensor_id AS VARCHAR) AS sensor_id,
+  CAST("timestamp" AS VARCHAR) AS observed_at, reasons, 'run-1' AS model_id, 'review' AS severity FROM a WHERE reasons <> ''""")
+def saved_alerts_checked(spark, folder):
+    """Alerts saved with the run they come from, read back and checked before they take the published shape."""
+    saved = keep(zscore(spark, folder).filter("is_alert").withColumn("source_run", F.lit("run-1")))
+    return reported(PB.checked_alerts(saved, saved.count(), "source_run", "run-1", "sensor_id", "traffic"))
+
+
 @query("publish_snapshot", f"""WITH {T.TRAFFIC_SQL}, {FACTS}, {ZSCORE} SELECT 'published' AS status, 'run-1' AS run_id, 2 * (SELECT count(*) FROM f) AS fact_rows, (SELECT count(*) FROM a WHERE reasons <> '') AS alert_rows""")
 def publish_snapshot(spark, folder):
     root, status = published(spark, folder)
