@@ -28,8 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import documents, fresh, keep, parts_of, rows_per_task, texts
-from gaugeworks.llm.components import components
+from gaugeworks.llm.common import documents, keep, parts_of, rows_per_task, texts
+from gaugeworks.llm.components import components, stars
+from gaugeworks.llm.near_copies import keep_one_of_each_group
+
+__all__ = ["fingerprint", "fingerprints", "keep_one_of_each_group", "near_groups", "near_links", "op1_simhash_near_dedup"]
 
 BITS = 64
 SEED = 42
@@ -136,23 +139,6 @@ def _replicas(batches: Iterator[pa.RecordBatch], marks: list[str], threshold: in
                              *(pa.array(x[rows]) for x in own)], names=["anchor", "away", "node", *marks])
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links a-b to links (node, smallest node of its connected set)."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j, label = ends[:len(a)], ends[len(a):], np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    other = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[other], nodes[label[other]]
-
-
 def _compare(batches: Iterator[pa.RecordBatch], marks: list[str], threshold: int, total: int) -> Iterator[pa.RecordBatch]:
     """Links found between homes and replicas of each (anchor, lot); rows come sorted by anchor, lot, away."""
     held = None  # homes of the group that may go on in the next batch
@@ -218,18 +204,6 @@ def near_groups(docs: DataFrame, words_each: int, threshold: int, width: int = 1
     return own.join(linked.unionByName(alone), marks).select("doc_id", *marks, "component_id")
 
 
-def keep_one_of_each_group(docs: DataFrame, words_each: int = 5, threshold: int = 7, width: int = 3, total: int = 33) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each group the one with the smallest doc_id.
-
-    The defaults stand for a similarity of 0.8 or more of five-word shingle sets: at Jaccard 0.8 three independent fingerprints
-    differ in about 29 of 192 bits. Rows with a null doc_id stay, and so do repeated rows of the one that stays.
-    """
-    groups = near_groups(docs, words_each, threshold, width, total)
-    gone = fresh(docs, "gone")
-    going = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(going, docs["doc_id"].cast("long") == going[gone], "left_anti")
-
-
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(documents(spark, sf_dir), words_each=3, threshold=2)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("mark0")), 16, "0").alias("fingerprint"), "component_id")
