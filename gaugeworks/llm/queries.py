@@ -16,6 +16,7 @@ MODULES = {
     "op8_exact_dedup": "exact_dedup",
     "op10_toxicity": "toxicity",
     "op9_mixing": "mixing",
+    "op11_merkle_manifest": "merkle",
     "op13_embedding_whitening": "whitening",
 }
 
