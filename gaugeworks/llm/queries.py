@@ -17,6 +17,7 @@ MODULES = {
     "op10_toxicity": "toxicity",
     "op9_mixing": "mixing",
     "op11_merkle_manifest": "merkle",
+    "op12_ngram_jaccard_join": "jaccard_join",
     "op13_embedding_whitening": "whitening",
 }
 
