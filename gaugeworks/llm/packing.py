@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from gaugeworks.llm.common import documents, keep, rows_per_task, texts
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids one Python worker remembers; the memory is emptied when full and changes no result.
+#: Words after which one Python worker starts a new generation of remembered words.
 REMEMBERED_WORDS = 500_000
 #: Pieces of one length that are numbered in one group, about.
 BLOCK_ROWS = 100_000
@@ -38,53 +39,126 @@ PLACED = f"{PIECES}, sequence_id bigint, offset bigint"
 
 
 class WordIds:
-    """Ids of a text by a tokenizer that never looks across blanks; words are remembered as little-endian uint32 bytes.
+    """Ids of texts by a tokenizer that never looks across blanks; words are remembered as little-endian uint32 bytes.
 
     Lower case is folded first unless the text may hold a special token, which the tokenizer knows in lower case only. A word
-    that ends in marks after a letter is the word without them and the marks: the tokenizer splits there.
+    that ends in marks after a letter is the word without them and the marks: the tokenizer splits there. New words of
+    many texts are learned together. Those made of lower-case letters in normal form, which the tokenizer neither changes nor
+    splits, go joined by blanks to a copy of it without normalizing, and are told apart by the ids that end a word; should
+    these not be as many as the words, each goes alone to the tokenizer itself. Words are remembered in two generations, so that
+    those in use stay when the older one is dropped; that changes no result.
     """
 
-    MARKS = b".,;:!?"
+    #: Marks that neither belong to a special token nor, as an apostrophe does, to what comes before.
+    MARKS = b"!#$%&()*+,-./:;=?@[]^_`{}~"
     LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+    JOINED = 200
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.path, self.tokenizer, self.known = path, Tokenizer.from_file(path), {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        known = self.known
-        if len(known) + len(words) > REMEMBERED_WORDS:
-            known.clear()
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.tokenizer, self.remembered, self.known, self.older = Tokenizer.from_file(path), remembered or REMEMBERED_WORDS, {}, {}
+        suffix, self.ends = self.tokenizer.model.end_of_word_suffix, None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = None
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _single(self, words: list[bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         for word, encoded in zip(words, found, strict=True):
-            known[word] = np.array(encoded.ids, "<u4").tobytes()
-
-    def of_words(self, words: list[bytes]) -> bytes:
+            self.known[word] = np.array(encoded.ids, "<u4").tobytes()
+
+    def _joined(self, words: list[bytes], texts: list[str]) -> None:
+        groups = [slice(i, i + self.JOINED) for i in range(0, len(words), self.JOINED)]
+        found = self.bare.encode_batch_fast([" ".join(texts[g]) for g in groups], add_special_tokens=False)
+        for g, encoded in zip(groups, found, strict=True):
+            own, ids = words[g], np.array(encoded.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(own) or ends[-1] != len(ids):
+                self._single(own)
+                continue
+            raw, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
+            self.known.update(zip(own, (raw[a:b] for a, b in zip(cuts, cuts[1:])), strict=True))  # noqa: B905
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Have the ids of ``words`` in ``known``."""
+        alone, plain, texts = [], [], []
+        for w in words:
+            if w in self.known:
+                continue
+            if w in self.older:
+                self.known[w] = self.older[w]
+                continue
+            text = w.decode("utf-8", "replace")
+            if self.ends is not None and text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+                plain.append(w)
+                texts.append(text)
+            else:
+                alone.append(w)
+        self._single(alone)
+        self._joined(plain, texts)
+
+    def _split(self, word: bytes) -> tuple[bytes, bytes] | None:
+        """A word and the marks after its last letter."""
+        stem = word.rstrip(self.MARKS)
+        if len(stem) == len(word) or not stem:
+            return None
+        if stem[-1] in self.LETTERS or stem[-1] > 127 and stem.decode("utf-8", "replace")[-1].isalpha():
+            return stem, word[len(stem):]
+        return None
+
+    def remember(self, words: set[bytes]) -> None:
+        """Have the ids of new ``words`` in ``known``."""
+        known, split, whole = self.known, {}, set()
+        for w in words:
+            if w in self.older:
+                known[w] = self.older[w]
+            elif parts := self._split(w):
+                split[w] = parts
+            else:
+                whole.add(w)
+        self._learn(whole.union(*split.values()))
+        for w, (stem, marks) in split.items():
+            known[w] = known[stem] + known[marks]
+
+    def of_texts(self, texts: Iterable[bytes], step: int = 1 << 16) -> Iterator[bytes]:
+        """Ids of each text; about ``step`` words are held as such at a time, and a longer text is gone through in steps."""
+        held, n = [], 0
+        for text in texts:
+            words = (text if b"<|" in text else text.lower()).split()
+            if len(words) > step:
+                yield from self._of_held(held)
+                held, n, out = [], 0, []
+                for i in range(0, len(words), step):
+                    out += self._of_held([words[i:i + step]])
+                yield b"".join(out)
+                continue
+            held.append(words)
+            n += len(words)
+            if n > step:
+                yield from self._of_held(held)
+                held, n = [], 0
+        yield from self._of_held(held)
+
+    def _of_held(self, held: list[list[bytes]]) -> list[bytes]:
+        if len(self.known) > self.remembered:
+            self.known, self.older = {}, self.known
         known = self.known
-        missing = {w for w in words if w not in known}
-        if missing:
-            split = {}
-            for w in missing:
-                stem = w.rstrip(self.MARKS)
-                if len(stem) < len(w) and stem and stem[-1] in self.LETTERS:
-                    split[w] = (stem, w[len(stem):])
-            need = (missing - split.keys()) | {p for pair in split.values() for p in pair if p not in known}
-            self._learn(list(need | {p for pair in split.values() for p in pair}) if len(known) + len(need) > REMEMBERED_WORDS
-                        else list(need))
-            known = self.known
-            for w, (stem, marks) in split.items():
-                known[w] = known[stem] + known[marks]
-            lost = {w for w in words if w not in known}  # emptied memory
-            if lost:
-                self._learn(list(lost))
-        return b"".join([known[w] for w in words])
+        found = [list(map(known.get, words)) for words in held]
+        gaps = [i for i, ids in enumerate(found) if None in ids]
+        if gaps:
+            self.remember({w for i in gaps for w, ids in zip(held[i], found[i], strict=True) if ids is None})
+            for i in gaps:
+                found[i] = [known[w] if ids is None else ids for w, ids in zip(held[i], found[i], strict=True)]
+        return list(map(b"".join, found))
 
     def __call__(self, text: bytes, step: int = 1 << 16) -> bytes:
-        words = (text if b"<|" in text else text.lower()).split()
-        if len(words) <= step:
-            return self.of_words(words)
-        return b"".join(self.of_words(words[i:i + step]) for i in range(0, len(words), step))
+        return next(self.of_texts([text], step))
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -103,9 +177,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_id
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
     for batch in batches:
-        rows = []
-        for doc_id, text in rows_per_task([batch], ("doc_id", "text")):
-            ids = encode(text) + end
+        rows, ids_of = [], encode.of_texts(text for _, text in rows_per_task([batch], ("doc_id", "text")))
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of, strict=True):
+            ids += end
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at:at + 4 * capacity]
                 rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)) + ((np.frombuffer(part, "<u4").astype("i4"),) if with_ids else ()))

@@ -55,6 +55,15 @@ def test_word_ids_with_little_memory(monkeypatch):
         assert np.frombuffer(encode(text.encode(), 3), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_of_many_texts_at_once():
+    encode = packing.WordIds(packing.default_tokenizer(), 50)
+    texts = ["Ärger, ÄRGER ΑΣ ας İstanbul été ﬁn e\u0301te\u0301. a1b2 x!! !x gever### été... x[1]", "", "日本語 テスト。 q <|endoftext|> <|EndOfText|>, kİ ß ẞ", "한국 ǅ ʰ don't, it's. y'",
+             " ".join(f"word{'abc'[i % 3] * (i % 7)}{'xyz'[i % 3]} rest{i}," for i in range(300)), "été gever### word"] * 2
+    for step in (4, 1 << 16):
+        for text, ids in zip(texts, encode.of_texts([t.encode() for t in texts], step), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packed_documents(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_ROWS", 4)
     docs, tokenizer = odd.table(spark), packing.word_ids(packing.default_tokenizer()).tokenizer
