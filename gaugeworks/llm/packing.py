@@ -115,7 +115,7 @@ class WordIds:
     def remember(self, words: set[bytes]) -> None:
         """Have the ids of new ``words`` in ``known``."""
         known, split, whole = self.known, {}, set()
-        for w in words:
+        for w in [bytes(bytearray(w)) for w in words]:  # copies lie close together, words of texts all over the memory
             if w in self.older:
                 known[w] = self.older[w]
             elif parts := self._split(w):
