@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -43,6 +44,13 @@ def oversized_keys(df: DataFrame, keys: Sequence[str], budget: int, *extra: Colu
     return big.drop("_n"), int(found["k"]), int(found["n"] or 0)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, rows: int, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """``checked_join`` on columns in which NULL is a key like any other; the left side's columns stay."""
+    named = right.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [left[c].eqNullSafe(named[f"_of_{c}"]) for c in on])
+    return left.join(F.broadcast(named) if rows <= limit else named, same, how).drop(*[f"_of_{c}" for c in on])
+
+
 def checked_join(left: DataFrame, right: DataFrame, on, how: str, rows: int, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Replicate the right side only when its counted size is small; otherwise shuffle, where AQE splits skew."""
     return left.join(F.broadcast(right) if rows <= limit else right, on, how)
@@ -180,14 +188,65 @@ def _spread(total: Column, squares: Column, n: Column, low: Column, high: Column
     return F.when(n < 2, F.lit(None)).when(low == high, F.lit(0.0)).otherwise(F.sqrt(var))
 
 
-def elapsed_stats(df: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], days: Sequence[int],
-                  budget: int | None = None, bucket_seconds: int = 3600) -> DataFrame:
+#: Units of time, in seconds, of which elapsed frames are put together; each holds a bounded number of the one before.
+UNITS = (1, 60, 3600, DAY_SECONDS)
+_FIELDS = {"n": F.sum, "s": F.sum, "q": F.sum, "l": F.min, "h": F.max}
+
+
+def _combined(values: Sequence[str], *tags: str) -> dict[str, Column]:
+    """Field by field, what the tagged parts hold together; a part that holds nothing counts for nothing."""
+    out: dict[str, Column] = {}
+    for v in values:
+        for f in _FIELDS:
+            parts = [F.col(f"_{t}_{f}_{v}") for t in tags]
+            out[f"{f}_{v}"] = {"l": F.least, "h": F.greatest}[f](*parts) if f in "lh" else sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0))
+    return out
+
+
+def _around(units: DataFrame, values: Sequence[str], ratio: int, shifts: Mapping[int, int], inclusive: bool) -> DataFrame:
+    """For each unit (_k, _u): ``_own_…`` of the units before it in its parent of ``ratio`` units, and for each frame ``_edge<d>_…`` of the
+    units after the same place in the parent in which the frame starts (with that place itself if ``inclusive``).
+
+    Each unit also appears, moved ahead by a frame's length, in the parent whose frames begin in its own, so a parent has a bounded
+    number of rows whatever the number of readings.
+    """
+    moved = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(by).cast("long").alias("by")) for d, by in {0: 0, **shifts}.items()])
+    everyone = units.withColumn("_m", F.explode(moved)).withColumn("_u", F.col("_u") + F.col("_m.by")).withColumn("_p", F.floor(F.col("_u") / ratio))
+    before = Window.partitionBy("_k", "_p").orderBy("_u").rangeBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("_k", "_p").orderBy(F.desc("_u")).rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    cols = {f"_{tag}_{f}_{v}": fn(F.when(F.col("_m.d") == d, F.col(f"{f}_{v}"))).over(w)
+            for tag, d, w in [("own", 0, before), *((f"edge{d}", d, after) for d in shifts)] for v in values for f, fn in _FIELDS.items()}
+    return everyone.withColumns(cols).filter(F.col("_m.d") == 0).select("_k", "_u", "_p", *cols)
+
+
+def _frames(seconds: DataFrame, values: Sequence[str], days: Sequence[int]) -> DataFrame:
+    """For each second with readings (_k, _u; a stored table): ``full<d>_<field>_<value>`` over the ``d`` days before it.
+
+    A frame is, unit by unit, what comes before in the own minute, hour and day, whole days, and the rest of the day,
+    hour and minute in which it starts.
+    """
+    levels = [seconds]
+    for small, large in zip(UNITS, UNITS[1:]):  # noqa: B905
+        ratio = large // small
+        levels.append(levels[-1].groupBy("_k", F.floor(F.col("_u") / ratio).alias("_u")).agg(
+            *[fn(f"{f}_{v}").alias(f"{f}_{v}") for v in values for f, fn in _FIELDS.items()]))
+    whole = {f"_full{d}_{f}_{v}": fn(f"{f}_{v}").over(Window.partitionBy("_k").orderBy("_u").rangeBetween(-(d - 1), -1))
+             for d in days for v in values for f, fn in _FIELDS.items()}
+    known = levels[-1].select("_k", "_u", *[c.alias(n) for n, c in whole.items()])
+    for unit, large, level in reversed(list(zip(UNITS, UNITS[1:], levels))):  # noqa: B905
+        near = _around(level, values, large // unit, {d: d * DAY_SECONDS // unit for d in days}, unit == UNITS[0])
+        both = near.join(known.withColumnRenamed("_u", "_p"), ["_k", "_p"], "left")
+        known = both.select("_k", "_u", *[c.alias(f"_full{d}_{n}") for d in days for n, c in _combined(values, "own", f"edge{d}", f"full{d}").items()])
+    return known
+
+
+def elapsed_stats(df: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], days: Sequence[int], budget: int | None = None) -> DataFrame:
     """Count, mean, sample std, min and max over the prior ``days`` of elapsed time, current timestamp excluded.
 
+    Rows without a time have each other, the row itself included, as their frame; a NULL key is a series like any other.
     Short series use a range frame, which Spark goes through anew for every row. If any series has more than
-    ``DENSE_ROWS`` rows (or than the budget), every frame is split in three parts, each of which is carried along or small, and
-    none of which needs more than one bucket of raw rows in a task: the rest of the row's own bucket, whole buckets (already
-    aggregated), and the end of the bucket in which the frame starts.
+    ``DENSE_ROWS`` rows (or than the budget), readings are first summed by second, in each task before they are shuffled, and every
+    frame is put together from seconds, minutes, hours and days; no task holds more than a day's units of a series, or its days.
     """
     keys = list(keys)
     _, n_big, _ = oversized_keys(df, keys, min(row_budget(df, budget), DENSE_ROWS))
@@ -203,53 +262,20 @@ def elapsed_stats(df: DataFrame, keys: Sequence[str], time: str, values: Sequenc
         return out.drop("_e")
 
     centres = df.agg(*[F.avg(v).alias(v) for v in values]).first()
-    shifted = {v: F.col(v).cast("double") - F.lit(float(centres[v] or 0.0)) for v in values}
-    rows = base.withColumn("_b", F.floor(F.col("_e") / bucket_seconds))
-    rows = rows.withColumns({f"_x_{v}": c for v, c in shifted.items()})
-
-    def parts_of(v: str, when: Column, tag: str, w) -> dict[str, Column]:
-        x = F.when(when, F.col(f"_x_{v}"))
-        return {f"_{tag}_n_{v}": F.count(x).over(w), f"_{tag}_s_{v}": F.sum(x).over(w),
-                f"_{tag}_q_{v}": F.sum(x * x).over(w), f"_{tag}_l_{v}": F.min(x).over(w), f"_{tag}_h_{v}": F.max(x).over(w)}
-
-    buckets = rows.groupBy(*keys, "_b").agg(*[
+    rows = base.withColumn("_k", F.struct(*keys) if keys else F.struct(F.lit(0)))  # equal where fields are equal or both NULL
+    shifted = rows.withColumns({f"_x_{v}": F.col(v).cast("double") - F.lit(float(centres[v] or 0.0)) for v in values})
+    seconds = keep(shifted.groupBy("_k", F.col("_e").alias("_u")).agg(*[
         e for v in values for e in (
-            F.count(f"_x_{v}").alias(f"n_{v}"), F.sum(f"_x_{v}").alias(f"s_{v}"),
-            F.sum(F.col(f"_x_{v}") * F.col(f"_x_{v}")).alias(f"q_{v}"),
-            F.min(f"_x_{v}").alias(f"l_{v}"), F.max(f"_x_{v}").alias(f"h_{v}"))
-    ])
-    whole = {}
-    for d in days:
-        span = d * DAY_SECONDS // bucket_seconds
-        w = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-(span - 1), -1)
-        for v in values:
-            whole |= {f"_full{d}_n_{v}": F.sum(f"n_{v}").over(w), f"_full{d}_s_{v}": F.sum(f"s_{v}").over(w),
-                      f"_full{d}_q_{v}": F.sum(f"q_{v}").over(w), f"_full{d}_l_{v}": F.min(f"l_{v}").over(w),
-                      f"_full{d}_h_{v}": F.max(f"h_{v}").over(w)}
-    filled = buckets.select(*keys, "_b", *[c.alias(n) for n, c in whole.items()])
-
-    # each row also appears, moved ahead by the frame length, in the bucket whose rows' frames begin in its own bucket
-    moved = F.col("_shift") * DAY_SECONDS
-    everyone = rows.withColumn("_shift", F.explode(F.array(*[F.lit(d) for d in (0, *days)]))).withColumns(
-        {"_e": F.col("_e") + moved, "_b": F.col("_b") + (moved / bucket_seconds).cast("long")})
-    by_time, from_end = (Window.partitionBy(*keys, "_b").orderBy(o) for o in ("_e", F.desc("_e")))
-    cols: dict[str, Column] = {}
-    for v in values:
-        cols |= parts_of(v, F.col("_shift") == 0, "own", by_time.rangeBetween(Window.unboundedPreceding, -1))
-        for d in days:
-            cols |= parts_of(v, F.col("_shift") == d, f"edge{d}", from_end.rangeBetween(Window.unboundedPreceding, 0))
-    out = everyone.withColumns(cols).filter(F.col("_shift") == 0).join(filled, [*keys, "_b"], "left")
+            F.count(f"_x_{v}").alias(f"n_{v}"), F.sum(f"_x_{v}").alias(f"s_{v}"), F.sum(F.col(f"_x_{v}") * F.col(f"_x_{v}")).alias(f"q_{v}"),
+            F.min(f"_x_{v}").alias(f"l_{v}"), F.max(f"_x_{v}").alias(f"h_{v}"))]))
+    timeless = seconds.filter(F.col("_u").isNull()).select("_k", "_u", *[F.col(f"{f}_{v}").alias(f"_full{d}_{f}_{v}") for d in days for v in values for f in _FIELDS])
+    found = _frames(seconds.filter(F.col("_u").isNotNull()), values, days).unionByName(timeless).withColumnRenamed("_k", "_of")
+    out = rows.join(found, (F.col("_k") == F.col("_of")) & F.col("_e").eqNullSafe(F.col("_u")), "left")
     final: dict[str, Column] = {}
     for v in values:
         for d in days:
-            tags = ("own", f"full{d}", f"edge{d}")
-            n = sum((F.coalesce(F.col(f"_{t}_n_{v}"), F.lit(0)) for t in tags), F.lit(0)).cast("long")
-            s = sum((F.coalesce(F.col(f"_{t}_s_{v}"), F.lit(0.0)) for t in tags), F.lit(0.0))
-            q = sum((F.coalesce(F.col(f"_{t}_q_{v}"), F.lit(0.0)) for t in tags), F.lit(0.0))
-            low = F.least(*[F.col(f"_{t}_l_{v}") for t in tags])
-            high = F.greatest(*[F.col(f"_{t}_h_{v}") for t in tags])
-            centre = F.lit(float(centres[v] or 0.0))
-            name = f"{v}_prior_{d}d"
+            n, s, q, low, high = (F.col(f"_full{d}_{f}_{v}") for f in _FIELDS)
+            n, centre, name = F.coalesce(n, F.lit(0)).cast("long"), F.lit(float(centres[v] or 0.0)), f"{v}_prior_{d}d"
             final |= {f"{name}_count": n, f"{name}_mean": F.when(n > 0, centre + F.try_divide(s, n)),
                       f"{name}_std": F.when(n > 1, _spread(s, q, F.nullif(n, F.lit(0)), low, high)),
                       f"{name}_min": centre + low, f"{name}_max": centre + high}

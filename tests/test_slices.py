@@ -111,3 +111,32 @@ def test_plain_window_is_kept_for_ordinary_series(hot):
     s = with_halo(hot, ["sensor_id"], ["timestamp", "id"], 3)
     assert not s.cut and s.frame is hot
     assert isinstance(s.window("timestamp"), type(Window.partitionBy("a")))
+
+
+def test_elapsed_windows_with_null_sensors_and_times(spark):
+    """Cut and uncut frames agree where sensors, times or values are NULL, and where very many rows share few seconds."""
+    day = 86400
+    times = [None, None, 0, 0, 1, 59, 60, 3599, 3600, day - 1, day, day + 1, 7 * day - 1, 7 * day, 7 * day, 7 * day + 1, 7 * day + 60, 8 * day, 30 * day, 30 * day + 5, 31 * day + 3600, -5, -day]
+    data = [(i * 100 + k, s, t, None if (i + k) % 5 == 0 else float((i * 37 + k * 11) % 23)) for i, t in enumerate(times) for k, s in enumerate([None, "a", "b"])]
+    data += [(10_000 + i, "a", i % 3 + 7200, float(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, sensor_id string, t long, v double").withColumn("timestamp", F.timestamp_seconds("t")).repartition(5)
+    labels = [f"v_prior_{d}d_{x}" for d in (7, 30) for x in ("count", "mean", "std", "min", "max")]
+
+    def run(budget):
+        return {r["id"]: r for r in prior_window_features(df, "sensor_id", ["v"], budget=budget).collect()}
+
+    plain, cut = run(None), run(1)
+    assert plain.keys() == cut.keys() and len(plain) == len(data)
+    for key, r in plain.items():
+        for c in labels:
+            assert cut[key][c] == (None if r[c] is None else pytest.approx(r[c], rel=1e-9, abs=1e-9)), (key, c)
+    assert plain[0]["v_prior_7d_count"] == cut[0]["v_prior_7d_count"] > 0
+
+
+def test_elapsed_windows_of_one_crowded_hour_hold_few_rows(spark):
+    """What is left to window of a sensor with very many rows in an hour are its seconds."""
+    from gaugeworks.operators.slices import elapsed_stats
+    df = spark.range(200_000).select(F.lit("hot").alias("sensor_id"), F.timestamp_seconds(F.col("id") % 3600).alias("timestamp"), (F.col("id") % 11).cast("double").alias("v"))
+    out = elapsed_stats(df, ["sensor_id"], "timestamp", ["v"], (7,))
+    last = out.filter("timestamp = timestamp_seconds(3599)").select("v_prior_7d_count").distinct().collect()
+    assert [r[0] for r in last] == [sum(1 for i in range(200_000) if i % 3600 < 3599)]
