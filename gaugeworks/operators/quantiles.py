@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.slices import checked_join, row_budget
+from gaugeworks.operators.slices import null_safe_join, row_budget
+from gaugeworks.session import keep
 
 ACCURACY = 10_000
 
@@ -17,13 +18,39 @@ def _largest_group(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return int(got["n"] or 0), int(got["k"] or 0)
 
 
+def rows_below(counted: DataFrame, keys: Sequence[str], value: str, weight: str, out: str, budget: int) -> DataFrame:
+    """Add ``out``: the summed ``weight`` of smaller values in the group. ``counted`` has each value of a group once.
+
+    While groups have at most ``budget`` values they are plain windows. Otherwise rows are dealt to parts of about half the budget by
+    ranges of (keys, value), which the partitioner finds; each part sums on its own, and the sums of the parts before are added.
+    """
+    keys = list(keys)
+    counted = keep(counted)
+    rows, largest = 0, 0
+    sizes = counted.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("rows")).first()
+    if sizes["n"]:
+        rows, largest = int(sizes["rows"]), int(sizes["n"])
+    if largest <= budget:
+        return counted.withColumn(out, F.sum(weight).over(Window.partitionBy(*keys).orderBy(value)) - F.col(weight))
+    parts = max(2, -(-2 * rows // budget))
+    # stored, since the ranges come from a sample and must not be drawn twice
+    dealt = keep(counted.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum(weight).alias("_sum"))
+    ahead = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_sum")
+    sums = keep(sums.select(*keys, "_part", ahead.alias("_ahead")))  # a row per part and group in it
+    inner = F.sum(weight).over(Window.partitionBy("_part", *keys).orderBy(value)) - F.col(weight)
+    both = null_safe_join(dealt.withColumn("_inner", inner), sums, [*keys, "_part"], "inner", sums.count())
+    return both.withColumn(out, F.col("_ahead") + F.col("_inner")).drop("_part", "_ahead", "_inner")
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: dict[str, tuple[str, float]], rule: str = "linear",
                     budget: int | None = None) -> DataFrame:
     """One row per group with the named quantiles; ``columns`` maps an output name to (input column, probability).
 
     ``linear`` interpolates between neighbours; ``higher`` takes the next observed value. NULLs are ignored.
-    Groups within the budget use the built-in exact percentile. Above it, a mergeable sketch brackets each wanted
-    rank, rows below the bracket are only counted, and just the values inside it are ordered. The answer is exact.
+    A NULL key is a group like any other. Groups within the budget use the built-in exact percentile. Above it, a mergeable
+    sketch brackets each wanted rank, rows below the bracket are only counted, and just the values inside it are ordered, in
+    parts if they are more than the budget. The answer is exact.
     """
     keys = list(keys)
     budget = row_budget(df, budget)
@@ -38,10 +65,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: dict[str, tuple
         found = df.groupBy(*keys).agg(*[F.percentile(F.col(f"`{c}`").cast("double"), ps).alias(f"_p_{i}") for i, (c, ps) in enumerate(by_column.items())])
         at = {c: i for i, c in enumerate(by_column)}
         return found.select(*keys, *[F.col(f"_p_{at[c]}")[by_column[c].index(p)].alias(n) for n, (c, p) in columns.items()])
-    return _bracketed_quantiles(df, keys, columns, rule, groups)
+    return _bracketed_quantiles(df, keys, columns, rule, groups, budget)
 
 
-def _bracketed_quantiles(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, float]], rule: str, groups: int) -> DataFrame:
+def _bracketed_quantiles(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, float]], rule: str, groups: int, budget: int) -> DataFrame:
     marker = keys or ["_all"]
     wanted = list(columns.values())
     names = {c: f"_x{i}" for i, c in enumerate(dict.fromkeys(c for c, _ in wanted))}
@@ -62,7 +89,8 @@ def _bracketed_quantiles(df: DataFrame, keys: list[str], columns: dict[str, tupl
         edges[f"_z{i}"] = F.when(wide | F.lit(p + margin >= 1), F.col(f"_max{x}")).otherwise(high)
         edges[f"_n{i}"] = F.col(f"_n{x}")
     spans = spans.select(*marker, *[e.alias(n) for n, e in edges.items()])
-    joined = checked_join(rows, spans, marker, "inner", groups)
+    spans = keep(spans)
+    joined = null_safe_join(rows, spans, marker, "inner", groups)
 
     def value(i: int):
         return F.col(names[wanted[i][0]])
@@ -76,15 +104,16 @@ def _bracketed_quantiles(df: DataFrame, keys: list[str], columns: dict[str, tupl
     ranks = below.select(*marker, F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_b{i}").alias("_below"), F.lit(float(p)).alias("_p"),
                          F.col(f"_n{i}").alias("_n")) for i, (_, p) in enumerate(wanted)])).alias("_r")).select(*marker, "_r.*")
     place = F.col("_p") * (F.col("_n") - 1)
-    upto = F.sum("_c").over(Window.partitionBy(*marker, "_i").orderBy("_v")) + F.col("_below")
-    ranked = checked_join(counted, ranks, [*marker, "_i"], "inner", groups * len(wanted)).withColumns({"_upto": upto, "_place": place})
+    ordered = rows_below(counted, [*marker, "_i"], "_v", "_c", "_less", budget)
+    upto = F.col("_less") + F.col("_c") + F.col("_below")
+    ranked = null_safe_join(ordered, ranks, [*marker, "_i"], "inner", groups * len(wanted)).withColumns({"_upto": upto, "_place": place})
     first = F.floor("_place") if rule == "linear" else F.ceil("_place")
     picked = ranked.groupBy(*marker, "_i").agg(
         F.min(F.when(F.col("_upto") > first, F.col("_v"))).alias("_lo"), F.min(F.when(F.col("_upto") > F.ceil("_place"), F.col("_v"))).alias("_hi"),
         F.max(F.col("_place") - F.floor("_place")).alias("_part"))
     picked = picked.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part") if rule == "linear" else F.col("_lo"))
     wide_out = picked.groupBy(*marker).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(columns)])
-    out = spans.select(*marker).join(wide_out, marker, "left")
+    out = null_safe_join(spans.select(*marker), wide_out, marker, "left", groups)
     return out if keys else out.drop("_all")
 
 
@@ -96,29 +125,12 @@ def quantile_values(df: DataFrame, columns: dict[str, tuple[str, float]], rule:
 def value_ranks(df: DataFrame, value: str, budget: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Each distinct non-NULL value (per group) with ``copies``, ``below`` (rows smaller) and ``average_rank``.
 
-    Copies are counted before anything is ordered. If more distinct values remain than one task should order, they
-    are split at sketch boundaries and each part is offset by the counts of the parts before it.
+    Copies are counted before anything is ordered. If more distinct values remain than one task should order, they are
+    dealt out by ranges (``rows_below``). A NULL in ``by`` is a group like any other.
     """
     by, budget = list(by), row_budget(df, budget)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("copies"))
-    sizes = counted.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.count("*").alias("k")).first()
-    distinct, groups = int(sizes["n"] or 0), int(sizes["k"])
-    if distinct <= budget:
-        below = F.sum("copies").over(Window.partitionBy(*by).orderBy(value)) - F.col("copies")
-        ranked = counted.withColumn("below", below)
-    else:
-        parts = -(-distinct // budget)
-        keys = by or ["_all"]
-        rows = counted if by else counted.withColumn("_all", F.lit(1))
-        edges = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts).alias("_edges"))
-        cut = checked_join(rows, edges, keys, "inner", groups).withColumn(
-            "_part", F.size(F.filter(F.array_distinct("_edges"), lambda b: b < F.col(value)))).drop("_edges")
-        offsets = cut.groupBy(*keys, "_part").agg(F.sum("copies").alias("_rows"))
-        before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_rows")
-        offsets = offsets.withColumn("_before", before).drop("_rows")
-        inner = F.sum("copies").over(Window.partitionBy(*keys, "_part").orderBy(value)) - F.col("copies")
-        ranked = (checked_join(cut.withColumn("_inner", inner), offsets, [*keys, "_part"], "inner", groups * parts)
-                  .withColumn("below", F.col("_before") + F.col("_inner")).drop("_part", "_before", "_inner", "_all"))
+    ranked = rows_below(counted, by, value, "copies", "below", budget)
     return ranked.withColumn("average_rank", F.col("below") + (F.col("copies") + 1) / 2)
 
 

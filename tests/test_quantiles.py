@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from gaugeworks.operators.quantiles import average_rank, exact_quantiles, numbered, percent_rank, quantile_values, value_ranks
+from gaugeworks.operators.quantiles import average_rank, exact_quantiles, numbered, percent_rank, quantile_values, rows_below, value_ranks
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +87,27 @@ def test_rows_without_a_leading_value_are_numbered_first(spark):
     from gaugeworks.operators.quantiles import numbered
     got = [(r["lead"], r["name"]) for r in numbered(df, ["lead", "name"], "n", 1).orderBy("n").collect()]
     assert got == [(None, "a"), (None, "b"), (1, "b"), (1, "c"), (3, "a")]
+
+
+def test_null_groups_and_crowded_brackets(spark):
+    """A NULL group keeps its quantiles and ranks, and a bracket above the budget is ordered in parts."""
+    rng = random.Random(8)
+    data = [(None, rng.gauss(0, 5)) for _ in range(30_000)] + [("a", float(i % 50)) for i in range(400)] + [("b", None)]
+    df = spark.createDataFrame(data, "g string, x double").repartition(5)
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], {"p50": ("x", .5), "p90": ("x", .9)}, budget=3).collect()}
+    for g in (None, "a"):
+        assert np.allclose([got[g]["p50"], got[g]["p90"]], np.quantile([x for k, x in data if k == g], [.5, .9]), rtol=1e-12)
+    assert got["b"]["p90"] is None and got.keys() == {None, "a", "b"}
+    assert rows(exact_quantiles(df, ["g"], {"p90": ("x", .9)})) == rows(exact_quantiles(df, ["g"], {"p90": ("x", .9)}, budget=3))
+    assert rows(value_ranks(df, "x", None, ["g"])) == rows(value_ranks(df, "x", 700, ["g"]))
+    assert rows(value_ranks(df, "x")) == rows(value_ranks(df, "x", 700))
+
+
+def test_no_task_orders_more_than_the_budget(spark):
+    """Of an unkeyed table 100 times the budget, no part that is windowed holds more rows than the budget."""
+    counted = spark.range(40_000).select((F.col("id") * 7919 % 40_009).cast("double").alias("v"), F.lit(1).cast("long").alias("c"))
+    parts = counted.repartitionByRange(200, "v").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert parts <= 400
+    out = rows_below(counted, [], "v", "c", "less", 400)
+    assert out.agg(F.sum("less")).first()[0] == 40_000 * 39_999 // 2
+    assert out.filter("less = 0").first()["v"] == counted.agg(F.min("v")).first()[0]
