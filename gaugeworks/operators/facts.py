@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The published metrics of each dataset.
@@ -16,27 +16,58 @@ METRICS = {
     "occupancy": ("available_rooms", "occupied_rooms", "guests"), "fiscal": ("revenue", "expense", "net_per_observation"),
 }
 
-EXACT = "decimal(28,9)"
+#: A number between 1e-3 and 1e7 as a decimal: all digits that tell it from other doubles, and room for 10^12 of them.
+EXACT = "decimal(38,19)"
+#: Decades of a size class; class 0 are the numbers that Spark writes without an exponent.
+DECADES = 10
+
+
+def size_class(value: Column) -> Column:
+    """Which ten decades a double is in; NULL for one that is not finite."""
+    text = value.cast("string")
+    power = F.when(text.contains("E"), F.substring_index(text, "E", -1).try_cast("int")).otherwise(0)
+    return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), F.floor((power + 3) / DECADES).cast("int"))
+
+
+def exact_part(value: Column) -> Column:
+    """A finite double over 10^(DECADES * its class), as an exact decimal of its written digits."""
+    text = value.cast("string")
+    power = F.substring_index(text, "E", -1).try_cast("int") - DECADES * size_class(value)
+    moved = F.concat(F.substring_index(text, "E", 1), F.lit("E"), power.cast("string"))
+    return F.when(text.contains("E"), moved.try_cast(EXACT)).otherwise(value.try_cast(EXACT))
+
+
+def total_of(parts: Column) -> Column:
+    """The double that sums of exact parts, an array of (class, sum), stand for; they are added from the largest class down."""
+    def double(p: Column) -> Column:
+        return F.concat(p["sum"].cast("string"), F.lit("E"), (p["class"] * DECADES).cast("string")).try_cast("double")
+    return F.aggregate(F.reverse(F.array_sort(parts)), F.lit(0.0), lambda total, p: total + double(p))
 
 
 def daily_facts(df: DataFrame, dataset: str, sensor: str, metrics: Sequence[str], time: str = "timestamp") -> DataFrame:
     """Observations, distinct sensors, mean, min and max of each metric per day, in long form.
 
-    The distinct sensors are counted from (day, sensor) partial sums, so the raw rows are read and shuffled once. Sums are exact
-    decimals (each value to nine places), so that a mean, and with it a published digest, does not depend on how the rows
-    were partitioned; a day with a value that is not finite has mean NaN.
+    Readings are summed per (day, sensor, metric), in each task before they are shuffled once; everything else works on those sums. They
+    are exact decimals, one for each ten decades of size, and are turned into a double once at the end, so that a mean, and with it
+    a published digest, does not depend on how rows were partitioned or which came first, and large readings that cancel leave
+    small ones whole; zeros lose their sign. The mean is kept between the smallest and the largest reading, as rounding alone could take it out. A day
+    with a reading that is not finite has mean NaN.
     """
-    per = df.groupBy(F.to_date(time).alias("day"), sensor).agg(F.count("*").alias("_n"), *[
-        e for m in metrics for e in (F.count(m).alias(f"_c_{m}"), F.sum(F.col(m).try_cast(EXACT)).alias(f"_s_{m}"), F.count(F.col(m).try_cast(EXACT)).alias(f"_f_{m}"),
-                                     F.min(m).alias(f"_l_{m}"), F.max(m).alias(f"_h_{m}"))])
-    wide = per.groupBy("day").agg(F.sum("_n").alias("observations"), F.count(sensor).alias("sensors"), *[
-        e for m in metrics for e in (F.when(F.sum(f"_c_{m}") > F.sum(f"_f_{m}"), float("nan")).otherwise(
-                                         F.try_divide(F.sum(f"_s_{m}").cast("double"), F.sum(f"_c_{m}").cast("double"))).alias(f"mean_{m}"),
-                                     F.min(f"_l_{m}").alias(f"min_{m}"), F.max(f"_h_{m}").alias(f"max_{m}"))])
-    lines = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"mean_{m}").cast("double").alias("mean"), F.col(f"min_{m}").cast("double").alias("minimum"),
-                               F.col(f"max_{m}").cast("double").alias("maximum")) for m in metrics])
-    return wide.select(F.lit(dataset).alias("dataset"), "day", "observations", "sensors", F.explode(lines).alias("m")).select(
-        "dataset", "m.metric", "day", "observations", "sensors", "m.mean", "m.minimum", "m.maximum")
+    lines = df.select(F.to_date(time).alias("day"), F.col(sensor).alias("_sensor"), F.explode(F.array(
+        *[F.struct(F.lit(m).alias("metric"), F.when(F.col(m) == 0, 0.0).otherwise(F.col(m).cast("double")).alias("v")) for m in metrics])).alias("m"))
+    lines = lines.select("day", "_sensor", "m.metric", F.col("m.v").alias("v"), size_class(F.col("m.v")).alias("class"))
+    per = lines.groupBy("day", "metric", "_sensor", "class").agg(
+        F.count("*").alias("n"), F.count("v").alias("c"), F.sum(exact_part(F.col("v"))).alias("sum"), F.min("v").alias("low"), F.max("v").alias("high"))
+    stats = per.groupBy("day", "metric").agg(
+        F.sum("n").alias("observations"), F.count_distinct("_sensor").alias("sensors"), F.sum("c").alias("c"), F.count(F.when(F.col("class").isNull() & (F.col("c") > 0), 1)).alias("odd"),
+        F.min("low").alias("minimum"), F.max("high").alias("maximum"))
+    sums = per.filter(F.col("class").isNotNull()).groupBy("day", "metric", "class").agg(F.sum("sum").alias("sum"))
+    sums = sums.groupBy("day", "metric").agg(F.collect_list(F.struct("class", "sum")).alias("parts"))  # a few dozen classes at most
+    sums = sums.select(F.col("day").alias("_day"), F.col("metric").alias("_metric"), "parts")
+    mean = F.greatest("minimum", F.least("maximum", F.try_divide(total_of(F.col("parts")), F.col("c").cast("double"))))
+    both = stats.join(sums, F.col("day").eqNullSafe(F.col("_day")) & (F.col("metric") == F.col("_metric")), "left")
+    mean = F.when(F.col("odd") > 0, float("nan")).when(F.col("c") > 0, mean)
+    return both.select(F.lit(dataset).alias("dataset"), "metric", "day", "observations", "sensors", mean.alias("mean"), "minimum", "maximum")
 
 
 def facts_of(tables: Mapping[str, DataFrame], sensors: Mapping[str, str], metrics: Mapping[str, Sequence[str]] = METRICS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import forecast as FC
 from gaugeworks.operators.anomaly import alert_records
-from gaugeworks.operators.facts import daily_facts
+from gaugeworks.operators.facts import METRICS, daily_facts, facts_of
 from gaugeworks.plans import tables as T
 from gaugeworks.plans.catalogue.anomaly_queries import ZSCORE, zscore
 from gaugeworks.plans.catalogue.feature_queries import FACTS
@@ -65,6 +65,23 @@ def publish_snapshot(spark, folder):
                              F.count(F.when(F.col("kind") == "alert", 1)).alias("alert_rows")))
 
 
+@query("publish_six_datasets", f"""WITH {T.six_facts_sql(METRICS)}
+SELECT 'unchanged' AS status, 'run-6' AS run_id, dataset, metric, count(*) AS days, CAST(sum(observations) AS BIGINT) AS observations, {num("min(minimum)", "minimum")}, {num("max(maximum)", "maximum")},
+  {num("sum(mean * observations) / sum(observations)", "mean")} FROM six GROUP BY dataset, metric""")
+def publish_six_datasets(spark, folder):
+    """A snapshot of all six datasets, published, and published again from rows in another order."""
+    tables, sensors = T.six(spark, folder)
+    root = new_folder(spark, "store")
+    PB.publish(facts_of(tables, sensors), alerts(spark, folder), root, "run-6")
+    again = {name: t.repartition(7) for name, t in tables.items()}
+    status = PB.publish(facts_of(again, sensors), alerts(spark, folder), root, "run-6")
+    f, _ = PB.read_published(spark, root)
+    f = f.groupBy("run_id", "dataset", "metric").agg(
+        F.count("*").alias("days"), F.sum("observations").alias("observations"), F.min("minimum").alias("minimum"), F.max("maximum").alias("maximum"),
+        (F.sum(F.col("mean") * F.col("observations")) / F.sum("observations")).alias("mean"))
+    return reported(f.withColumn("status", F.lit(status["status"])))
+
+
 @query("publish_retry", f"""WITH {T.TRAFFIC_SQL}, {FACTS} SELECT 'unchanged' AS status, CAST(1 AS BIGINT) AS ledger_lines, 2 * (SELECT count(*) FROM f) AS fact_rows, true AS changed_content_refused""")
 def publish_retry(spark, folder):
     root, _ = published(spark, folder)

@@ -75,6 +75,59 @@ ENERGY_SQL = """energy AS (
          o_totalprice AS power_consumption FROM orders)"""
 
 
+def full_energy(spark: SparkSession, folder: str) -> DataFrame:
+    """Load readings with all published metrics, worked out from the order's price and keys."""
+    price, place = F.col("power_consumption"), F.col("reading_id") % 7
+    return energy(spark, folder).select("*", (220 + place).cast("double").alias("voltage"), (price / (220 + place)).alias("current"), (1 / (1 + place)).alias("power_factor"))
+
+
+FULL_ENERGY_SQL = """full_energy AS (
+  SELECT *, CAST(220 + reading_id % 7 AS DOUBLE) AS voltage, power_consumption / (220 + reading_id % 7) AS current, CAST(1 AS DOUBLE) / (1 + reading_id % 7) AS power_factor FROM energy)"""
+
+
+def weather(spark: SparkSession, folder: str) -> DataFrame:
+    """Weather readings by ship date; parts are stations."""
+    return table(spark, folder, "lineitem").select(
+        F.col("l_partkey").alias("station_id"), F.col("l_shipdate").alias("timestamp"),
+        (F.col("l_quantity") - 15).cast("double").alias("temperature"), (F.col("l_discount") * 1000).cast("double").alias("humidity"),
+        (F.col("l_quantity") / 3).cast("double").alias("wind_speed"), (F.col("l_tax") * 100).cast("double").alias("precipitation"))
+
+
+WEATHER_SQL = """weather AS (
+  SELECT l_partkey AS station_id, l_shipdate AS "timestamp", CAST(l_quantity - 15 AS DOUBLE) AS temperature, CAST(l_discount * 1000 AS DOUBLE) AS humidity,
+         CAST(l_quantity / 3 AS DOUBLE) AS wind_speed, CAST(l_tax * 100 AS DOUBLE) AS precipitation FROM lineitem)"""
+
+
+def air_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Pollutant readings of all events; users are monitors."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("monitor_id"), F.col("ts").alias("timestamp"), (k / 3).alias("pm25"), k.alias("pm10"), F.col("value").cast("double").alias("no2"), (k / 1000).alias("co"))
+
+
+AIR_QUALITY_SQL = """air_quality AS (
+  SELECT user_id AS monitor_id, ts AS "timestamp", k / 3 AS pm25, k AS pm10, CAST(value AS DOUBLE) AS no2, k / 1000 AS co
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events))"""
+
+
+def six(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """All six datasets with their published metrics, and the sensor column of each."""
+    money = fiscal(spark, folder).withColumn("net_per_observation", F.col("revenue") - F.col("expense"))
+    tables = {"traffic": traffic(spark, folder), "air_quality": air_quality(spark, folder), "weather": weather(spark, folder), "energy": full_energy(spark, folder),
+              "occupancy": occupancy(spark, folder), "fiscal": money}
+    return tables, {"traffic": "sensor_id", "air_quality": "monitor_id", "weather": "station_id", "energy": "meter_id", "occupancy": "sensor_id", "fiscal": "sensor_id"}
+
+
+def six_facts_sql(metrics) -> str:
+    """Daily facts of all six datasets: dataset, metric, d, observations, sensors, mean, minimum, maximum."""
+    sensors = {"air_quality": "monitor_id", "weather": "station_id", "energy": "meter_id"}
+    own = {"energy": "full_energy", "fiscal": "(SELECT *, revenue - expense AS net_per_observation FROM fiscal)"}
+    lines = " UNION ALL ".join(
+        f"""SELECT '{d}' AS dataset, '{m}' AS metric, CAST("timestamp" AS DATE) AS d, count(*) AS observations, count(DISTINCT {sensors.get(d, "sensor_id")}) AS sensors,
+        avg({m}) AS mean, min({m}) AS minimum, max({m}) AS maximum FROM {own.get(d, d)} GROUP BY 3""" for d, ms in metrics.items() for m in ms)
+    return f"{TRAFFIC_SQL}, {AIR_QUALITY_SQL}, {WEATHER_SQL}, {ENERGY_SQL}, {FULL_ENERGY_SQL}, {OCCUPANCY_SQL}, {FISCAL_SQL}, six AS ({lines})"
+
+
 def dirty_traffic(spark: SparkSession, folder: str) -> DataFrame:
     """All events as raw traffic text with defects worked in at fixed places: blanks, bad times, impossible values,
     copies, copies that differ only in spacing, and conflicting readings of one key."""

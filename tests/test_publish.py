@@ -154,6 +154,31 @@ def test_digest_of_facts_does_not_depend_on_partitions(spark):
     assert odd.filter("isnan(mean)").count() == odd.count()
 
 
+def test_sound_facts_of_any_size_publish(spark):
+    """Readings beyond nine places, tiny, huge and cancelling ones: exact means within bounds, one digest for every partitioning."""
+    import datetime as dt
+    from fractions import Fraction
+
+    from gaugeworks.operators.cleaning import digest_text
+    from gaugeworks.operators.facts import facts_of
+    days = [[1 / 3] * 7, [2 / 3] * 3, [4e-10] * 6, [1e20] * 3, [1e20, 1.0, -1e20, 3.0], [1e-300, 2e-300], [5e-324] * 3, [1.7e308, 1.7e308], [0.1] * 10, [-1e7, 1e7, 0.25], [0.0, -0.0], [9999999.999999998, 1e-3]]
+    data = [(str(i % 3), dt.datetime(2024, 1, 1 + d, i % 24), x) for d, xs in enumerate(days) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(data, "s string, timestamp timestamp, x double")
+    found = daily_facts(df, "energy", "s", ["x"]).orderBy("day").collect()
+    for r, xs in zip(found, days, strict=True):
+        assert r["minimum"] <= r["mean"] <= r["maximum"] and r["observations"] == len(xs)
+        want = float(sum(map(Fraction, xs)) / len(xs))
+        assert r["mean"] == pytest.approx(want, rel=1e-15, abs=1e-320)
+    tables = {name: df.select("s", "timestamp", *[(F.col("x") if name != "traffic" else F.col("x") / 7).alias(m) for m in ms]) for name, ms in METRICS.items()}
+    sensors = dict.fromkeys(METRICS, "s")
+    assert not any(PB.fact_violations(facts_of(tables, sensors)).first())
+    assert len({digest_text(facts_of({k: t.repartition(n, *t.columns[2:3]) if n > 1 else t.coalesce(1) for k, t in tables.items()}, sensors)) for n, tables in ((1, tables), (3, tables), (11, tables))}) == 1
+    nothing = df.filter("s = '9'")
+    assert daily_facts(nothing, "energy", "s", ["x"]).count() == 0
+    blank = daily_facts(df.withColumns({"x": F.lit(None).cast("double"), "timestamp": F.lit(None).cast("timestamp")}), "energy", "s", ["x"]).collect()
+    assert [(r["day"], r["mean"], r["sensors"], r["observations"]) for r in blank] == [(None, None, 3, len(data))]
+
+
 def test_removed_runs_stay_removed(spark, bundle):
     facts, alerts = bundle
     root = new_folder(spark, "store")
