@@ -2,7 +2,10 @@
 
 The index is a table bucketed and sorted by digest. A batch of documents is digested once, reduced to one row per digest
 (with a partial aggregate before the shuffle, so that a hot text costs no more than any other), held against the index by a
-sort-merge anti-join, and what is new is appended. The index side is never shuffled or sorted again.
+sort-merge anti-join, and what is new is appended. The index side is never shuffled again.
+
+Each digest carries the id of the batch that brought it. A caller who names the batch can repeat a call that was stopped anywhere:
+what an append of the same batch brought before counts as this batch's own.
 
 Defined cases: a null text counts as empty; texts are equal when they are the same after removal of blanks; of equal texts
 the one with the most code points, then the smallest doc_id (null first) stays; of repeated rows one stays; an empty table
@@ -46,19 +49,19 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def admit(self, digested: DataFrame) -> str:
+    def admit(self, digested: DataFrame, batch: str | None = None) -> tuple[str, DataFrame]:
         """Add the digests that are new. ``digested`` (row, doc_id, n_points, text_sha256) must be a stored table.
 
-        Returns the batch id under which new digests were appended. After a crash the call can be repeated: digests that
-        a finished append brought are then known, and nothing is added twice.
+        Returns the batch id under which new digests were appended and the batch's groups, stored: text_sha256, first (the row
+        that would stay) and group_size. A call with a ``batch`` that was appended before, in whole or in part, adds what is missing.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         first = F.min(F.struct((-F.col("n_points")).alias("n"), "doc_id", "row")).alias("first")
-        groups = keep(digested.groupBy("text_sha256").agg(first))  # stored, else the anti-join is moved below the aggregate
+        groups = keep(digested.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("group_size")))  # stored, else the anti-join is moved below the aggregate
         unseen = groups.hint("merge").join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
         self._append(unseen.select("text_sha256", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"),
                                    F.lit(batch).alias("batch")))
-        return batch
+        return batch, groups
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
@@ -67,29 +70,28 @@ def digest_rows(docs: DataFrame) -> DataFrame:
                             F.length(whole_text()).alias("n_points"), normal_digest().alias("text_sha256")))
 
 
-def verdicts(digested: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+def verdicts(digested: DataFrame, index: DigestIndex, batch: str, groups: DataFrame) -> DataFrame:
     """row, doc_id, keep_id, group_size (rows of this batch with the text), kept and text_sha256 for every row."""
-    sizes = keep(digested.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size")))
-    total = sizes.agg(F.sum("group_size")).first()[0] or 0
-    hot = sizes.filter(F.col("group_size") > max(total // HOT_GROUPS, 1))
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    is_hot = F.col("group_size") > max(total // HOT_GROUPS, 1)
+    sizes = groups.select("text_sha256", "group_size", F.col("first.row").alias("first_row"))
     known = index.read()
 
-    def judged(rows: DataFrame, groups: DataFrame) -> DataFrame:
-        return rows.join(groups, "text_sha256").select(
+    def judged(rows: DataFrame, some: DataFrame) -> DataFrame:
+        return rows.join(some, "text_sha256").select(
             "row", "doc_id", "keep_id", "group_size",
-            ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"), "text_sha256")
+            ((F.col("batch") == batch) & (F.col("row") == F.col("first_row"))).alias("kept"), "text_sha256")
 
-    hot_groups = hot.join(known, "text_sha256")
-    often = F.broadcast(hot_groups)  # at most HOT_GROUPS rows
-    rest = digested.join(F.broadcast(hot.select("text_sha256")), "text_sha256", "left_anti")
-    seldom = sizes.filter(F.col("group_size") <= max(total // HOT_GROUPS, 1)).join(known.hint("merge"), "text_sha256")
+    often = F.broadcast(sizes.filter(is_hot).join(known, "text_sha256"))  # at most HOT_GROUPS rows
+    rest = digested.join(F.broadcast(sizes.filter(is_hot).select("text_sha256")), "text_sha256", "left_anti")
+    seldom = sizes.filter(~is_hot).join(known.hint("merge"), "text_sha256")
     return judged(digested, often).unionByName(judged(rest, seldom))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """Verdict on every row of ``docs``; texts that the index did not hold are added to it."""
     digested = digest_rows(docs)
-    return verdicts(digested, index, index.admit(digested))
+    return verdicts(digested, index, *index.admit(digested, batch))
 
 
 def own_index(spark: SparkSession) -> DigestIndex:
@@ -97,14 +99,15 @@ def own_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, f"digests_{uuid.uuid4().hex}", new_folder(spark, "digests"))
 
 
-def keep_first_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def keep_first_copies(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     row = fresh(docs, "row_number")
     stored = keep(docs.withColumn(row, F.monotonically_increasing_id()))
     digested = keep(stored.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                                   F.length(whole_text()).alias("n_points"), normal_digest().alias("text_sha256")))
-    batch = index.admit(digested)
-    staying = index.read().filter(F.col("batch") == batch).select(F.col("keep_row").alias(row))
+    batch, groups = index.admit(digested, batch)
+    own = index.read().filter(F.col("batch") == batch).select("text_sha256")
+    staying = groups.hint("merge").join(own.hint("merge"), "text_sha256", "left_semi").select(F.col("first.row").alias(row))
     return stored.join(staying, row, "left_semi").drop(row)
 
 

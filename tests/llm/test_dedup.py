@@ -12,6 +12,19 @@ from gaugeworks.llm.components import components
 from tests.llm import odd
 
 
+def test_exact_batch_can_be_repeated_after_a_stop(spark):
+    index = exact_dedup.own_index(spark)
+    docs = spark.createDataFrame([(i, f"text {i % 6}") for i in range(12)], "doc_id bigint, text string").repartition(3)
+    exact_dedup.exact_dedup(docs.filter("doc_id = 5"), index, "earlier")
+    index.admit(exact_dedup.digest_rows(docs), "mine")  # and stopped before its verdict
+    again = docs.repartition(5)  # rows are numbered otherwise in the second attempt
+    for _ in range(2):
+        kept = exact_dedup.keep_first_copies(again, index, "mine")
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4]
+        assert sorted(r.doc_id for r in exact_dedup.exact_dedup(again, index, "mine").filter("kept").collect()) == [0, 1, 2, 3, 4]
+    assert index.read().count() == 6 and exact_dedup.keep_first_copies(again, index, "later").count() == 0
+
+
 def test_exact_verdicts(spark):
     found = exact_dedup.exact_dedup(odd.table(spark), exact_dedup.own_index(spark)).collect()
     groups = defaultdict(list)
