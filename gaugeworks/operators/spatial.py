@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.columns import haversine_km, pearson
 from gaugeworks.operators.slices import BROADCAST_KEYS, checked_join
+from gaugeworks.session import keep
 
 BROADCAST_BINS = 500_000
 """Most grid cells of a zone table that are replicated to every task."""
@@ -22,11 +24,22 @@ def _bin(c: Column | str, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(size)).cast("long")
 
 
+COVER = 16
+"""Cells that a zone spans in each direction before it goes to cells of twice the size."""
+
+
+def zone_level(bin_size: float) -> Column:
+    """Level of the cells that cover a zone; cells of level n are ``bin_size * 2^n`` wide."""
+    span = F.greatest(F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min"))
+    return F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(F.when(span > 0, span / (bin_size * COVER)))), F.lit(0))).cast("int").alias("_level")
+
+
 def zone_bins(zones: DataFrame, bin_size: float) -> DataFrame:
-    """One row per zone and grid cell it touches."""
-    lat = F.explode(F.sequence(_bin("lat_min", bin_size), _bin("lat_max", bin_size)))
-    lon = F.explode(F.sequence(_bin("lon_min", bin_size), _bin("lon_max", bin_size)))
-    return zones.withColumn("_lat_bin", lat).withColumn("_lon_bin", lon)
+    """One row per zone and grid cell it touches; a zone has cells of one level, at most about ``COVER`` squared of them."""
+    levelled = zones.withColumn("_level", zone_level(bin_size))
+    size = F.lit(bin_size) * F.pow(F.lit(2.0), F.col("_level"))
+    lat, lon = (F.explode(F.sequence(F.floor(F.col(f"{c}_min") / size).cast("long"), F.floor(F.col(f"{c}_max") / size).cast("long"))) for c in ("lat", "lon"))
+    return levelled.withColumn("_lat_bin", lat).withColumn("_lon_bin", lon)
 
 
 def map_to_zones(points: DataFrame, zones: DataFrame, key: Sequence[str], bin_size: float = 0.002, lat: str = "location_lat",
@@ -35,8 +48,8 @@ def map_to_zones(points: DataFrame, zones: DataFrame, key: Sequence[str], bin_si
     """Attach the rectangular zone (edges included) a point lies in.
 
     ``ties="lowest"`` keeps every point once, with the smallest matching zone id and ``zone_match_count``;
-    ``ties="all"`` keeps all matches. Unmatched points keep NULL. Points and zones meet on grid cells, never by
-    comparing every point with every zone; ``key`` only documents what a point is and may repeat or be NULL. While the cell table is small (its size is counted), each cell carries
+    ``ties="all"`` keeps all matches. Unmatched points keep NULL. Points and zones meet on grid cells of several sizes, wide zones on
+    wide cells, and a point looks up one cell of each size; never is every point compared with every zone; ``key`` only documents what a point is and may repeat or be NULL. While the cell table is small (its size is counted), each cell carries
     its zones to the points and no point is shuffled; otherwise both sides are shuffled on the cell.
     """
     if ties not in ("lowest", "all"):
@@ -44,21 +57,24 @@ def map_to_zones(points: DataFrame, zones: DataFrame, key: Sequence[str], bin_si
     attributes = [a for a in attributes if a in zones.columns]
     corners = ["lat_min", "lat_max", "lon_min", "lon_max"]
     wanted = zones.select("zone_id", *corners, *attributes)
-    span = (_bin("lat_max", bin_size) - _bin("lat_min", bin_size) + 1) * (_bin("lon_max", bin_size) - _bin("lon_min", bin_size) + 1)
-    cells = wanted.agg(F.coalesce(F.sum(span), F.lit(0))).first()[0]
-    bins = zone_bins(wanted, bin_size)
-    placed = points.withColumns({"_lat_bin": _bin(lat, bin_size), "_lon_bin": _bin(lon, bin_size)})
-    at = ["_lat_bin", "_lon_bin"]
+    bins = keep(zone_bins(wanted, bin_size))
+    levels = sorted(r[0] for r in bins.select("_level").distinct().collect())  # a few dozen at most
+    at = ["_level", "_lat_bin", "_lon_bin"]
+    y, x = F.col(lat), F.col(lon)
 
-    small = cells <= broadcast_bins
+    small = bins.count() <= broadcast_bins
     if small:
         small = (bins.groupBy(*at).count().agg(F.max("count")).first()[0] or 0) <= zones_per_bin
     if small:
-        listed = bins.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("zone_id", *corners, *attributes))).alias("_zones"))
-        joined = placed.join(F.broadcast(listed), at, "left")
-        y, x = F.col(lat), F.col(lon)
-        hits = F.filter(F.coalesce("_zones", F.array()), lambda z: y.between(z["lat_min"], z["lat_max"]) & x.between(z["lon_min"], z["lon_max"]))
-        found = joined.withColumn("_hits", hits).drop("_zones", *at)
+        listed = keep(bins.groupBy(*at).agg(F.collect_list(F.struct("zone_id", *corners, *attributes)).alias("_zones")))
+        joined, lists = points, []
+        for n in levels:
+            size = bin_size * 2 ** n
+            own = listed.filter(F.col("_level") == n).select("_lat_bin", "_lon_bin", F.col("_zones").alias(f"_zones{n}"))
+            joined = joined.withColumns({"_lat_bin": _bin(lat, size), "_lon_bin": _bin(lon, size)}).join(F.broadcast(own), at[1:], "left").drop(*at[1:])
+            lists.append(F.filter(F.coalesce(f"_zones{n}", F.array()), lambda z: y.between(z["lat_min"], z["lat_max"]) & x.between(z["lon_min"], z["lon_max"])))
+        none = F.array().cast(listed.schema["_zones"].dataType)
+        found = joined.withColumn("_hits", F.array_sort(F.concat(none, *lists))).select(*points.columns, "_hits")
         if ties == "lowest":
             first = F.try_element_at("_hits", F.lit(1))
             return found.withColumns({"zone_match_count": F.size("_hits"), "zone_id": first["zone_id"],
@@ -66,16 +82,17 @@ def map_to_zones(points: DataFrame, zones: DataFrame, key: Sequence[str], bin_si
         one = found.withColumn("_z", F.explode_outer("_hits"))
         return one.withColumns({"zone_id": F.col("_z.zone_id"), **{a: F.col(f"_z.{a}") for a in attributes}}).drop("_hits", "_z")
 
-    p, z = placed.alias("p"), bins.alias("z")
+    # a point's zones depend on its place only: each place is compared once, in one cell per level, and points need no key to get the answer back
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("_level"), _bin(lat, bin_size * 2 ** n).alias("_lat_bin"), _bin(lon, bin_size * 2 ** n).alias("_lon_bin"))
+                                for n in levels or [0]]))
+    p, z = points.select(lat, lon).distinct().withColumn("_cell", cells).select(lat, lon, "_cell.*").alias("p"), bins.alias("z")
     inside = F.col(f"p.{lat}").between(F.col("z.lat_min"), F.col("z.lat_max")) & F.col(f"p.{lon}").between(F.col("z.lon_min"), F.col("z.lon_max"))
-    same = (F.col("p._lat_bin") == F.col("z._lat_bin")) & (F.col("p._lon_bin") == F.col("z._lon_bin"))
+    same = reduce(lambda a, b: a & b, [F.col(f"p.{c}") == F.col(f"z.{c}") for c in at])
+    found = p.join(z, same & inside, "inner").select(
+        F.col(f"p.{lat}").alias(lat), F.col(f"p.{lon}").alias(lon), F.struct("z.zone_id", *[f"z.{a}" for a in attributes]).alias("_z"))
     if ties == "all":
-        return p.join(z, same & inside, "left").select(*[F.col(f"p.{c}") for c in points.columns], "z.zone_id", *[f"z.{a}" for a in attributes])
-    # a point's zone depends on its place only: each place is compared once, and points need no key to get the answer back
-    spots = placed.select(lat, lon, *at).distinct().alias("p")
-    best = (spots.join(z, same & inside, "inner")
-            .select(F.col(f"p.{lat}").alias(lat), F.col(f"p.{lon}").alias(lon), F.struct("z.zone_id", *[f"z.{a}" for a in attributes]).alias("_z"))
-            .groupBy(lat, lon).agg(F.min_by("_z", "_z.zone_id").alias("_z"), F.count("*").alias("_n")))
+        return points.join(found, [lat, lon], "left").select(*points.columns, "_z.zone_id", *[f"_z.{a}" for a in attributes])
+    best = found.groupBy(lat, lon).agg(F.min_by("_z", "_z.zone_id").alias("_z"), F.count("*").alias("_n"))
     return points.join(best, [lat, lon], "left").select(*points.columns, "_z", "_n").withColumns({
         "zone_match_count": F.coalesce("_n", F.lit(0)).cast("int"), "zone_id": F.col("_z.zone_id"),
         **{a: F.col(f"_z.{a}") for a in attributes}}).drop("_z", "_n")
@@ -133,7 +150,7 @@ def spatial_correlation(df: DataFrame, key: str, value: str, max_km: float = 2.0
     counted size is small.
     """
     places = sites if sites is not None else site_table(df, key, lat, lon).filter(F.col("coordinates") == 1)
-    pairs = near_pairs(places, key, max_km, lat, lon)
+    pairs = keep(near_pairs(places, key, max_km, lat, lon))
     at = F.hour(time) if align == "hour_of_day" else F.col(time)
     series = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("_s"), at.alias("_t")).agg(F.avg(value).alias("_v"))
     size = pairs.limit(BROADCAST_KEYS + 1).count()

@@ -14,6 +14,9 @@ from gaugeworks.sources import writers as W
 SUMS = f"""SELECT event_type, count(*) AS rows, {num("sum(value)", "total")}, min(user_id) AS lowest, max(user_id) AS highest FROM events GROUP BY 1"""
 SCHEMA = StructType([StructField("event_id", LongType()), StructField("user_id", LongType()), StructField("event_type", StringType()), StructField("value", DoubleType())])
 
+#: Rows of one JSON array file, about; one task parses a file.
+ARRAY_ROWS = 2000
+
 
 def plain(spark, folder):
     return T.table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
@@ -39,18 +42,13 @@ def load_json_lines(spark, folder):
 
 @query("load_json_array", SUMS)
 def load_json_array(spark, folder):
-    """One file that holds one array, as web services export reports: 50 partial sums per event type, loaded and added up.
-
-    Such a file is parsed by one task, so the array is of bounded length.
-    """
-    bucket = F.pmod(F.col("user_id"), F.lit(50)).alias("bucket")
-    partial = plain(spark, folder).groupBy("event_type", bucket).agg(
-        F.count("*").alias("rows"), F.sum("value").alias("total"), F.min("user_id").alias("lowest"), F.max("user_id").alias("highest"))
+    """All events as files that each hold one JSON array, as web services export reports page by page; files are parsed side by side."""
+    rows = plain(spark, folder)
+    pages = rows.groupBy(F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, -(-rows.count() // ARRAY_ROWS)))).alias("page")).agg(
+        F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
     path = new_folder(spark, "array")
-    partial.agg(F.to_json(F.collect_list(F.struct(*partial.columns))).alias("value")).coalesce(1).write.text(path)
-    part = next(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect() if "part-" in r["path"])  # one file
-    loaded = R.load_dataset(spark, part, "json", partial.schema)
-    return reported(loaded.groupBy("event_type").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest")))
+    pages.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return summed(R.load_dataset(spark, path, "json", rows.schema))
 
 
 @query("load_parquet", SUMS)

@@ -19,23 +19,30 @@ def file_format(path: str, given: str | None = None) -> str:
 
 
 def starts_with_array(spark: SparkSession, path: str) -> bool:
-    """Whether a single JSON file begins with ``[``. Only its leading bytes are read; folders always hold JSON lines."""
+    """Whether a JSON file, or the first data file of a folder, begins with ``[``. Only its leading bytes are read; a folder holds either
+    JSON lines or one array per file."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(place) or files.getFileStatus(place).isDirectory():
+    if not files.exists(place):
         return False
-    stream = files.open(place)
-    try:
-        byte = stream.read()
-        while byte >= 0 and chr(byte).isspace():
+    found = files.listFiles(place, True)
+    while found.hasNext():
+        file = found.next()
+        if file.getLen() == 0 or file.getPath().getName()[0] in "._":
+            continue
+        stream = files.open(file.getPath())
+        try:
             byte = stream.read()
-        return byte == ord("[")
-    finally:
-        stream.close()
+            while byte >= 0 and chr(byte).isspace():
+                byte = stream.read()
+            return byte == ord("[")
+        finally:
+            stream.close()
+    return False
 
 
 def load_dataset(spark: SparkSession, path: str, format: str | None = None, schema: StructType | str | None = None) -> DataFrame:
-    """CSV with header, JSON lines or one JSON array, or Parquet. Give a schema for large inputs: inference reads them twice."""
+    """CSV with header, JSON lines or JSON arrays of one file each, or Parquet. Give a schema for large inputs: inference reads them twice."""
     kind = file_format(path, format)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind == "csv":

@@ -62,3 +62,29 @@ def test_spatial_association_needs_stable_sites(spark):
     moved = df.withColumn("location_lat", F.when((F.col("sensor") == "a") & (F.dayofmonth("timestamp") == 1), 1.0).otherwise(F.col("location_lat")))
     assert S.spatial_correlation(moved, "sensor", "reading").count() == 0
     assert S.location_stability(moved, "sensor").first()["stable_location_sensors"] == 1
+
+
+def test_a_wide_zone_has_few_cells(spark):
+    shape = "zone_id int, lat_min double, lat_max double, lon_min double, lon_max double"
+    zones = spark.createDataFrame([(1, 40.0, 50.0, 0.0, 10.0), (2, 41.0, 41.001, 3.0, 3.001), (3, -90.0, 90.0, -180.0, 180.0), (4, 1.0, 1.0, 1.0, 1.0)], shape)
+    cells = {r["zone_id"]: r["count"] for r in S.zone_bins(zones, 0.002).groupBy("zone_id").count().collect()}
+    assert cells.keys() == {1, 2, 3, 4} and max(cells.values()) < 1000
+
+
+@pytest.mark.parametrize("bins", [500_000, 0])
+def test_zones_of_very_different_sizes(spark, bins):
+    rng = random.Random(9)
+    zs = []
+    for i in range(40):
+        side = 10 ** rng.uniform(-3, 1.2)
+        y, x = rng.uniform(-20, 20), rng.uniform(-20, 20)
+        zs.append((i, y, y + side * rng.random(), x, x + side))
+    ps = [(i, rng.uniform(-20, 20), rng.uniform(-20, 20)) for i in range(200)] + [(200 + i, z[1], z[4]) for i, z in enumerate(zs)]
+    zones = spark.createDataFrame(zs, "zone_id int, lat_min double, lat_max double, lon_min double, lon_max double")
+    points = spark.createDataFrame(ps, "id int, location_lat double, location_lon double")
+    want = sorted((i, z[0]) for i, y, x in ps for z in zs if z[1] <= y <= z[2] and z[3] <= x <= z[4])
+    got = rows(S.map_to_zones(points, zones, ["id"], .002, ties="all", broadcast_bins=bins).filter("zone_id is not null"), "id", "zone_id")
+    assert sorted(got) == want
+    first = rows(S.map_to_zones(points, zones, ["id"], .002, broadcast_bins=bins), "id", "zone_id", "zone_match_count")
+    hits = {i: [z for p, z in want if p == i] for i, *_ in ps}
+    assert sorted(first) == sorted((i, min(h) if h else None, len(h)) for i, h in hits.items())
