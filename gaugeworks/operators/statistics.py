@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.calendar import DAY_SECONDS, epoch
 from gaugeworks.functions.columns import flag, pearson, ratio
+from gaugeworks.operators.fourier import bin_powers
 from gaugeworks.operators.gaps import fill_calendar
 from gaugeworks.operators.quantiles import value_ranks
 from gaugeworks.operators.slices import with_halo
@@ -279,16 +280,12 @@ def target_cycles(series: DataFrame, value: str, index: str, step_hours: float,
 
 
 def spectrum(series: DataFrame, value: str, index: str, shortest: float | None = None, longest: float | None = None, step: float = 1.0) -> DataFrame:
-    """Power of every bin (DC included) of a short evenly spaced series, such as days or hours of a year.
-
-    Every row is exploded to its bins and the sums are built map-side, so cost is rows x bins.
-    """
+    """Power of every bin (DC included) between two periods of an evenly spaced series of any length."""
     n, mean = series.agg(F.count("*"), F.avg(value)).first()
     first = 0 if longest is None else max(1, math.ceil(n * step / longest - 1e-9))
     last = n // 2 if shortest is None else min(n // 2, math.floor(n * step / shortest + 1e-9))
     rows = series.select((F.col(value) - F.lit(mean)).alias("v"), F.col(index).alias("i"))
-    rows = rows.withColumn("bin", F.explode(F.sequence(F.lit(first), F.lit(last))))
-    out = rows.groupBy("bin").agg(_power(F.col("v"), F.col("i"), F.col("bin"), F.lit(n)).alias("power"))
+    out = bin_powers(rows, "v", "i", n).filter(F.col("bin").between(first, last))
     return out.withColumns({"period": F.try_divide(F.lit(n * step), F.col("bin").cast("double")), "amplitude": F.sqrt("power")})
 
 

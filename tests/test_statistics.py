@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from gaugeworks.operators import features as X
 from gaugeworks.operators import statistics as S
+from gaugeworks.operators.fourier import bin_powers
 
 START = dt.date(2025, 1, 1)
 
@@ -152,3 +153,28 @@ def test_chronological_pairs(spark):
     d = spark.createDataFrame([("a", i, float(i)) for i in range(1, 7)], "sensor string, d int, v double").withColumn("timestamp", F.timestamp_seconds(F.col("d") * 86400))
     parts = dict(rows(X.next_observation_pairs(d, "sensor", "v", (3 * 86400, 5 * 86400)).groupBy("part").count()))
     assert parts == {"train": 1, "validation": 1, "test": 1, "purged": 2, "unlabelled": 1}
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 97, 360, 1001])
+def test_bin_powers_of_any_length(spark, n):
+    y = np.random.default_rng(n).normal(size=n)
+    series = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "i long, v double").repartition(3)
+    got = dict(rows(bin_powers(series, "v", "i", n), "bin", "power"))
+    assert sorted(got) == list(range(n // 2 + 1)) and np.allclose([got[b] for b in sorted(got)], np.abs(np.fft.rfft(y)) ** 2, rtol=1e-9, atol=1e-9)
+
+
+def test_bin_powers_of_odd_rows(spark):
+    series = spark.createDataFrame([(0, 1.0), (0, 2.0), (1, None), (5, 4.0), (-1, 1.0), (None, 9.0)], "i long, v double")
+    got = dict(rows(bin_powers(series, "v", "i", 4), "bin", "power"))  # position 5 is 1, -1 is 3
+    assert np.allclose([got[b] for b in sorted(got)], np.abs(np.fft.rfft([3, 4, 0, 1])) ** 2)
+    assert bin_powers(series.limit(0), "v", "i", 0).count() == 0
+    assert np.allclose([r["power"] for r in bin_powers(series.limit(0), "v", "i", 3).collect()], 0)
+
+
+def test_spectrum_of_a_long_series(spark):
+    n = 200_003  # a prime: no length that a plain split would do
+    series = spark.range(n).select(F.col("id").alias("i"), (F.sin(F.col("id") * 2 * math.pi / 24) + F.rand(3)).alias("v"))
+    y = np.array([r["v"] for r in series.orderBy("i").collect()])
+    power = np.abs(np.fft.rfft(y - y.mean())) ** 2
+    got = np.array([r["power"] for r in S.spectrum(series, "v", "i").orderBy("bin").collect()])
+    assert len(got) == len(power) and np.allclose(got, power, rtol=1e-6, atol=1e-6 * power.max() * 1e-6)
