@@ -56,7 +56,10 @@ OUTER = f"""a AS (SELECT date_trunc('hour', "timestamp") AS h, avg(vehicle_count
 b AS (SELECT date_trunc('hour', "timestamp") AS h, avg({RATE}) AS avg_occupancy_rate, avg(guests) AS avg_guests, count(*) AS occupancy_readings FROM occupancy GROUP BY 1),
 c AS (SELECT date_trunc('hour', "timestamp") AS h, avg(power_consumption) AS avg_power_consumption, count(*) AS energy_readings FROM energy GROUP BY 1),
 d AS (SELECT date_trunc('hour', "timestamp") AS h, avg(revenue) AS avg_revenue, avg(expense) AS avg_expense, count(*) AS fiscal_readings FROM fiscal GROUP BY 1),
-j AS (SELECT * FROM a FULL JOIN b USING (h) FULL JOIN c USING (h) FULL JOIN d USING (h))"""
+wx AS (SELECT date_trunc('hour', "timestamp") AS h, avg(temperature) AS avg_temperature, avg(precipitation) AS avg_precipitation, count(*) AS weather_readings FROM weather GROUP BY 1),
+aq AS (SELECT date_trunc('hour', "timestamp") AS h, avg(pm25) AS avg_pm25, avg(no2) AS avg_no2, count(*) AS air_readings FROM air_quality GROUP BY 1),
+j AS (SELECT * FROM a FULL JOIN b USING (h) FULL JOIN c USING (h) FULL JOIN d USING (h) FULL JOIN wx USING (h) FULL JOIN aq USING (h))"""
+SIX_TABLES = f"{T.TRAFFIC_SQL}, {T.OCCUPANCY_SQL}, {T.ENERGY_SQL}, {T.FISCAL_SQL}, {T.WEATHER_SQL}, {T.AIR_QUALITY_SQL}"
 
 
 def outer_table(spark, folder):
@@ -66,13 +69,16 @@ def outer_table(spark, folder):
             "avg_occupancy_rate": F.try_divide("occupied_rooms", "available_rooms"), "avg_guests": "guests"}, "occupancy_readings"),
         P.hourly_means(T.energy(spark, folder), "timestamp", {"avg_power_consumption": "power_consumption"}, "energy_readings"),
         P.hourly_means(T.fiscal(spark, folder), "timestamp", {"avg_revenue": "revenue", "avg_expense": "expense"}, "fiscal_readings"),
+        P.hourly_means(T.weather(spark, folder), "timestamp", {"avg_temperature": "temperature", "avg_precipitation": "precipitation"}, "weather_readings"),
+        P.hourly_means(T.air_quality(spark, folder), "timestamp", {"avg_pm25": "pm25", "avg_no2": "no2"}, "air_readings"),
     ])
 
 
-@query("hourly_full_outer", f"""WITH {T.TRAFFIC_SQL}, {T.OCCUPANCY_SQL}, {T.ENERGY_SQL}, {T.FISCAL_SQL}, {OUTER}
+@query("hourly_full_outer", f"""WITH {SIX_TABLES}, {OUTER}
 SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS hour_timestamp, {num("avg_vehicle_count", "avg_vehicle_count")}, {num("avg_traffic_speed", "avg_traffic_speed")}, traffic_readings,
   {num("avg_occupancy_rate", "avg_occupancy_rate")}, {num("avg_guests", "avg_guests")}, occupancy_readings, {num("avg_power_consumption", "avg_power_consumption")}, energy_readings,
   {num("avg_revenue", "avg_revenue")}, {num("avg_expense", "avg_expense")}, fiscal_readings,
+  {num("avg_temperature", "avg_temperature")}, {num("avg_precipitation", "avg_precipitation")}, weather_readings, {num("avg_pm25", "avg_pm25")}, {num("avg_no2", "avg_no2")}, air_readings,
   hour(h) AS hour, dayofweek(h) + 1 AS day_of_week, dayofweek(h) IN (0, 6) AS is_weekend FROM j""")
 def hourly_full_outer(spark, folder):
     return reported(outer_table(spark, folder))

@@ -97,12 +97,13 @@ def resample_regular(spark, folder):
     return reported(resampled(spark, folder))
 
 
-@query("calendar_gap_fill", f"""WITH d AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1),
-c AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS day)
-SELECT strftime(c.day, '%Y-%m-%d') AS day, n FROM c LEFT JOIN d USING (day)""")
+@query("calendar_gap_fill", """WITH d AS (SELECT l_linenumber, l_returnflag, CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+c AS (SELECT l_linenumber, l_returnflag, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1, 2)
+SELECT l_linenumber, l_returnflag, strftime(c.day, '%Y-%m-%d') AS day, n FROM c LEFT JOIN d USING (l_linenumber, l_returnflag, day)""")
 def calendar_gap_fill(spark, folder):
-    d = T.table(spark, folder, "lineitem").filter("l_returnflag = 'N'").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count("*").alias("n"))
-    return reported(G.fill_calendar(d, "day"))
+    by = ["l_linenumber", "l_returnflag"]
+    d = T.table(spark, folder, "lineitem").groupBy(*by, F.to_date("l_shipdate").alias("day")).agg(F.count("*").alias("n"))
+    return reported(G.fill_calendar(d, "day", by))
 
 
 @query("calendar_columns", """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, year(ts) AS year, month(ts) AS month, day(ts) AS day, hour(ts) AS hour, dayofweek(ts) + 1 AS day_of_week, dayofweek(ts) IN (0, 6) AS is_weekend FROM events""")

@@ -98,15 +98,20 @@ def calendar_features(spark, folder):
     return reported(d, "hour_sin", "hour_cos", "weekday_sin", "weekday_cos")
 
 
-@query("interactions", f"""WITH {T.OCCUPANCY_SQL}, {T.FISCAL_SQL}, {T.TRAFFIC_SQL}
+@query("interactions", f"""WITH {T.OCCUPANCY_SQL}, {T.FISCAL_SQL}, {T.TRAFFIC_SQL}, {T.WEATHER_SQL}, {T.ENERGY_SQL}, {T.FULL_ENERGY_SQL}, {T.AIR_QUALITY_SQL}
 SELECT 'traffic' AS dataset, count(*) AS rows, {num("avg(vehicle_count * avg_speed)", "mean")} FROM traffic
 UNION ALL SELECT 'occupancy', count(*), {num("avg(CASE WHEN available_rooms > 0 THEN occupied_rooms / available_rooms END)", "mean")} FROM occupancy
-UNION ALL SELECT 'fiscal', count(*), {num("avg(revenue - expense)", "mean")} FROM fiscal""")
+UNION ALL SELECT 'fiscal', count(*), {num("avg(revenue - expense)", "mean")} FROM fiscal
+UNION ALL SELECT 'weather', count(*), {num("avg(temperature * humidity)", "mean")} FROM weather
+UNION ALL SELECT 'energy', count(*), {num("avg(voltage * current)", "mean")} FROM full_energy
+UNION ALL SELECT 'air_quality', count(*), {num("avg(CASE WHEN pm10 > 0 THEN pm25 / pm10 END)", "mean")} FROM air_quality""")
 def interactions(spark, folder):
     def one(df, dataset, column):
         return X.interactions(df, dataset).agg(F.lit(dataset).alias("dataset"), F.count("*").alias("rows"), F.avg(column).alias("mean"))
     out = one(T.traffic(spark, folder), "traffic", "vehicle_count_times_speed").unionByName(
-        one(T.occupancy(spark, folder), "occupancy", "occupancy_fraction")).unionByName(one(T.fiscal(spark, folder), "fiscal", "net_revenue"))
+        one(T.occupancy(spark, folder), "occupancy", "occupancy_fraction")).unionByName(one(T.fiscal(spark, folder), "fiscal", "net_revenue")).unionByName(
+        one(T.weather(spark, folder), "weather", "temperature_times_humidity")).unionByName(
+        one(T.full_energy(spark, folder), "energy", "voltage_times_current")).unionByName(one(T.air_quality(spark, folder), "air_quality", "pm25_pm10_ratio"))
     return reported(out)
 
 

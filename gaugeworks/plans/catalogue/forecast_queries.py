@@ -116,6 +116,41 @@ def forecast_forest(spark, folder):
     return reported(FC.regression_metrics(FC.model_predictions(model, parts.filter("usable"), "expense", FC.FOREST), ["target", "model", "part"]))
 
 
+MODELS = [f"ridge_{p:g}" for p in FC.PENALTIES] + [FC.FOREST]
+
+
+@query("forecast_model_checks", f"""WITH {BASE}, m AS (SELECT unnest([{", ".join(f"'{m}'" for m in MODELS)}]) AS model)
+SELECT target, m.model, part, count(*) AS rows, 0 AS missing, 0 AS negative, CASE WHEN part = 'train' THEN true END AS closer_than_mean
+FROM l, m WHERE l.model = 'training_mean' GROUP BY 1, 2, 3""")
+def forecast_model_checks(spark, folder):
+    """What must hold for every fitted model and both targets: a prediction for each usable day, none below zero, and in training closer than the mean."""
+    every, _ = FC.all_predictions(X.checked_parts(keep(FC.forecast_panel(panel(spark, folder)))))
+    every = keep(every)
+    squared = F.avg(F.pow(F.col("actual") - F.col("prediction"), 2))
+    one = every.groupBy("target", "model", "part").agg(F.count("*").alias("rows"), F.count(F.when(F.col("prediction").isNull() | F.isnan("prediction"), 1)).alias("missing"),
+                                                       F.count(F.when(F.col("prediction") < 0, 1)).alias("negative"), squared.alias("_mse"))
+    mean = one.filter("model = 'training_mean'").select("target", "part", F.col("_mse").alias("_mean_mse"))
+    fitted = one.filter(F.col("model").isin(MODELS)).join(mean, ["target", "part"])
+    return reported(fitted.withColumn("closer_than_mean", F.when(F.col("part") == "train", F.col("_mse") < F.col("_mean_mse"))).drop("_mse", "_mean_mse"))
+
+
+@query("forecast_choice_checks", f"""WITH {BASE} SELECT target, {day("max(d)", "origin_day")}, {day("max(d) + INTERVAL 1 DAY", "target_day")}, count(*) FILTER (WHERE part = 'test') AS test_days,
+  true AS best_in_validation, true AS band_holds_prediction, true AS coverage_as_counted FROM l WHERE model = 'training_mean' GROUP BY 1""")
+def forecast_choice_checks(spark, folder):
+    """What must hold for the choice and the band: least validation RMSE, the prediction inside its band, coverage as counted from the test days."""
+    daily = panel(spark, folder)
+    result = FC.evaluate_forecasts(daily)
+    best = result.selection.groupBy("target").agg(F.min_by("model", F.struct("rmse", F.array_position(F.array(*[F.lit(m) for m in FC.CANDIDATES]), F.col("model")))).alias("_best"))
+    banded = keep(result.predictions)
+    inside = F.col("actual").between(F.col("lower"), F.col("upper"))
+    tested = banded.groupBy("target", "model").agg(F.count("*").alias("test_days"), F.avg(inside.cast("double")).alias("_counted"), F.bool_and(F.col("prediction").between(F.col("lower"), F.col("upper"))).alias("_in"))
+    tested = tested.join(FC.band_coverage(banded, ["target", "model"]).select("target", F.col("coverage").alias("_coverage")), "target")
+    ahead = FC.predict_next_day(result, daily).select("target", "origin_day", "target_day", F.col("model").alias("_ahead"), F.col("prediction").between(F.col("lower"), F.col("upper")).alias("_next_in"))
+    out = tested.join(best, "target").join(ahead, "target")
+    return reported(out.select("target", "origin_day", "target_day", "test_days", ((F.col("_best") == F.col("model")) & (F.col("_ahead") == F.col("model"))).alias("best_in_validation"),
+                               (F.col("_in") & F.col("_next_in")).alias("band_holds_prediction"), (F.abs(F.col("_counted") - F.col("_coverage")) < 1e-12).alias("coverage_as_counted")))
+
+
 @query("forecast_select")
 def forecast_select(spark, folder):
     result = FC.evaluate_forecasts(panel(spark, folder))

@@ -83,6 +83,21 @@ def profile_numeric(spark, folder):
     return reported(Q.table_profile(d))
 
 
+@query("profile_freshness", f"""WITH {T.ENERGY_SQL} SELECT c AS "column", {num("(SELECT date_diff('second', max(\"timestamp\"), TIMESTAMP '2030-01-01') / 3600.0 FROM energy)", "hours_old")}
+FROM (SELECT unnest(['reading_id', 'meter_id', 'timestamp', 'building_type', 'power_consumption']) AS c)""")
+def profile_freshness(spark, folder):
+    profile = Q.table_profile(T.energy(spark, folder), "timestamp", as_of=F.lit("2030-01-01").cast("timestamp_ntz"))
+    return reported(profile.select("column", "hours_old"))
+
+
+@query("sensor_intervals", f"""WITH {T.OCCUPANCY_SQL}, m AS (SELECT DISTINCT sensor_id, "timestamp" AS t FROM occupancy WHERE sensor_id IS NOT NULL AND "timestamp" IS NOT NULL),
+w AS (SELECT sensor_id, date_diff('second', lag(t) OVER (PARTITION BY sensor_id ORDER BY t), t) AS wait FROM m)
+SELECT sensor_id, count(wait) AS observed_intervals, {num("max(wait)", "max_interval_seconds")}, {num("quantile_cont(wait, 0.5)", "median_interval_seconds")} FROM w GROUP BY 1""")
+def sensor_intervals(spark, folder):
+    out = Q.reporting_intervals(T.occupancy(spark, folder), "sensor_id", "timestamp")
+    return reported(out.withColumns({c: F.col(c).cast("double") for c in ("max_interval_seconds", "median_interval_seconds")}))
+
+
 @query("duplicate_rows", f"""WITH {T.DIRTY_SQL}, g AS (SELECT count(*) AS n FROM dirty GROUP BY ALL HAVING true)
 SELECT (SELECT count(*) FROM dirty) AS rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS distinct_rows,
   (SELECT count(*) FROM dirty) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS duplicates""")

@@ -70,6 +70,15 @@ def write_verify(spark, folder):
     return summed(spark.read.parquet(path))
 
 
+@query("write_overwrite", SUMS)
+def write_overwrite(spark, folder):
+    """Sums and counts after a table was written over by the whole of its rows."""
+    path, rows = new_folder(spark, "parquet"), plain(spark, folder)
+    W.write_overwrite(rows.unionByName(rows), path)
+    W.write_overwrite(rows, path)
+    return summed(spark.read.parquet(path))
+
+
 @query("multiset_difference", """WITH a AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2), b AS (SELECT event_type, user_id, count(*) AS n FROM events WHERE value < 100 GROUP BY 1, 2)
 SELECT 'left' AS side, CAST(sum(greatest(a.n - coalesce(b.n, 0), 0)) AS BIGINT) AS rows FROM a LEFT JOIN b USING (event_type, user_id) HAVING rows > 0""")
 def multiset_difference(spark, folder):

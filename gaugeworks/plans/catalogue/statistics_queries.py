@@ -11,7 +11,7 @@ from gaugeworks.operators.facts import readings_panel
 from gaugeworks.operators.fiscal import MEASURES
 from gaugeworks.operators.profiles import melt
 from gaugeworks.plans import tables as T
-from gaugeworks.plans.catalogue.capacity_queries import OUTER, outer_table
+from gaugeworks.plans.catalogue.capacity_queries import OUTER, SIX_TABLES, outer_table
 from gaugeworks.plans.catalogue.cleaning_queries import RESAMPLED, resampled
 from gaugeworks.plans.catalogue.feature_queries import BY, ORDER
 from gaugeworks.plans.catalogue.fiscal_queries import PANEL, panel
@@ -152,12 +152,12 @@ def hourly_pair_corr(spark, folder):
     return reported(S.hourly_pair_correlations(hourly(spark, folder), ["vehicle_count", "avg_speed", "readings"]), "pearson")
 
 
-ALL = ("avg_occupancy_rate", "avg_guests", "avg_power_consumption", "avg_revenue", "avg_expense")
+ALL = ("avg_vehicle_count", "avg_occupancy_rate", "avg_guests", "avg_power_consumption", "avg_revenue", "avg_expense", "avg_temperature", "avg_precipitation", "avg_pm25")
 ALL_PAIRS = [(a, b) for i, a in enumerate(ALL) for b in ALL[i + 1:]]
 
 
-@query("all_pairs_corr", f"""WITH {T.TRAFFIC_SQL}, {T.OCCUPANCY_SQL}, {T.ENERGY_SQL}, {T.FISCAL_SQL}, {OUTER}, r AS ({" UNION ALL ".join(f'SELECT {chr(39)}{a}{chr(39)} AS "left", {chr(39)}{b}{chr(39)} AS "right", count(*) AS records, corr({a}, {b}) AS r FROM j WHERE {a} IS NOT NULL AND {b} IS NOT NULL' for a, b in ALL_PAIRS)})
-SELECT "left", "right", records, {near("r", "r")}, CASE WHEN abs(r) > 0.7 THEN 'Strong' WHEN abs(r) > 0.5 THEN 'Moderate' ELSE 'Weak' END AS strength, row_number() OVER (ORDER BY abs(r) DESC, "left", "right") AS place FROM r""")
+@query("all_pairs_corr", f"""WITH {SIX_TABLES}, {OUTER}, r AS ({" UNION ALL ".join(f'SELECT {chr(39)}{a}{chr(39)} AS "left", {chr(39)}{b}{chr(39)} AS "right", count(*) AS records, corr({a}, {b}) AS r FROM j WHERE {a} IS NOT NULL AND {b} IS NOT NULL' for a, b in ALL_PAIRS)})
+SELECT "left", "right", records, {near("r", "r")}, CASE WHEN abs(r) > 0.7 THEN 'Strong' WHEN abs(r) > 0.5 THEN 'Moderate' WHEN r IS NOT NULL THEN 'Weak' END AS strength, row_number() OVER (ORDER BY abs(r) DESC NULLS LAST, "left", "right") AS place FROM r""")
 def all_pairs_corr(spark, folder):
     return reported(S.all_pair_correlations(outer_table(spark, folder), list(ALL)), "r")
 

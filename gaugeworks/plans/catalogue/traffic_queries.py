@@ -159,7 +159,5 @@ def vehicle_estimate(spark, folder):
 
 @query("has_month_data", """SELECT m AS month, exists(SELECT 1 FROM orders WHERE month(o_orderdate) = m) AS has_data FROM (SELECT DISTINCT month(ts) AS m FROM events)""")
 def has_month_data(spark, folder):
-    energy = T.energy(spark, folder)
-    months = T.traffic(spark, folder).select(F.month("timestamp").alias("month")).distinct()
-    present = energy.select(F.month("timestamp").alias("month")).distinct().withColumn("has_data", F.lit(True))
-    return reported(months.join(present, "month", "left").withColumn("has_data", F.coalesce("has_data", F.lit(False))))
+    months = T.traffic(spark, folder).select(F.month("timestamp").alias("month"))
+    return reported(M.months_with_data(T.energy(spark, folder), months))

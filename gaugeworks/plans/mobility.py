@@ -17,6 +17,12 @@ def has_month_data(traffic: DataFrame, month: int) -> bool:
     return not traffic.filter(in_month(TIME, month)).limit(1).isEmpty()
 
 
+def months_with_data(df: DataFrame, months: DataFrame) -> DataFrame:
+    """``has_data`` for each different ``month`` asked for, in one scan of the readings."""
+    present = df.select(F.month(TIME).alias("month")).distinct().withColumn("has_data", F.lit(True))
+    return months.select("month").distinct().join(present, "month", "left").withColumn("has_data", F.coalesce("has_data", F.lit(False)))
+
+
 def _by_hour(traffic: DataFrame) -> DataFrame:
     """Hourly sums from which both the overall means and the peak hour follow in one scan."""
     return traffic.groupBy(F.hour(TIME).alias("hour")).agg(
