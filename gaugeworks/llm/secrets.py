@@ -2,14 +2,16 @@
 
 Base kinds are patterns: ``assign`` (a name and its value), ``access`` (access key ids) and ``hex`` (long lower-case hex runs).
 Added kinds are reported only after structural confirmation: ``jwt`` (a token whose header decodes to JSON with an algorithm
-and whose body decodes to a JSON object), ``pem`` (a private-key block whose base64 body parses) and ``key`` (a bare base64 or
-hex run that decodes to a private key). A private key is a DER sequence whose nested lengths fill their parents exactly and
-which holds a version and key material, or the openssh-key-v1 format with all its length-prefixed fields in place.
+and whose body decodes to a JSON object), ``pem`` (a private-key block whose base64 body parses, line ends perhaps escaped as in
+JSON files) and ``key`` (a bare base64 or hex run that decodes to a private key or to a whole ``pem`` block). A private key is a DER
+sequence whose nested lengths fill their parents exactly and which holds a version and key material, or the openssh-key-v1 format
+with all its length-prefixed fields in place. A block that its headers call encrypted holds whole cipher blocks and a start vector of one.
 
 Every document is searched whole, in one task; texts without any of the literal marks of a kind are passed over quickly.
 
 Defined cases: a null or empty text has no span; spans of different kinds may overlap, those of one kind don't; equal starts
-are ordered by kind; repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
+are ordered by kind; repeated rows get equal results; an empty table gives an empty result; other columns are ignored; a very
+long text is searched like any other, in time that grows with its length.
 """
 
 from __future__ import annotations
@@ -37,8 +39,13 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX)
 ANY_HEX = re.compile(r"(?a)(?<![0-9A-Za-z+/])[0-9A-Fa-f]{64,}(?![0-9A-Za-z+/=])")
-JWT = re.compile(r"(?a)(?<![\w.-])(eyJ[\w-]+)\.([\w-]+)\.([\w-]*)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]*)-----END \1-----")
+#: A header is base64 of a brace that a quote or white space follows.
+JWT = re.compile(r"(?a)e(?<![\w-]e)([wy][\w-]{8,})\.([\w-]+)\.[\w-]*")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
+LINE_END = re.compile(r"\\r|\\n|[\r\n]")
+ENCRYPTED = re.compile(r"(?a)\s*Proc-Type: *4,ENCRYPTED\s+DEK-Info: *([A-Z0-9]+)[A-Z0-9-]*,([0-9A-Fa-f]+)\s+")
+#: Bytes in a cipher block.
+CIPHER_BLOCKS = {"DES": 8, "AES": 16, "CAMELLIA": 16}
 BASE64 = re.compile(r"(?a)(?<![\w+/-])(?:[A-Za-z0-9+/]{40,}|[\w-]{40,})={0,2}(?![\w+/=-])")
 
 #: Bytes to a mark where they belong to a run of hex digits or of base64 digits.
@@ -132,7 +139,21 @@ def is_openssh_key(data: bytes) -> bool:
     return 1 <= keys <= 64 and all(field() for _ in range(keys + 1)) and at == len(data)
 
 
+def is_pem_body(body: str) -> bool:
+    """Whether what stands between the marks of a block is a private key, perhaps one that is encrypted as its headers say."""
+    body = LINE_END.sub("\n", body)
+    locked = ENCRYPTED.match(body)
+    if not locked:
+        data = unbase64(body)
+        return bool(data) and (is_der_key(data) or is_openssh_key(data))
+    block, data = CIPHER_BLOCKS.get(locked[1]), unbase64(body[locked.end():])
+    return bool(block and data) and len(locked[2]) == 2 * block and len(data) % block == 0 and len(data) >= 32
+
+
 def is_key(data: bytes | None) -> bool:
+    if data and data.lstrip().startswith(b"-----BEGIN "):
+        block = PEM.fullmatch(data.decode("latin-1").strip())
+        return bool(block) and is_pem_body(block[2])
     return bool(data) and (is_der_key(data) or is_openssh_key(data))
 
 
@@ -145,6 +166,16 @@ def is_signed_token(header: str, body: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(content, dict)
 
 
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the tokens that parse; one that doesn't leaves its later parts to the next search."""
+    match = JWT.search(text)
+    while match:
+        confirmed = is_signed_token("e" + match[1], match[2])
+        if confirmed:
+            yield match.span()
+        match = JWT.search(text, match.end() if confirmed else match.end(1))
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets of a text, by start and then by kind."""
     found, raw = [], text.encode("utf-8", "surrogatepass")
@@ -155,9 +186,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     if b"x" * LEAST_HEX in raw.translate(_HEX_RUN):
         found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    if "eyJ" in text:
-        found += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[1], m[2])]
-    blocks = [m.span() for m in PEM.finditer(text) if is_key(unbase64(m[2]))] if "-----BEGIN " in text else []
+    found += [("jwt", *span) for span in signed_tokens(text)]
+    blocks = [m.span() for m in PEM.finditer(text) if is_pem_body(m[2])] if "-----BEGIN " in text else []
     found += [("pem", *span) for span in blocks]
     if b"x" * 40 in raw.translate(_LONG_RUN):
         runs = {m.span(): bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else None for m in ANY_HEX.finditer(text)}
