@@ -229,23 +229,26 @@ def repeated_windows(parts: list[bytes], bucket: np.ndarray, doc: np.ndarray, ta
     return segment, window, gone
 
 
-def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sort_buckets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Repeated windows of each (h, lot), a block of whole buckets at a time; rows come sorted by both.
 
-    Rows with ``lots`` > 1 that are first in their lot come out with the hash of their window, to be compared between lots.
+    Rows with ``lots`` > 1 that are first in their lot come out with the hash of their window, to be compared between lots. A lot
+    that is too large for a block goes on in several blocks; all its rows, those still to come included, are compared like lots.
     """
     held: list[tuple] = []
+    crowded = None
     for batch in batches:
-        for part in (batch.slice(i, BLOCK) for i in range(0, batch.num_rows, BLOCK)):
-            held += zip(*(part.column(c).to_pylist() for c in ("h", "lot", "lots", "doc", "tag", "start", "part")), strict=True)
+        for part in (batch.slice(i, size) for i in range(0, batch.num_rows, size)):
+            rows = zip(*(part.column(c).to_pylist() for c in ("h", "lot", "lots", "doc", "tag", "start", "part")), strict=True)
+            held += [(*r[:2], 2, *r[3:]) if r[:2] == crowded else r for r in rows]
             done = len(held) - next((i for i, r in enumerate(reversed(held)) if r[:2] != held[-1][:2]), len(held))
-            if done >= BLOCK:
+            if done >= size:
                 yield _block(held[:done])
                 held = held[done:]
-            while len(held) >= 4 * BLOCK:  # hashes dealt a lot unevenly: what goes on is compared between lots as well
-                yield _block([(*r[:2], 2, *r[3:]) for r in held[:BLOCK]])
-                held = held[BLOCK:]
-                held = [(*r[:2], 2, *r[3:]) if r[:2] == held[0][:2] else r for r in held]
+            while len(held) >= 4 * size:  # hashes dealt a lot unevenly
+                crowded = held[size - 1][:2]
+                yield _block([(*r[:2], 2, *r[3:]) for r in held[:size]])
+                held = [(*r[:2], 2, *r[3:]) if r[:2] == crowded else r for r in held[size:]]
     if held:
         yield _block(held)
 
@@ -320,7 +323,7 @@ def _removed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def repeated_runs(rows: DataFrame) -> DataFrame:
+def repeated_runs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Runs (doc, tag, start, n) of windows of LENGTH bytes that also start earlier; ``rows`` is (doc, tag, text)."""
     found = rows.mapInArrow(_segments, SEGMENTS)
     # stored, so that both sides of the join are dealt out by it and Spark can split a crowded bucket
@@ -332,14 +335,14 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     first = keep(left.groupBy("h", "sh", "n").agg(F.min(F.struct("doc", "tag", "start")).alias("first")))
     later = left.join(first, ["h", "sh", "n"]).filter(F.struct("doc", "tag", "start") != F.col("first")).select(*here)
 
-    unlike = keep(first.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("h", F.ceil(F.col("members") / BLOCK).alias("lots")))
+    unlike = keep(first.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("h", F.ceil(F.col("members") / block).alias("lots")))
     wanted = (first.join(unlike, "h").select("first.*", "n", "h", F.pmod("sh", "lots").alias("lot"), "lots")
               .groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "lot", "lots", "start", "n")).alias("wanted")))
     packed = rows.select(F.lit(0).cast("long").alias("doc_id"), "doc", "tag", "text").mapInArrow(_compressed, "doc_id bigint, doc bigint, tag bigint, packed binary")
     packed = packed.select("doc", "tag", "packed")
     cut = packed.join(wanted, ["doc", "tag"]).mapInArrow(_cut_out, "h bigint, lot bigint, lots bigint, doc bigint, tag bigint, start bigint, part binary")
     dealt = cut.repartition(parts_of(rows.sparkSession), "h", "lot").sortWithinPartitions("h", "lot")
-    sorted_out = keep(dealt.mapInArrow(_sort_buckets, "h bigint, wh bigint, doc bigint, tag bigint, start bigint, n int, settled boolean"))
+    sorted_out = keep(dealt.mapInArrow(partial(_sort_buckets, size=block), "h bigint, wh bigint, doc bigint, tag bigint, start bigint, n int, settled boolean"))
     settled = sorted_out.filter("settled").select(*here)
     open_ = sorted_out.filter("NOT settled")
     earliest = open_.groupBy("h", "wh").agg(F.min(F.struct("doc", "tag", "start")).alias("first"))
@@ -347,12 +350,12 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     return gone.unionByName(later).unionByName(settled).unionByName(between)
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``, and the bytes that stay if asked for."""
     alike = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     tag = F.xxhash64(F.coalesce("text", F.lit(""))) if alike else F.lit(0).cast("long")
     rows = texts(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("doc"), tag.alias("tag"))
-    runs = repeated_runs(rows.select("doc", "tag", "text")).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    runs = repeated_runs(rows.select("doc", "tag", "text"), block).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     packed = rows.mapInArrow(_compressed, "doc_id bigint, doc bigint, tag bigint, packed binary")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_text else "")
     return packed.join(runs, ["doc", "tag"], "left").select("doc_id", "packed", "runs").mapInArrow(partial(_removed, with_text=with_text), schema)

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from gaugeworks.llm import exact_dedup, simhash, suffix_dedup
@@ -149,21 +150,35 @@ def plain_removal(docs, length=100):
     return out
 
 
-def test_repeats_against_brute_force(spark, monkeypatch):
+def test_repeats_against_brute_force(spark):
     rows = odd.rows()
     key = lambda r: (r[0] is not None, r[0] or 0)
     single = [r for r in rows if r[0] is not None]
     want = plain_removal([(r[0], (r[1] or "").encode()) for r in sorted({r[:2]: r for r in single}.values(), key=key)])
     docs = odd.table(spark).filter("doc_id IS NOT NULL")
     for block in (2048, 3):  # small blocks: buckets in several lots
-        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
-        found = suffix_dedup.remove_repeats(docs).collect()
+        found = suffix_dedup.remove_repeats(docs, block=block).collect()
         assert len(found) == len(single)
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == want
     assert suffix_dedup.remove_repeats(odd.empty(spark)).count() == 0
     assert suffix_dedup.remove_repeats(odd.table(spark)).filter("doc_id IS NULL").count() == 2
 
 
+def test_rows_after_an_overflow_are_still_compared():
+    rng = np.random.default_rng(3)
+    parts = [bytes(rng.integers(97, 123, 120).astype(np.uint8)) for _ in range(40)]
+    parts[30] = parts[0]  # comes long after the first block has gone
+    names = ("h", "lot", "lots", "doc", "tag", "start")
+    rows = [(7, 0, 1, i, 0, 0, p) for i, p in enumerate(parts)] + [(8, 0, 1, 99, 0, 0, parts[1])]
+    batches = [pa.RecordBatch.from_pylist([dict(zip((*names, "part"), r, strict=True)) for r in rows[i:i + 8]]) for i in range(0, len(rows), 8)]
+    found = [r for b in suffix_dedup._sort_buckets(iter(batches), 4) for r in b.to_pylist()]
+    open_ = {}
+    for r in found:
+        if not r["settled"]:
+            open_.setdefault((r["h"], r["wh"]), set()).add(r["doc"])
+    assert sum(docs == {0, 30} for docs in open_.values()) == 21 and not any(r["settled"] for r in found)
+
+
 def test_slices_of_long_texts(monkeypatch):
     rng = np.random.default_rng(5)
     text = rng.integers(97, 101, 5000).astype(np.uint8)
