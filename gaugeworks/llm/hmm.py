@@ -217,12 +217,12 @@ def round_of(stored: DataFrame, p: Parameters, shares: np.ndarray) -> Parameters
     sent = stored.sparkSession.sparkContext.broadcast(p)
     sums = stored.select("symbols").mapInArrow(partial(_expected, sent=sent), fields).groupBy("symbol").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(states)))
     found = sums.toArrow()  # symbols + states rows at most
-    if not found.num_rows:
-        return p
     at = found.column("symbol").to_numpy()
     values = np.stack([found.column(f"c{k}").to_numpy() for k in range(states)], 1)
     counts = np.zeros((states + 1 + len(shares), states))
     counts[np.where(at < 0, -at - 1, at + states + 1)] = values
+    if not counts[0].any():  # no sequence began, so there were none
+        return p
     first = counts[0] + PRIOR_TRANSITIONS
     moves = counts[1:states + 1] + PRIOR_TRANSITIONS
     emits = counts[states + 1:] + PRIOR_EMISSIONS * shares[:, None]

@@ -27,6 +27,8 @@ from gaugeworks.llm.common import documents, fold_of, forget, keep, texts
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
 FIT_ROWS = 8000
+#: Rows that are drawn of a language with a smaller share, as far as it has them.
+LEAST_ROWS = 200
 SHARDS, EPOCHS = 8, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
 UNKNOWN = "und"
@@ -157,8 +159,17 @@ class LanguageModel:
         return self.names[best], float(min(max(p[best], 0.0), 1.0))
 
 
-def fit(training: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
-    """Learn from ``training`` (doc_id, text, lang); rows without lang must be left out."""
+def drawn_shares(languages: dict[str, int], fit_rows: int, least: int = LEAST_ROWS) -> dict[str, float]:
+    """The share of each language's rows that is drawn: the same for all, but for those that would give fewer than ``least`` rows."""
+    usual = min(1.0, fit_rows / max(1, sum(languages.values())))
+    return {name: max(usual, min(1.0, least / n)) for name, n in languages.items()}
+
+
+def fit(training: DataFrame, fit_rows: int = FIT_ROWS, least: int = LEAST_ROWS) -> LanguageModel:
+    """Learn from ``training`` (doc_id, text, lang); rows without lang must be left out.
+
+    Languages are counted over all rows. A rare one is drawn with a larger share, and its calibrated odds are lowered by as much.
+    """
     rows = texts(training, F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("draw"))
     counted = rows.select("text").mapInArrow(_frequencies, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
     seen = {r.feature: r.n for r in counted.collect()}  # FEATURES + 1 rows at most
@@ -166,9 +177,12 @@ def fit(training: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
     df = np.zeros(FEATURES)
     df[list(seen)] = list(seen.values())
     idf = np.log((1 + n) / (1 + df)) + 1
-    share = int((1 << 20) * min(1.0, fit_rows / max(n, 1)))
-    drawn = keep(rows.filter(F.col("draw") < share).mapInArrow(partial(_vectors, idf=idf), "draw bigint, lang string, at array<int>, value array<float>"))
-    names = sorted(r.lang for r in drawn.select("lang").distinct().collect())
+    languages = {r.lang: r.n for r in training.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    shares = drawn_shares(languages, fit_rows, least)
+    usual = min(shares.values(), default=1.0)
+    rare = [F.when(F.col("lang") == name, int((1 << 20) * share)) for name, share in shares.items() if share > usual]
+    drawn = keep(rows.filter(F.col("draw") < F.coalesce(*rare, F.lit(int((1 << 20) * usual)))).mapInArrow(partial(_vectors, idf=idf), "draw bigint, lang string, at array<int>, value array<float>"))
+    names = sorted(languages)
     state = np.zeros((2, FEATURES + 1, len(names)))
     shard = F.pmod(F.xxhash64("draw"), F.lit(SHARDS)).cast("int")
     held = F.pmod(F.xxhash64(F.lit(1), "draw"), F.lit(5)) == 0
@@ -182,6 +196,7 @@ def fit(training: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
     checked = drawn.filter(held).mapInArrow(partial(_logits, weights=weights, names=names), "truth int, logits array<double>").collect() if len(names) > 1 else []
     forget(drawn)
     temperature = best_temperature(np.array([r.truth for r in checked], np.int64), np.array([r.logits for r in checked]))
+    weights[FEATURES] += [temperature * np.log(usual / shares[name]) for name in names]  # the calibrated odds go back to those of all rows
     return LanguageModel(names, weights, idf, temperature)
 
 

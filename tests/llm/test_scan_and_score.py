@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gaugeworks.llm import hmm, language_id, secrets, toxicity
@@ -245,3 +246,64 @@ def test_base_score_and_totals(spark):
     assert all(math.isfinite(r.score) and r.score < 0 for r in found)
     assert hmm.score(odd.empty(spark), odd.empty(spark), held).count() == 0
     assert all(math.isfinite(r.score) for r in hmm.score(docs, odd.empty(spark), held).collect())
+
+
+def plain_vector(text, idf, n_features):
+    """TF-IDF vector of length one, gram by gram."""
+    letters = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    letters = "".join(c for i, c in enumerate(letters) if c != " " or i == 0 or letters[i - 1] != " ")
+    counts, mask = Counter(), (1 << 64) - 1
+    for n in language_id.ORDERS:
+        for i in range(len(letters) - n + 1):
+            h = 0
+            for c in letters[i:i + n]:
+                h = (h * 0x100000001B3 + (ord(c) if c.isalpha() else 32) + 1) & mask
+            counts[(h * 0x9E3779B97F4A7C15 & mask) >> 49] += 1
+    value = {f: (1 + math.log(c)) * idf[f] for f, c in counts.items()}
+    norm = math.sqrt(sum(v * v for v in value.values()))
+    return {f: v / norm for f, v in value.items()} | {n_features: 1.0}
+
+
+def test_language_steps_against_plain_ones():
+    """Features, one pass of follow-the-regularised-leader and predictions, worked out number by number."""
+    idf, names, size = np.linspace(1, 2, language_id.FEATURES), ["de", "en"], language_id.FEATURES
+    data = [(text, lang) for _, text, lang in language_rows(30)] + [("Ünder, the 1st  of-und", "en")]
+    plain = [(plain_vector(t, idf, size), lang) for t, lang in data]
+    made = [language_id.weighted(language_id.gram_counts(t), idf) for t, _ in data]
+    for (at, value), (want, _) in zip(made, plain, strict=True):
+        assert sorted(want)[:-1] == at.tolist() and np.allclose([want[f] for f in at.tolist()], value, rtol=1e-12)
+
+    z, n = Counter(), Counter()
+    weight = lambda f, k: 0.0 if abs(z[f, k]) <= language_id.L1 else (math.copysign(language_id.L1, z[f, k]) - z[f, k]) / (
+        (language_id.BETA + math.sqrt(n[f, k])) / language_id.ALPHA + language_id.L2)
+    chances = lambda x: [e / sum(es) for es in [[math.exp(sum(v * weight(f, k) for f, v in x.items())) for k in range(2)]] for e in es]
+    for x, lang in plain:
+        p, w = chances(x), {(f, k): weight(f, k) for f in x for k in range(2)}
+        for (f, k), before in w.items():
+            g = x[f] * (p[k] - (names[k] == lang))
+            z[f, k] += g - (math.sqrt(n[f, k] + g * g) - math.sqrt(n[f, k])) / language_id.ALPHA * before
+            n[f, k] += g * g
+    batch = pa.RecordBatch.from_arrays([pa.array([lang for _, lang in data]), pa.array([a.tolist() for a, _ in made], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in made], pa.list_(pa.float64()))],
+                                       names=["lang", "at", "value"])
+    state = np.frombuffer(next(language_id._epoch(iter([batch]), np.zeros((2, size + 1, 2)), names)).column("state")[0].as_py()).reshape(2, size + 1, 2)
+    assert all(np.isclose(state[0, f, k], z[f, k]) and np.isclose(state[1, f, k], n[f, k]) for f, k in z)
+    model = language_id.LanguageModel(names, language_id.weights_of(*state), idf, 1.0)
+    for (text, _), (x, _) in zip(data, plain, strict=True):
+        p = chances(x)
+        assert model(text) == (names[int(p[1] > p[0])], pytest.approx(max(p)))
+
+
+def test_rare_languages_are_drawn_and_learned(spark):
+    assert language_id.drawn_shares({"en": 90_000, "de": 9_900, "fo": 100}, 1000, 50) == {"en": 0.01, "de": 0.01, "fo": 0.5}
+    assert language_id.drawn_shares({"en": 5, "fo": 1}, 1000) == {"en": 1.0, "fo": 1.0} and language_id.drawn_shares({}, 10) == {}
+    rows = language_rows(4000) + [(5000 + i, "zzyx qwuv kjaq xxoq " * (3 + i % 4), "fo") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = language_id.identify(docs, language_id.fit(docs, fit_rows=400, least=60)).filter("doc_id >= 5000")
+    assert {r.lang_pred for r in found.collect()} == {"fo"}
+
+
+def test_a_round_without_documents_changes_nothing(spark):
+    p = hmm.starting(np.array([0.2, 0.3, 0.5]), states=2)
+    nothing = spark.createDataFrame([([1, 2],)], "symbols array<int>").filter("size(symbols) = 0")
+    same = hmm.round_of(nothing, p, np.array([0.2, 0.3, 0.5]))
+    assert all(np.array_equal(a, b) for a, b in ((same.first, p.first), (same.moves, p.moves), (same.emits, p.emits)))
