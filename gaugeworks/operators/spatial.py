@@ -24,6 +24,9 @@ def _bin(c: Column | str, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(size)).cast("long")
 
 
+SITES_PER_LOT = 2048
+"""Sites of a crowded cell that one lot compares with those of the cells around it."""
+
 COVER = 16
 """Cells that a zone spans in each direction before it goes to cells of twice the size."""
 
@@ -117,18 +120,21 @@ def location_stability(df: DataFrame, key: str, lat: str = "location_lat", lon:
     return sites.agg(F.count("*").alias("sensors"), stable.alias("stable_location_sensors"), (F.count("*") - stable).alias("changing_location_sensors"))
 
 
-def near_pairs(sites: DataFrame, key: str, max_km: float, lat: str = "location_lat", lon: str = "location_lon") -> DataFrame:
-    """Pairs of sites at most ``max_km`` apart, smaller key first.
+def near_pairs(sites: DataFrame, key: str, max_km: float, lat: str = "location_lat", lon: str = "location_lon", per_lot: int = SITES_PER_LOT) -> DataFrame:
+    """Pairs of sites at most ``max_km`` apart, smaller key first; sites without a key or a place are in no pair.
 
-    Sites meet only within their own and the eight surrounding cells, whose sides are at least ``max_km``.
+    Sites meet only within their own and the eight surrounding cells, whose sides are at least ``max_km``. A cell with more
+    than ``per_lot`` sites is dealt out: each of its sites is at home in one lot, and visitors go to every lot, so that no task compares
+    a whole crowd with itself and a pair is still met once.
     """
-    highest = sites.agg(F.max(F.abs(lat))).first()[0] or 0.0
+    placed = F.col(key).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    spots = keep(sites.filter(placed).select(F.col(key).alias("k"), F.col(lat).alias("y"), F.col(lon).alias("x")))
+    highest = spots.agg(F.max(F.abs("y"))).first()[0] or 0.0
     degree_km = 111.19
     height = max_km / degree_km * 1.001
     narrow = math.cos(math.radians(min(89.9, highest + height)))
     across = max(1, int(360 / min(360.0, height / narrow)))
     width = 360 / across
-    spots = sites.select(F.col(key).alias("k"), F.col(lat).alias("y"), F.col(lon).alias("x"))
     cell = [F.floor(F.col("y") / height).alias("cy"), F.pmod(F.floor(F.col("x") / width), F.lit(across)).alias("cx")]
     right = spots.select(*cell, F.col("k").alias("k2"), F.col("y").alias("y2"), F.col("x").alias("x2"))
     # fewer than three cells around the globe: neighbours would repeat
@@ -137,8 +143,16 @@ def near_pairs(sites: DataFrame, key: str, max_km: float, lat: str = "location_l
     left = spots.select("k", "y", "x", *cell, F.explode(around).alias("d")).select(
         F.col("k").alias("k1"), F.col("y").alias("y1"), F.col("x").alias("x1"), (F.col("cy") + F.col("d.dy")).alias("cy"),
         F.pmod(F.col("cx") + F.col("d.dx"), F.lit(across)).alias("cx"))
+    meet = ["cy", "cx"]
+    crowded = keep(right.groupBy(*meet).agg(F.ceil(F.count("*") / F.lit(per_lot)).alias("lots")).filter("lots > 1"))
+    crowds = crowded.count()
+    if crowds:
+        lots = F.coalesce("lots", F.lit(1).cast("long"))
+        right = checked_join(right, crowded, meet, "left", crowds).withColumn("lot", F.pmod(F.xxhash64("k2"), lots)).drop("lots")
+        left = checked_join(left, crowded, meet, "left", crowds).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), lots - 1))).drop("lots")
+        meet = [*meet, "lot"]
     far = haversine_km("y1", "x1", "y2", "x2")
-    return (left.join(right, ["cy", "cx"]).filter(F.col("k1") < F.col("k2")).withColumn("distance_km", far)
+    return (left.join(right, meet).filter(F.col("k1") < F.col("k2")).withColumn("distance_km", far)
             .filter(F.col("distance_km") <= max_km).select(F.col("k1").alias("sensor1"), F.col("k2").alias("sensor2"), "distance_km"))
 
 

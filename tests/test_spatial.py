@@ -53,6 +53,19 @@ def test_near_pairs_match_brute_force(spark, shift):
     assert rows(S.near_pairs(sites, "k", 300), "sensor1", "sensor2") == rows(brute, "sensor1", "sensor2")
 
 
+@pytest.mark.parametrize("per_lot", [2048, 7])
+def test_near_pairs_in_crowded_cells(spark, per_lot):
+    """Two crowds in touching cells, one spot with many sites, and sites without key or place."""
+    rng = random.Random(4)
+    ps = [(i, rng.gauss(10.0, .01), rng.gauss(20.0 + (i % 2) * .05, .01)) for i in range(150)] + [(i, 10.0, 20.0) for i in range(150, 190)]
+    ps += [(i, rng.uniform(5, 15), rng.uniform(15, 25)) for i in range(190, 240)]
+    sites = spark.createDataFrame([*ps, (None, 10.0, 20.0), (900, None, 20.0), (901, 10.0, None)], "k int, location_lat double, location_lon double")
+    a, b = (spark.createDataFrame(ps, "k int, y double, x double").toDF(f"sensor{i}", f"y{i}", f"x{i}") for i in (1, 2))
+    brute = a.join(b, F.col("sensor1") < F.col("sensor2")).filter(S.haversine_km("y1", "x1", "y2", "x2") <= 3)
+    assert rows(S.near_pairs(sites, "k", 3, per_lot=per_lot), "sensor1", "sensor2") == rows(brute, "sensor1", "sensor2")
+    assert S.near_pairs(sites.limit(0), "k", 3).count() == 0
+
+
 def test_spatial_association_needs_stable_sites(spark):
     data = [(s, 0.0, lon, f"2025-01-{d:02d}", float(d * k)) for s, lon, k in (("a", 0.0, 1), ("b", .001, 2)) for d in range(1, 21)]
     df = spark.createDataFrame(data, "sensor string, location_lat double, location_lon double, timestamp string, reading double").withColumn("timestamp", F.to_timestamp("timestamp"))
