@@ -5,7 +5,8 @@ single blanks; signs at the end of a word are no letters. The lexicon is learned
 labelled documents, with their log odds as weights. A phrase of two words with a lexicon word in it is an exception where it is
 found in other documents at least as often as in toxic ones; words inside an exception do not count. A text's score is a
 logistic function of the summed weights over a power of its length in words; power, slope and intercept are fitted on labelled
-documents that had no part in the lexicon. Learning reads at most about ``fit_rows`` labelled documents, drawn by a hash of doc_id.
+documents that had no part in the lexicon. Learning reads at most about ``fit_rows`` labelled documents, drawn by a hash of doc_id, and
+``least`` more: labels are counted over all rows, and a rare kind is drawn with a larger share, by which counts and odds are set right again.
 
 Defined cases: a null, empty or letterless text has no match and gets the score of a text without any; a document with several
 labels counts as toxic if one of them says so, and null labels are left out; without labels of both kinds the score is the share of
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import documents, fold_of, forget, keep, texts
 
 FIT_ROWS = 16_000
+#: Rows that are drawn of the rarer kind of label, as far as it has them.
+LEAST_ROWS = 1000
 #: Lengths of word beginnings that may become lexicon terms.
 BEGINNINGS = (4, 5, 6)
 #: A term needs so many toxic documents, and so large log odds after smoothing.
@@ -205,7 +208,13 @@ class ToxicityModel:
         return float(logistic(summed / max(words, 1) ** self.power, self.slope, self.intercept))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
+def drawn_shares(other: int, toxic: int, fit_rows: int, least: int) -> tuple[float, float]:
+    """Shares of the two kinds of labels that are drawn: the same, but for a kind of which that would give fewer than ``least`` rows."""
+    usual = min(1.0, fit_rows / (other + toxic))
+    return tuple(max(usual, min(1.0, least / n)) for n in (other, toxic))
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, least: int = LEAST_ROWS) -> ToxicityModel:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); rows not to be learned from must be left out."""
     known = keep(labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
                  .agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
@@ -213,8 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     if not total or positive in (0, total):
         share = positive / total if total else 0.0
         return ToxicityModel(Lexicon({}), 0.0, 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else 35.0 if share else -35.0)
-    part = int((1 << 20) * min(1.0, fit_rows / total))
-    drawn = F.broadcast(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part))  # fit_rows rows, about
+    shares = drawn_shares(total - positive, positive, fit_rows, least)
+    part = F.when(F.col("toxic") == 1, int((1 << 20) * shares[1])).otherwise(int((1 << 20) * shares[0]))
+    drawn = F.broadcast(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part))  # fit_rows + least rows, about
     rows = texts(docs).join(drawn, "doc_id")
     rows = keep(rows.select("doc_id", "text", "toxic"))
     teaching = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(3)) != 0
@@ -225,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     weights = chosen_terms(counted.collect(), toxic, other)  # terms of fit_rows documents at most
     lexicon = Lexicon(weights)
     phrases = (learn.mapInArrow(partial(_phrases, lexicon=lexicon), "term string, toxic bigint, other bigint").groupBy("term")
-               .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter("other >= 2 AND other >= toxic").select("term").collect())
+               .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter((F.col("other") >= 2) & (F.col("other") / shares[0] >= F.col("toxic") / shares[1])).select("term").collect())
     lexicon = Lexicon(weights, {r.term for r in phrases})
     seen = check.mapInArrow(partial(_features, lexicon=lexicon), "summed double, words bigint, toxic int").collect()  # fit_rows / 3 rows
     forget(rows, known)
@@ -234,7 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
         return ToxicityModel(lexicon, 0.0, 1.0, -LEAST_ODDS)
     fits = {p: fit_logistic(x / np.maximum(n, 1) ** p, y) for p in POWERS}
     power = min(fits, key=lambda p: fits[p][2])
-    return ToxicityModel(lexicon, power, *fits[power][:2])
+    slope, intercept, _ = fits[power]
+    return ToxicityModel(lexicon, power, slope, intercept + float(np.log(shares[0] / shares[1])))  # odds of all rows, not of those drawn
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

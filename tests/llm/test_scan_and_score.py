@@ -182,6 +182,21 @@ def test_toxicity_on_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found.values()) and found[1000].predicted == 0
 
 
+def test_rare_toxic_labels_are_drawn_and_learned(spark):
+    """Of 6,000 labels 60 are toxic; a uniform draw of 300 rows would hold three of them."""
+    assert toxicity.drawn_shares(900, 100, 2000, 50) == (1.0, 1.0) and toxicity.drawn_shares(9000, 1000, 1000, 50) == (0.1, 0.1)
+    assert toxicity.drawn_shares(9990, 10, 1000, 50) == (0.1, 1.0) and toxicity.drawn_shares(10, 9990, 1000, 50) == (1.0, 0.1)
+    rng = np.random.default_rng(3)
+    plain = [f"w{chr(97 + i)}{chr(98 + j)}" for i in range(20) for j in range(10)]
+    docs = [(i, " ".join([*rng.choice(plain, 20), *(["vileone"] if i % 100 == 0 else [])])) for i in range(6000)]
+    marks = [(i, int(i % 100 == 0)) for i, _ in docs]
+    docs, marks = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, marks.filter(fold_of("doc_id", 5) != 0), 300, 60)
+    found = toxicity.score_toxicity(docs, model).collect()
+    assert sum(r.predicted != (r.doc_id % 100 == 0) for r in found) <= 3
+    assert sum(r.score for r in found) < 2 * 60  # the odds are those of all rows
+
+
 def test_toxicity_without_labels(spark):
     docs = odd.table(spark)
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
