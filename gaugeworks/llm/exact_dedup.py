@@ -15,8 +15,9 @@ gives an empty verdict and leaves the index as it is; other columns of the docum
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import BLANK, documents, fresh, keep, parts_of, whole_text
@@ -122,3 +123,33 @@ WITH d AS (
 g AS (SELECT h, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id FROM d GROUP BY h)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)
 """
+
+
+def dedup_in_batches(docs: DataFrame, index: DigestIndex, batch_of: Column, batches: int) -> DataFrame:
+    """Verdicts, with the number of the batch, on ``docs`` that arrive one batch after the other; later ones meet the digests of earlier ones.
+
+    ``batch_of`` gives the batch of a row (0 to ``batches`` - 1) from its doc_id. The documents are read once.
+    """
+    digested = digest_rows(docs)
+    parts = []
+    for i in range(batches):
+        own = digested.filter(batch_of == i)
+        parts.append(verdicts(own, index, *index.admit(own)).withColumn("batch", F.lit(i).cast("long")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def exact_dedup_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in three batches by doc_id, against one index that lasts from batch to batch."""
+    batch_of = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3))
+    return dedup_in_batches(documents(spark, sf_dir), own_index(spark), batch_of, 3).drop("row")
+
+
+EXACT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(doc_id, 0) % 3 AS batch, length(coalesce(text, '')) AS n,
+    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
+g AS (SELECT h, batch, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS first_id FROM d GROUP BY h, batch),
+f AS (SELECT h, min(batch) AS first_batch, arg_min(first_id, batch) AS keep_id FROM g GROUP BY h)
+SELECT doc_id, CAST(batch AS BIGINT) AS batch, keep_id, group_size, batch = first_batch AND doc_id = keep_id AS kept, h AS text_sha256
+FROM d JOIN g USING (h, batch) JOIN f USING (h)
+"""

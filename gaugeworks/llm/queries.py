@@ -14,6 +14,7 @@ MODULES = {
     "op6_hmm_scoring": "hmm",
     "op7_exact_topk": "topk",
     "op8_exact_dedup": "exact_dedup",
+    "exact_dedup_batches": "exact_dedup",
     "op10_toxicity": "toxicity",
     "op9_mixing": "mixing",
     "op11_merkle_manifest": "merkle",

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from gaugeworks.llm import exact_dedup, simhash, suffix_dedup
 from gaugeworks.llm.components import components
@@ -52,6 +53,20 @@ def test_exact_index_lasts(spark):
     assert exact_dedup.exact_dedup(odd.empty(spark), index).count() == 0
 
 
+def test_batches_meet_what_came_before(spark):
+    """Texts of the first batch stay with it; of the others the longest spelling in the second batch stays."""
+    index = exact_dedup.own_index(spark)
+    rows = [(i, f"text {i % 6}" + " " * (i % 4)) for i in range(24)] + [(None, "text 0")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = exact_dedup.dedup_in_batches(docs, index, F.when(F.col("doc_id") < 3, 0).otherwise(1), 3).collect()
+    assert len(found) == 25 and index.read().count() == 6
+    want = {k: k if k < 3 else min(range(k, 24, 6), key=lambda i: (-(i % 4), i)) for k in range(6)}
+    assert {r.doc_id for r in found if r.kept} == set(want.values()) and sum(r.kept for r in found) == 6
+    assert all(r.keep_id == want[(r.doc_id or 0) % 6] and r.batch == int(r.doc_id is None or r.doc_id > 2) for r in found)
+    empty = exact_dedup.dedup_in_batches(odd.empty(spark), index, F.lit(0), 2)
+    assert empty.count() == 0 and index.read().count() == 6
+
+
 def test_exact_native_plan(spark):
     plan = exact_dedup.exact_dedup(odd.table(spark), exact_dedup.own_index(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
