@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -147,15 +148,34 @@ def test_top_products_against_brute_force(spark):
     table = spark.createDataFrame(vectors + bad, "vec_id bigint, embedding array<double>")
     want = plain_best([(i, np.floor(256 * np.array(v))) for i, v in vectors], 5)
     rows = topk.vectors_of(table)
-    for block in (8192, 100):
+    for block, parts in ((8192, 128), (100, 4), (8192, 1)):
         got = defaultdict(list)
-        for r in sorted(topk.top_products(rows, rows.filter("vec_id % 50 = 0"), block=block).collect(), key=lambda r: (r.query_id, r.rank)):
+        for r in sorted(topk.top_products(rows, rows.filter("vec_id % 50 = 0"), block=block, most_parts=parts).collect(), key=lambda r: (r.query_id, r.rank)):
             got[r.query_id].append((r.vec_id, r.score))
         assert got == want
     empty = topk.vectors_of(table.limit(0))
     assert topk.top_products(empty, empty).count() == 0
 
 
+def test_parts_that_cannot_reach_the_floor_are_not_visited():
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(c, 0.02, (50, 8)) for c in rng.normal(0, 1, (20, 8))]) * 1000
+    centres = topk.far_apart(points, 20)
+    assert len(centres) == 20 and len(topk.far_apart(np.repeat(points[:3], 9, 0), 20)) == 3
+    nearest = ((points[:, None] - centres) ** 2).sum(2).argmin(1)
+    radius = np.array([np.sqrt(((points[nearest == i] - c) ** 2).sum(1)).max() for i, c in enumerate(centres)])
+    lots = np.full(20, 2)
+    lots[nearest[-1]] = 0  # taken for empty
+    products = points @ points.T
+    floor = np.sort(products, 1)[:, -5]
+    batch = pa.RecordBatch.from_pydict({"dim": [8] * 1000, "crew": [0] * 1000, "floor": floor, "vec_id": range(1000), "v": points.tolist()})
+    visits = {first: [(r["vec_id"], r["part"], r["lot"]) for b in topk._visits(iter([batch]), {8: topk.Part(centres, radius, lots)}, first) for r in b.to_pylist()] for first in (True, False)}
+    assert len(visits[True]) == 2000 and len(set(visits[True])) == 2000
+    assert len(visits[False]) < 0.3 * 1000 * 19 * 2 and not set(visits[True]) & set(visits[False])
+    met = {(q, p) for v in visits.values() for q, p, _ in v}
+    assert all((q, nearest[x]) in met for q, x in np.argwhere(products >= floor[:, None]) if nearest[x] != nearest[-1])
+
+
 def test_trees_cover_and_prune():
     rng = np.random.default_rng(2)
     points = np.concatenate([rng.normal(c, 0.02, (300, 8)) for c in rng.normal(0, 1, (20, 8))])
