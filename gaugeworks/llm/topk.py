@@ -87,6 +87,8 @@ class Search:
     def __init__(self, query_ids, queries, ids, data, k: int, floor: np.ndarray | None = None):
         self.floor = np.full(len(queries), -np.inf) if floor is None else floor
         self.query_ids, self.queries, self.ids, self.data, self.k = query_ids, queries, ids, data, k
+        self.norms = np.sqrt((queries ** 2).sum(1)) if len(queries) else np.zeros(0)
+        self.compared = 0
         self.scores = np.full((len(queries), k), -np.inf)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
 
@@ -104,6 +106,11 @@ class Search:
 
     def compare(self, q: Node, r: Node) -> None:
         rows, columns = q.members, r.members
+        top = self.queries[rows] @ r.centre + r.radius * self.norms[rows]  # the leaf's queries one by one
+        rows = rows[top + 1e-9 * (np.abs(top) + self.norms[rows] * r.norm + 1) >= self.least(rows)]
+        if not len(rows):
+            return
+        self.compared += len(rows) * len(columns)
         for at in range(0, len(columns), 4096):
             some = columns[at:at + 4096]
             s = self.queries[rows] @ self.data[some].T
