@@ -6,7 +6,7 @@ the part whose centre promises most, which gives it a worst kth score to start f
 ball can hold a product that reaches this score. Queries and a block of data that meet are one cell of work.
 
 In a cell both sides are indexed by a cover tree: a node has a centre and the exact covering radius of its members. Its
-children are centres taken from the farthest point on until they cover with half the radius, or there are ``CHILDREN`` of them; what they then
+children are centres taken from the farthest point on until they cover with half the radius, or there are ``CHILDREN`` of them or enough to fill leaves; what they then
 cover with is the radius of that level, and no two of them are nearer than it. Small nodes, and nodes whose points do not come apart, are
 leaves. Pairs of nodes are visited from the most promising on, and a pair is dropped when no inner product between the two balls can reach the
 worst kth score in the query node. Each cell hands on at most k rows per query; the best k of those are the result.
@@ -66,7 +66,8 @@ def cover_tree(points: np.ndarray, members: np.ndarray | None = None, centre: in
     if len(members) <= leaf or node.radius == 0:
         return node
     reach, centres, nearest, owner = node.radius / 2, [centre], apart, np.zeros(len(members), np.int64)
-    while len(centres) < CHILDREN:
+    most = min(CHILDREN, -(-len(members) // leaf))  # no more than would fill leaves
+    while len(centres) < most:
         far = int(nearest.argmax())  # farthest point: centres are more than the new radius apart
         if nearest[far] <= reach:
             break
@@ -227,6 +228,7 @@ def _visits(batches: Iterator[pa.RecordBatch], parts: dict[int, Part], first: bo
 
 def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, most_parts: int = PARTS) -> DataFrame:
     """query_id, rank, vec_id and score of the k best of ``vectors`` for each of ``queries`` (both: vec_id, v, dim)."""
+    most_parts = min(most_parts, max(1, -(-8 * vectors.count() // block)))  # an eighth of a block to a part, about
     drawn = vectors.select("dim", "v").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).collect()  # bounded: SAMPLE rows
     centres = {dim: far_apart(np.array([r.v for r in drawn if r.dim == dim], np.float64), most_parts) for dim in {r.dim for r in drawn}}
     copies = Window.partitionBy("v").orderBy("vec_id")
