@@ -6,7 +6,7 @@ the part whose centre promises most, which gives it a worst kth score to start f
 ball can hold a product that reaches this score. Queries and a block of data that meet are one cell of work.
 
 In a cell both sides are indexed by a cover tree: a node has a centre and the exact covering radius of its members. Its
-children are centres taken from the farthest point on until they cover with half the radius, or there are ``CHILDREN`` of them or enough to fill leaves; what they then
+children are centres taken from the farthest point on until they cover with half the radius, or there are ``CHILDREN`` of them or enough to fill leaves by half; what they then
 cover with is the radius of that level, and no two of them are nearer than it. Small nodes, and nodes whose points do not come apart, are
 leaves. Pairs of nodes are visited from the most promising on, and a pair is dropped when no inner product between the two balls can reach the
 worst kth score in the query node. Each cell hands on at most k rows per query; the best k of those are the result.
@@ -35,7 +35,7 @@ from gaugeworks.llm.common import embeddings, keep
 #: Rows of a block, about.
 BLOCK = 8192
 #: Members of a leaf of data and of queries, and children of a node, at most.
-LEAF, QUERY_LEAF, CHILDREN = 128, 16, 32
+LEAF, QUERY_LEAF, CHILDREN = 64, 16, 32
 #: Rows from which the common centres are taken, and how many there are of each dimension, at most.
 SAMPLE, PARTS = 2048, 128
 #: Copies of queries that are handed on at once.
@@ -66,7 +66,7 @@ def cover_tree(points: np.ndarray, members: np.ndarray | None = None, centre: in
     if len(members) <= leaf or node.radius == 0:
         return node
     reach, centres, nearest, owner = node.radius / 2, [centre], apart, np.zeros(len(members), np.int64)
-    most = min(CHILDREN, -(-len(members) // leaf))  # no more than would fill leaves
+    most = min(CHILDREN, -(-2 * len(members) // leaf))  # no more than would fill leaves by half
     while len(centres) < most:
         far = int(nearest.argmax())  # farthest point: centres are more than the new radius apart
         if nearest[far] <= reach:
