@@ -136,12 +136,14 @@ def value_ranks(df: DataFrame, value: str, budget: int | None = None, by: Sequen
 
 def average_rank(df: DataFrame, value: str, out: str, budget: int | None = None) -> DataFrame:
     """Add the average-tie rank of a column (NULL for NULL)."""
+    df = keep(df)  # joined back by value, which must not be worked out twice
     ranks = value_ranks(df, value, budget).select(value, F.col("average_rank").alias(out))
     return df.join(ranks, value, "left")
 
 
 def percent_rank(df: DataFrame, value: str, out: str, budget: int | None = None) -> DataFrame:
     """Average-tie rank over the number of non-NULL rows."""
+    df = keep(df)  # joined back by value, which must not be worked out twice
     ranks = value_ranks(df, value, budget)
     total = ranks.agg(F.sum("copies")).first()[0] or 1
     return df.join(ranks.select(value, (F.col("average_rank") / F.lit(total)).alias(out)), value, "left")

@@ -15,6 +15,7 @@ from gaugeworks.operators.fourier import bin_powers
 from gaugeworks.operators.gaps import fill_calendar
 from gaugeworks.operators.quantiles import value_ranks
 from gaugeworks.operators.slices import with_halo
+from gaugeworks.session import keep
 
 
 def _slope(value: Column, x: Column) -> Column:
@@ -231,7 +232,8 @@ def all_pair_correlations(table: DataFrame, columns: Sequence[str]) -> DataFrame
 
 def rank_correlation(df: DataFrame, x: str, y: str, budget: int | None = None) -> DataFrame:
     """Pearson r and the Pearson r of average ranks over rows where both are present."""
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
+    # stored: ranks are joined back by value, and means worked out a second time could differ in their last digit
+    rows = keep(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y))
     rx = value_ranks(rows, x, budget).select(x, F.col("average_rank").alias("_rx"))
     ry = value_ranks(rows, y, budget).select(y, F.col("average_rank").alias("_ry"))
     # equal (x, y) pairs are counted before the ranks are attached
