@@ -22,11 +22,16 @@ EXACT = "decimal(38,19)"
 DECADES = 10
 
 
+def _without_exponent(value: Column) -> Column:
+    """Whether Spark writes a double without an exponent; told from the number, as writing each one out is slow."""
+    size = F.abs(value)
+    return (size == 0) | ((size >= 1e-3) & (size < 1e7))
+
+
 def size_class(value: Column) -> Column:
     """Which ten decades a double is in; NULL for one that is not finite."""
-    text = value.cast("string")
-    power = F.when(text.contains("E"), F.substring_index(text, "E", -1).try_cast("int")).otherwise(0)
-    return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), F.floor((power + 3) / DECADES).cast("int"))
+    power = F.substring_index(value.cast("string"), "E", -1).try_cast("int")
+    return F.when(_without_exponent(value), 0).when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), F.floor((power + 3) / DECADES).cast("int"))
 
 
 def exact_part(value: Column) -> Column:
@@ -34,7 +39,7 @@ def exact_part(value: Column) -> Column:
     text = value.cast("string")
     power = F.substring_index(text, "E", -1).try_cast("int") - DECADES * size_class(value)
     moved = F.concat(F.substring_index(text, "E", 1), F.lit("E"), power.cast("string"))
-    return F.when(text.contains("E"), moved.try_cast(EXACT)).otherwise(value.try_cast(EXACT))
+    return F.when(_without_exponent(value), value.try_cast(EXACT)).otherwise(moved.try_cast(EXACT))
 
 
 def total_of(parts: Column) -> Column:
@@ -47,21 +52,24 @@ def total_of(parts: Column) -> Column:
 def daily_facts(df: DataFrame, dataset: str, sensor: str, metrics: Sequence[str], time: str = "timestamp") -> DataFrame:
     """Observations, distinct sensors, mean, min and max of each metric per day, in long form.
 
-    Readings are summed per (day, sensor, metric), in each task before they are shuffled once; everything else works on those sums. They
+    Readings are summed per (day, metric) in each task, so that what is shuffled for the sums does not grow with the readings; sensors are
+    counted once for all metrics from distinct (day, sensor), the only shuffle that does. Sums
     are exact decimals, one for each ten decades of size, and are turned into a double once at the end, so that a mean, and with it
     a published digest, does not depend on how rows were partitioned or which came first, and large readings that cancel leave
     small ones whole; zeros lose their sign. The mean is kept between the smallest and the largest reading, as rounding alone could take it out. A day
     with a reading that is not finite has mean NaN.
     """
-    lines = df.select(F.to_date(time).alias("day"), F.col(sensor).alias("_sensor"), F.explode(F.array(
+    lines = df.select(F.to_date(time).alias("day"), F.explode(F.array(
         *[F.struct(F.lit(m).alias("metric"), F.when(F.col(m) == 0, 0.0).otherwise(F.col(m).cast("double")).alias("v")) for m in metrics])).alias("m"))
-    lines = lines.select("day", "_sensor", "m.metric", F.col("m.v").alias("v"), size_class(F.col("m.v")).alias("class"))
-    per = lines.groupBy("day", "metric", "_sensor", "class").agg(
+    lines = lines.select("day", "m.metric", F.col("m.v").alias("v"), size_class(F.col("m.v")).alias("class"))
+    per = lines.groupBy("day", "metric", "class").agg(
         F.count("*").alias("n"), F.count("v").alias("c"), F.sum(exact_part(F.col("v"))).alias("sum"), F.min("v").alias("low"), F.max("v").alias("high"))
     stats = per.groupBy("day", "metric").agg(
-        F.sum("n").alias("observations"), F.count_distinct("_sensor").alias("sensors"), F.sum("c").alias("c"), F.count(F.when(F.col("class").isNull() & (F.col("c") > 0), 1)).alias("odd"),
+        F.sum("n").alias("observations"), F.sum("c").alias("c"), F.count(F.when(F.col("class").isNull() & (F.col("c") > 0), 1)).alias("odd"),
         F.min("low").alias("minimum"), F.max("high").alias("maximum"))
-    sums = per.filter(F.col("class").isNotNull()).groupBy("day", "metric", "class").agg(F.sum("sum").alias("sum"))
+    seen = df.select(F.to_date(time).alias("_seen"), F.col(sensor).alias("_sensor")).groupBy("_seen").agg(F.count_distinct("_sensor").alias("sensors"))
+    stats = stats.join(seen, F.col("day").eqNullSafe(F.col("_seen"))).drop("_seen")
+    sums = per.filter(F.col("class").isNotNull()).select("day", "metric", "class", "sum")
     sums = sums.groupBy("day", "metric").agg(F.collect_list(F.struct("class", "sum")).alias("parts"))  # a few dozen classes at most
     sums = sums.select(F.col("day").alias("_day"), F.col("metric").alias("_metric"), "parts")
     mean = F.greatest("minimum", F.least("maximum", F.try_divide(total_of(F.col("parts")), F.col("c").cast("double"))))
