@@ -24,6 +24,9 @@ ROW_BUDGET = 4_000_000
 BROADCAST_KEYS = 20_000
 """Most oversized series that are still replicated to every task; beyond it they are joined by shuffle."""
 
+MANY_CUTS = 64
+"""Cuts of a series among which a row is still looked up one by one."""
+
 SMALL, TIMELESS = -2, -1
 """Slices of series that are not cut, and of the rows without a time in those that are: they come before slice 0."""
 
@@ -75,11 +78,30 @@ class Sliced:
         return out.drop("_own", "_slice")
 
 
+def _slices_by_rank(df: DataFrame, keys: list[str], time: str, big: DataFrame, n_big: int, budget: int) -> DataFrame:
+    """Rows with a ``_slice`` of about ``budget`` rows each, at the same cost for any number of slices.
+
+    Rows of oversized series are dealt to tasks by ranges of (keys, time), and each task counts its rows off within a series.
+    """
+    t = epoch_micros(time)
+    marked = checked_join(df, big.withColumn("_big", F.lit(True)), keys, "left", n_big)
+    # stored, since the ranges come from a sample and must not be drawn twice; small series and rows without a time stay out of them
+    rows = keep(marked)
+    timed = rows.filter(F.col("_big") & t.isNotNull()).drop("_big")
+    others = rows.filter(F.col("_big").isNull() | t.isNull()).withColumn("_slice", F.when(F.col("_big").isNull(), SMALL).otherwise(TIMELESS).cast("long")).drop("_big")
+    tasks = max(2, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), timed.count() // max(1, budget)))
+    dealt = keep(timed.withColumn("_at", t).repartitionByRange(tasks, *keys, "_at").withColumn("_part", F.spark_partition_id()))
+    ahead = F.rank().over(Window.partitionBy(*keys, "_part").orderBy("_at")) - 1  # equal times share a rank
+    number = F.col("_part").cast("long") * (1 << 32) + F.floor(ahead / budget)
+    return keep(dealt.withColumn("_slice", number).drop("_at", "_part").unionByName(others))
+
+
 def slice_series(df: DataFrame, keys: Sequence[str], time: str, budget: int | None = None) -> Sliced:
     """Give rows of oversized series a slice number by time; equal times always share a slice.
 
     The cuts are quantiles of the row times from a mergeable sketch, so slices hold about ``budget`` rows however the times are
-    spread, and a single far date shifts nothing. Where exactly a cut falls does not show in any result. Rows without a time
+    spread, and a single far date shifts nothing. Where cuts are many, looking a row up among them would cost as much as
+    there are, and slices are counted off in time order instead. Where exactly a cut falls does not show in any result. Rows without a time
     form a slice of their own before all others, as they come first in an uncut window.
     """
     keys = list(keys)
@@ -89,6 +111,8 @@ def slice_series(df: DataFrame, keys: Sequence[str], time: str, budget: int | No
     if n_big == 0:
         return Sliced(df, keys, False)
     parts = -(-largest // budget)
+    if parts > MANY_CUTS:
+        return Sliced(_slices_by_rank(df, keys, time, big, n_big, budget), keys, True, n_big)
     points = [i / parts for i in range(1, parts)]
     cuts = (checked_join(df.select(*keys, time), big, keys, "inner", n_big).groupBy(*keys)
             .agg(F.array_distinct(F.coalesce(F.percentile_approx(t, points, 20 * parts), F.array().cast("array<bigint>"))).alias("_cuts")))
