@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from gaugeworks.operators.slices import null_safe_join, row_budget
 from gaugeworks.session import keep
 
-ACCURACY = 10_000
+ACCURACY = 1_000
+"""Accuracy of the sketches that bracket a rank. A task hands on about as many values for each group and column, whatever its rows, and
+a bracket holds four in ACCURACY of a group; what is sorted out of it is exact either way."""
 
 
 def _largest_group(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
@@ -97,9 +100,11 @@ def _bracketed_quantiles(df: DataFrame, keys: list[str], columns: dict[str, tupl
 
     below = joined.groupBy(*marker).agg(*[e for i in range(len(wanted)) for e in (
         F.count(F.when(value(i) < F.col(f"_a{i}"), 1)).alias(f"_b{i}"), F.first(f"_n{i}").alias(f"_n{i}"))])
-    hits = F.filter(F.array(*[F.when(value(i).between(F.col(f"_a{i}"), F.col(f"_z{i}")), F.struct(F.lit(i).alias("i"), value(i).alias("v")))
-                              for i in range(len(wanted))]), lambda h: h.isNotNull())
-    counted = (joined.select(*marker, F.explode(hits).alias("_h")).select(*marker, F.col("_h.i").alias("_i"), F.col("_h.v").alias("_v"))
+    # a bracket of one value needs no rows, and few rows lie in any of the others: the rest go before anything is built of them
+    inside = [(F.col(f"_a{i}") < F.col(f"_z{i}")) & value(i).between(F.col(f"_a{i}"), F.col(f"_z{i}")) for i in range(len(wanted))]
+    held = joined.filter(reduce(lambda a, b: a | b, inside))
+    hits = F.array(*[F.when(hit, F.struct(F.lit(i).alias("i"), value(i).alias("v"))) for i, hit in enumerate(inside)])
+    counted = (held.select(*marker, F.explode(hits).alias("_h")).filter("_h IS NOT NULL").select(*marker, F.col("_h.i").alias("_i"), F.col("_h.v").alias("_v"))
                .groupBy(*marker, "_i", "_v").agg(F.count("*").alias("_c")))
     ranks = below.select(*marker, F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_b{i}").alias("_below"), F.lit(float(p)).alias("_p"),
                          F.col(f"_n{i}").alias("_n")) for i, (_, p) in enumerate(wanted)])).alias("_r")).select(*marker, "_r.*")
@@ -113,7 +118,8 @@ def _bracketed_quantiles(df: DataFrame, keys: list[str], columns: dict[str, tupl
         F.max(F.col("_place") - F.floor("_place")).alias("_part"))
     picked = picked.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part") if rule == "linear" else F.col("_lo"))
     wide_out = picked.groupBy(*marker).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(columns)])
-    out = null_safe_join(spans.select(*marker), wide_out, marker, "left", groups)
+    out = null_safe_join(spans, wide_out, marker, "left", groups).select(*marker, *[
+        F.when(F.col(f"_a{i}") == F.col(f"_z{i}"), F.col(f"_a{i}") + 0.0).otherwise(F.col(f"`{n}`")).alias(n) for i, n in enumerate(columns)])
     return out if keys else out.drop("_all")
 
 
