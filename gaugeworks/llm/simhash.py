@@ -28,14 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import documents, keep, parts_of, rows_per_task, texts
+from gaugeworks.llm import near_copies
+from gaugeworks.llm.common import documents, fresh, keep, parts_of, rows_per_task, texts
 from gaugeworks.llm.components import components, stars
-from gaugeworks.llm.near_copies import keep_one_of_each_group
 
 __all__ = ["fingerprint", "fingerprints", "keep_one_of_each_group", "near_groups", "near_links", "op1_simhash_near_dedup"]
 
 BITS = 64
 SEED = 42
+#: Words of a shingle, and bits in which linked fingerprints may differ.
+WORDS, THRESHOLD = 3, 2
 #: Homes of one anchor that one task compares with the anchor's replicas.
 HOMES = 4096
 #: Crowded anchors that may go to every task as a list.
@@ -204,6 +206,20 @@ def near_groups(docs: DataFrame, words_each: int, threshold: int, width: int = 1
     return own.join(linked.unionByName(alone), marks).select("doc_id", *marks, "component_id")
 
 
+def keep_one_of_each_group(docs: DataFrame, words_each: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each group of near copies the one with the smallest doc_id.
+
+    Groups are those of the fingerprints, as in op1, joined with those of exact shingle sets (``near_copies``), since fingerprints alone miss
+    many pairs at a similarity of 0.8. Rows with a null doc_id stay, and so do repeated rows of the one that stays.
+    """
+    marked = near_groups(docs, words_each=WORDS, threshold=THRESHOLD).select("doc_id", "component_id")
+    links = marked.unionByName(near_copies.near_groups(docs, words_each)).filter("doc_id <> component_id")
+    found = components(keep(links.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct()))
+    gone = fresh(docs, "gone")
+    going = found.filter("node <> root").select(F.col("node").alias(gone))
+    return docs.join(going, docs["doc_id"].cast("long") == going[gone], "left_anti")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = near_groups(documents(spark, sf_dir), words_each=3, threshold=2)
+    groups = near_groups(documents(spark, sf_dir), words_each=WORDS, threshold=THRESHOLD)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("mark0")), 16, "0").alias("fingerprint"), "component_id")
