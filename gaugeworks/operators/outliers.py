@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.columns import any_of, flag, is_finite, ratio
 from gaugeworks.operators.quantiles import exact_quantiles, quantile_values
 from gaugeworks.operators.slices import BROADCAST_KEYS, checked_join
+from gaugeworks.session import keep
 
 # Physical limits per dataset; a flag column maps to (column, low, high).
 DOMAIN_LIMITS = {
@@ -149,8 +150,9 @@ def treat(df: DataFrame, strategy: str = "cap", flags: Sequence[str] | None = No
                 held = F.greatest(F.lit(a), F.least(F.lit(z), F.col(source)))
                 out = out.withColumn(f"{c}_capped", F.when(flag(F.col(f)) & F.col(source).isNotNull(), held).otherwise(F.col(source)))
         return out
-    kept = df.select(*[F.when(F.col(f) == F.lit(False), F.col(c)).alias(f"_k{i}") for i, (f, c) in enumerate(pairs)],
-                     *[F.col(f).cast("int").alias(f"_f{i}") for i, (f, _) in enumerate(pairs)])
+    # stored: medians go through these several times, and flags come from statistics of whole groups
+    kept = keep(df.select(*[F.when(F.col(f) == F.lit(False), F.col(c)).alias(f"_k{i}") for i, (f, c) in enumerate(pairs)],
+                     *[F.col(f).cast("int").alias(f"_f{i}") for i, (f, _) in enumerate(pairs)]))
     hit = kept.agg(*[F.max(f"_f{i}").alias(f"_f{i}") for i in range(len(pairs))]).first()
     middles = quantile_values(kept, {f"m{i}": (f"_k{i}", .5) for i in range(len(pairs))}, budget=budget)
     out = df
