@@ -8,12 +8,17 @@ meeting point; sets with so many empty segments that they alone could make the d
 Unlike a rare word, a whole segment is seldom shared by texts that are not near copies, so common phrases gather no crowds.
 What is shuffled is (point, node), and of rows of one batch that meet only the first, with links to it.
 
-Sets that meetings connect are compared in tiles. A tile sorts its sets by size, so that each set has a band of partners. A
-hashed bitmap of each set gives, by the bits in which two differ, an upper bound of their overlap; pairs that pass are
-decided by intersecting the sorted arrays, unless they are connected already. A small candidate set is one tile. In a
-crowded one every member is first compared with one of them; members that are not near it are then compared with all members
-of their own and the neighbouring size band, in tiles of bounded lots. The pairs left out are both linked to that one,
-so the links found connect exactly what all links connect. The work in a crowded set is its members times those not near the first.
+Sets that meetings connect are compared in tiles, to which the texts go, since a text takes less room than its set. A tile
+sorts its sets by size, so that each set has a band of partners. A hashed bitmap of each set gives, by the bits in which two
+differ, an upper bound of their overlap; pairs that pass are decided by intersecting the sorted arrays, unless they are connected
+already. A small candidate set is one tile.
+
+In a crowded one, sets are first held against each other by parities: bits that each value of a set turns over, an eighth of the
+set at most. Parities of two sets differ in no more bits than the sets in values, so no link is lost. Rounds follow: every member
+names the partners that its parities allow and that it is not connected with; those pairs are decided on the texts, a text
+going to the one it named and nowhere else; what is connected by then, or was found not to be linked, is not named again. Members without
+a partner to name are done. A round lets each member name four times as many partners as the last. So only parities are copied to
+many tiles, and texts are moved once for each partner that is named.
 
 Sets are of 64-bit hashes; texts with equal sets are one node.
 
@@ -24,6 +29,7 @@ in it are null; repeated rows get equal results; very long texts are whole; an e
 
 from __future__ import annotations
 
+import gc
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
@@ -31,11 +37,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import documents, forget, keep, parts_of, rows_per_task, texts, whole_text
-from gaugeworks.llm.components import components
+from gaugeworks.llm.components import components, stars
 
 #: Words of a shingle.
 WORDS = 3
@@ -48,6 +54,10 @@ LOT, LOT_VALUES = 512, 1 << 17
 CHUNK = 1 << 20
 #: Rows up to which candidates go to every task as a list.
 FEW = 1_000_000
+#: Links whose components the driver finds.
+FEW_LINKS = 1 << 18
+#: Lots of parities are so many times as large.
+WIDER = 16
 #: Bands of sizes are this many times as wide as they are low.
 BAND = 10 / 9
 
@@ -151,13 +161,31 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[pa.RecordBatch]:
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node once a task: repeated rows have the same one."""
+    seen = set()
     for batch in batches:
-        own = [shingle_set(t, words_each).astype(np.int64) for t in batch.column("text").to_pylist()]
-        ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
-        found = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), batch.column("n"), batch.column("lots"), found],
-                                         names=["node", "root", "n", "lots", "own"])
+        new = [i for i, node in enumerate(batch.column("node").to_pylist()) if not (node in seen or seen.add(node))]
+        yield batch.take(pa.array(new, pa.int64()))
+
+
+def parity_bits(n: int) -> int:
+    return max(64, 1 << int(4 * n - 1).bit_length())
+
+
+def parities(own: np.ndarray) -> bytes:
+    """Bits that are set where an odd number of values fall."""
+    bits = parity_bits(len(own))
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _parity_rows(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t, words_each) for t in batch.column("text").to_pylist()]
+        assert list(map(len, sets)) == batch.column("n").to_pylist(), "two texts have one line number"
+        bits = [parities(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "n")), pa.array(bits, pa.binary())], names=["node", "root", "n", "bits"])
 
 
 def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -208,36 +236,96 @@ def tile_links(node: np.ndarray, sets: list[np.ndarray], home: np.ndarray, settl
     return out
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], star: bool) -> Iterator[pa.RecordBatch]:
-    """Links of all tiles; rows (root, tile, home, settled, node, own) come sorted by root and tile."""
-
-    def links(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-        rows = [[c for p in parts for c in p.column(name).to_pylist()] for name in ("node", "home", "settled")]
-        sets = []
-        for p in parts:
-            lists = p.column("own")
-            values, ends = lists.flatten().to_numpy().astype(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
-            sets += np.split(values, ends[:-1])
-        if len(sets) < 2:
-            return []
-        return tile_links(np.array(rows[0], np.int64), sets, np.array(rows[1], bool), np.array(rows[2], bool), star)
-
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each root and tile; rows come sorted by these."""
     held, last = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
         root, tile = (batch.column(c).to_numpy() for c in ("root", "tile"))
         edges = [0, *(np.flatnonzero((root[1:] != root[:-1]) | (tile[1:] != tile[:-1])) + 1).tolist(), batch.num_rows]
-        found = []
         for a, b in zip(edges, edges[1:]):  # noqa: B905
             if held and (root[a], tile[a]) != last:
-                found += links(held)
+                yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(a, b - a))
             last = root[a], tile[a]
-        yield _pairs(found)
     if held:
-        yield _pairs(links(held))
+        yield pa.Table.from_batches(held)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[pa.RecordBatch]:
+    """Links of all tiles; rows (root, tile, node, text) come sorted by root and tile."""
+    for rows in _groups(batches):
+        own = dict(zip(rows["node"].to_pylist(), rows["text"].to_pylist(), strict=True))
+        if len(own) > 1:
+            yes = np.ones(len(own), bool)
+            yield _pairs(tile_links(np.fromiter(own, np.int64, len(own)), [shingle_set(t, words_each) for t in own.values()], yes, ~yes))
+
+
+def closest(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, other, label of other, unsure) of up to ``width`` partners of each home row that parities allow.
+
+    Left out are partners of the same label and those in a node's list ``apart``. Those well within the bound come first, then
+    small labels, so that members of one group name the same partner.
+    """
+    rows = rows.take(np.argsort(rows["n"].to_numpy(), kind="stable")).combine_chunks()
+    node, size, label, home = (rows[c].to_numpy() for c in ("node", "n", "label", "home"))
+    home = home.astype(bool)
+    beside = home if home.all() else ~home
+    refuted, texts_of = rows["apart"].to_pylist(), rows["bits"].to_pylist()
+    own = np.fromiter((len(t) * 8 for t in texts_of), np.int64, len(rows))
+    ends, held = {}, {}
+    for bits in np.unique(own).tolist():
+        start, mid, end = (int(np.searchsorted(own, x)) for x in (bits, 2 * bits, 4 * bits))
+        ends[bits] = start, mid
+        same = [np.frombuffer(t, np.uint64) for t in texts_of[start:mid]]
+        folded = [x[:len(x) // 2] ^ x[len(x) // 2:] for x in (np.frombuffer(t, np.uint64) for t in texts_of[mid:end])]
+        held[bits] = start, end, np.stack(same + folded)
+    found = []
+    for i in np.flatnonzero(home).tolist():
+        low, high = int(np.searchsorted(size, -(-size[i] * 9 // 10))), int(np.searchsorted(size, size[i] * 10 // 9, "right"))
+        for bits in (int(own[i]) // 2, int(own[i])):
+            if bits not in held:
+                continue
+            start, end, maps = held[bits]
+            stop = min(high, ends[bits][1] if bits < own[i] else end)
+            step = max(1, CHUNK // maps.shape[1])
+            for at in range(max(low, start), stop, step):
+                some = slice(at, min(at + step, stop))
+                differ = np.bitwise_count(maps[some.start - start:some.stop - start] ^ maps[i - start]).sum(1, dtype=np.int64)
+                both = size[some] + size[i]
+                j = np.flatnonzero((differ * 19 <= both) & beside[some] & (label[some] != label[i]))
+                if refuted[i] and len(j):
+                    j = j[~np.isin(node[some][j], refuted[i])]
+                if len(j):
+                    unsure = differ[j] * 24 > both[j]
+                    best = np.lexsort((node[some][j], label[some][j], unsure))[:width]
+                    found.append((np.full(len(best), node[i]), node[some][j[best]], label[some][j[best]], unsure[best]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _closest_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for rows in _groups(batches):
+        if rows.num_rows > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in closest(rows, width)], names=["node", "other", "its_label", "unsure"])
+
+
+def _judged(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[pa.RecordBatch]:
+    """Whether the other rows of a tile are linked with its home row, which comes first."""
+    last = first = None
+    for batch in batches:
+        out = []
+        for root, tile, home, node, text in rows_per_task([batch], ("root", "tile", "home", "node", "text")):
+            if home:
+                if last != (root, tile):
+                    last, first = (root, tile), shingle_set(text, words_each)
+            else:
+                out.append((node, root, linked(first, shingle_set(text, words_each))))
+        a, b, yes = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(yes, pa.bool_())], names=["a", "b", "yes"])
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -250,21 +338,37 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def in_tiles(rows: DataFrame, star: bool = False) -> DataFrame:
-    """Links found in tiles of ``rows`` (root, tile, home, settled, node, own)."""
-    dealt = rows.repartition(parts_of(rows.sparkSession), "root", "tile").sortWithinPartitions("root", "tile")
-    return dealt.mapInArrow(partial(_tiles, star=star), "a bigint, b bigint")
+def by_tile(rows: DataFrame, *order) -> DataFrame:
+    """``rows`` (root, tile, ...) sorted for the functions that go through tiles."""
+    return rows.repartition(parts_of(rows.sparkSession), "root", "tile").sortWithinPartitions("root", "tile", *order)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs stay until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def joined(links: DataFrame) -> DataFrame:
+    """node, root: the smallest node that ``links`` (a, b; stored) lead to; a short list is worked out at once."""
+    if links.count() > FEW_LINKS:
+        return components(links)
+    some = links.select(F.col("a").cast("long"), F.col("b").cast("long")).toArrow()
+    node, root = stars(some["a"].to_numpy(), some["b"].to_numpy())
+    own = np.unique(root)
+    found = pa.table({"node": pa.array(np.concatenate([node, own]), pa.int64()), "root": pa.array(np.concatenate([root, own]), pa.int64())})
+    return links.sparkSession.createDataFrame(found)
 
 
 def candidates_of(nodes: DataFrame) -> DataFrame:
     """Stored node, root: which of ``nodes`` (stored: node, points) are connected by meetings."""
     met = nodes.select("node", "points").mapInArrow(_point_rows, "point bigint, node bigint")
-    met = met.repartition(parts_of(nodes.sparkSession), "point").sortWithinPartitions("point")
-    return keep(components(met.mapInArrow(_meetings, "a bigint, b bigint")))
+    met = met.repartition(parts_of(nodes.sparkSession), "point").sortWithinPartitions("point", "node")
+    return keep(joined(keep(met.mapInArrow(_meetings, "a bigint, b bigint").distinct())))
 
 
-def _lots(rows: str, values: str):
-    return F.ceil(F.greatest(F.col(rows) / LOT, F.col(values) / LOT_VALUES))
+def _lots(rows: str, values: str, wider: int = 1):
+    return F.ceil(F.greatest(F.col(rows) / (LOT * wider), F.col(values) / (LOT_VALUES * wider)))
 
 
 def _each(n):
@@ -272,46 +376,98 @@ def _each(n):
     return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
 
-def _dealt(n):
-    return F.pmod(F.xxhash64("node"), n)
-
-
-def crowded_links(members: DataFrame) -> DataFrame:
-    """Links in candidate sets of more than one lot; ``members`` is stored (node, root, n, lots, own)."""
-    no = F.lit(False)
-    first = members.filter("node = root").select("root", _each(F.col("lots")).alias("tile"), F.lit(True).alias("home"), no.alias("settled"), "node", "own")
-    beside = members.filter("node <> root").select("root", _dealt(F.col("lots")).alias("tile"), no.alias("home"), no.alias("settled"), "node", "own")
-    star = keep(in_tiles(first.unionByName(beside), star=True))
-    near = keep(star.select(F.col("a").alias("node"), F.lit(True).alias("settled")).distinct())
-    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("long")
-    rest = keep(members.filter("node <> root").withColumn("band", band).join(few(near), "node", "left")
-                .select("root", "band", "node", "n", "own", F.coalesce("settled", F.lit(False)).alias("settled")))
-    sizes = rest.groupBy("root", "band", "settled").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("values"))
-    loose = sizes.filter("not settled").select("root", F.col("band").alias("home_band"), _lots("rows", "values").alias("homes"))
-    bands = sizes.groupBy("root", "band").agg(F.sum("rows").alias("rows"), F.sum("values").alias("values")).select("root", "band", _lots("rows", "values").alias("lots"))
-    beside = loose.join(bands.withColumnRenamed("root", "of"), (F.col("root") == F.col("of")) & (F.abs(F.col("band") - F.col("home_band")) <= 1)).drop("of")
-    beside = few(keep(beside))  # a row per crowded set and pair of neighbouring bands
+def _dealt(n, column: str = "node"):
+    return F.pmod(F.xxhash64(column), n)
+
+
+def parity_lots(bits: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``bits`` (stored) with the lots of its whole root; of roots with more than one, the pairs of neighbouring size bands and their lots."""
+    totals = bits.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("values"))
+    totals = few(keep(totals.select("root", _lots("rows", "values", WIDER).alias("all"))))
+    rows = bits.join(totals, "root").withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("long"))
+    if not totals.filter("all > 1").head(1):
+        return rows, None
+    bands = rows.filter("all > 1").groupBy("root", "band").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("values"))
+    bands = keep(bands.select("root", "band", _lots("rows", "values", WIDER).alias("lots")))
+    other = bands.select(F.col("root").alias("of"), F.col("band").alias("home_band"), F.col("lots").alias("homes"))
+    beside = bands.join(other, (F.col("root") == F.col("of")) & (F.abs(F.col("band") - F.col("home_band")) <= 1)).drop("of")
+    return rows, few(keep(beside))  # a row per crowded set and pair of neighbouring bands
+
+
+def parity_tiles(active: DataFrame, beside: DataFrame | None) -> DataFrame:
+    """Rows (root, tile, home, ...) in which every two members of neighbouring size bands meet."""
+    no, yes = F.lit(False), F.lit(True)
+    what = ["node", "n", "bits", "label", "apart"]
+    whole = active.filter("all = 1").select("root", F.lit(0).cast("long").alias("tile"), yes.alias("home"), *what)
+    if beside is None:
+        return whole
+    rows = active.filter("all > 1")
     tile = F.xxhash64("home_band", "band", "home_lot", "lot").alias("tile")
-    homes = rest.filter("not settled").withColumnRenamed("band", "home_band").join(beside, ["root", "home_band"])
+    homes = rows.withColumnRenamed("band", "home_band").join(beside, ["root", "home_band"])
     homes = homes.withColumn("home_lot", _dealt(F.col("homes"))).withColumn("lot", _each(F.col("lots")))
-    visitors = rest.join(beside, ["root", "band"]).withColumn("lot", _dealt(F.col("lots"))).withColumn("home_lot", _each(F.col("homes")))
-    rows = homes.select("root", tile, F.lit(True).alias("home"), no.alias("settled"), "node", "own").unionByName(
-        visitors.select("root", tile, no.alias("home"), "settled", "node", "own"))
-    return star.unionByName(in_tiles(rows))
-
-
-def linked_nodes(docs: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
-    """Links (a, b) that connect what all links of ``nodes`` (stored: node, line, n, points) connect."""
-    candidates = candidates_of(nodes)
+    visitors = rows.join(beside, ["root", "band"]).withColumn("lot", _dealt(F.col("lots"))).withColumn("home_lot", _each(F.col("homes")))
+    return whole.unionByName(homes.select("root", tile, yes.alias("home"), *what)).unionByName(visitors.select("root", tile, no.alias("home"), *what))
+
+
+def judged_pairs(members: DataFrame, named: DataFrame, words_each: int) -> DataFrame:
+    """Stored (a, b, yes) of the pairs ``named`` (stored: node, other, n): texts go to the partner they named, dealt to bounded lots."""
+    lots = named.groupBy("other").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("values")).select("other", _lots("rows", "values").alias("lots"))
+    beside = named.join(lots, "other").select("node", F.col("other").alias("root"), _dealt(F.col("lots")).alias("tile"), F.lit(False).alias("home"))
+    homes = lots.select(F.col("other").alias("node"), F.col("other").alias("root"), _each(F.col("lots")).alias("tile"), F.lit(True).alias("home"))
+    wanted = beside.unionByName(homes)  # less than twice as many rows as named
+    wanted = F.broadcast(wanted) if 2 * named.count() <= FEW else wanted
+    rows = by_tile(members.select("node", "text").join(wanted, "node"), F.desc("home"))
+    return keep(rows.mapInArrow(partial(_judged, words_each=words_each), "a bigint, b bigint, yes boolean"))
+
+
+def crowded_links(members: DataFrame, words_each: int) -> DataFrame:
+    """Links in candidate sets of more than one lot; ``members`` is stored (node, root, n, text)."""
+    spark, none = members.sparkSession, F.array().cast("array<bigint>")
+    schema = "node bigint, root bigint, n bigint, bits binary"
+    bits = keep(members.mapInArrow(partial(_parity_rows, words_each=words_each), schema).dropDuplicates(["node"]))
+    rows, beside = parity_lots(bits)
+    active = rows.withColumn("label", F.col("node")).withColumn("apart", none)
+    pairs, width = None, 1
+    while True:
+        found = by_tile(parity_tiles(active, beside)).mapInArrow(partial(_closest_rows, width=width), "node bigint, other bigint, its_label bigint, unsure boolean")
+        place = F.row_number().over(Window.partitionBy("node").orderBy("unsure", "its_label", "other"))
+        named = keep(found.withColumn("place", place).filter(F.col("place") <= width).join(bits.select("node", "n"), "node").select("node", "other", "n"))
+        if not named.head(1):
+            break
+        judged = judged_pairs(members, named, words_each)
+        pairs = judged if pairs is None else pairs.unionByName(judged)
+        label = few(joined(pairs.filter("yes").select("a", "b"))).withColumnRenamed("root", "label")
+        no = pairs.filter("not yes").select("a", "b")
+        apart = no.unionByName(no.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("apart"))
+        again = rows.join(few(named.select("node")), "node", "left_semi").join(label, "node", "left").join(apart, "node", "left")
+        active = again.withColumn("label", F.coalesce("label", "node")).withColumn("apart", F.coalesce("apart", none))
+        drop_shuffles(spark)
+        width *= 4
+    forget(bits)
+    return spark.createDataFrame([], "a bigint, b bigint") if pairs is None else pairs.filter("yes").select("a", "b")
+
+
+def linked_nodes(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, words_each: int) -> DataFrame:
+    """Links (a, b) that connect what all links of ``nodes`` (stored: node, line, n) connect; ``candidates`` is stored (node, root)."""
     own = candidates.join(nodes.select("node", "line", "n"), "node")
     size = candidates.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("values"))
     wanted = keep(own.join(size.select("root", _lots("rows", "values").alias("lots")), "root"))
-    lines = texts(docs, line_of().alias("line")).join(few(wanted), "line").select("node", "root", "n", "lots", "text")
-    members = keep(lines.mapInArrow(partial(_sets, words_each=words_each), "node bigint, root bigint, n bigint, lots bigint, own array<bigint>").dropDuplicates(["node"]))
-    small = members.filter("lots = 1").select("root", F.lit(0).cast("long").alias("tile"), F.lit(True).alias("home"), F.lit(False).alias("settled"), "node", "own")
-    found = in_tiles(small)
-    crowded = members.filter("lots > 1")
-    return found.unionByName(crowded_links(crowded)) if crowded.head(1) else found
+
+    def rows(which: str) -> DataFrame:
+        lines = texts(docs, line_of().alias("line")).join(few(wanted.filter(which).drop("lots")), "line").select("node", "root", "n", "text")
+        return lines.mapInArrow(_once, "node bigint, root bigint, n bigint, text binary")
+
+    small = by_tile(rows("lots = 1").select("root", F.lit(0).cast("long").alias("tile"), "node", "text"))
+    found = small.mapInArrow(partial(_tiles, words_each=words_each), "a bigint, b bigint")
+    if not wanted.filter("lots > 1").head(1):
+        return found
+    found = keep(found)
+    drop_shuffles(docs.sparkSession)
+    members = keep(rows("lots > 1"))
+    drop_shuffles(docs.sparkSession)
+    crowded = crowded_links(members, words_each)
+    forget(members)
+    return found.unionByName(crowded)
 
 
 def line_of():
@@ -325,8 +481,15 @@ def jaccard_groups(docs: DataFrame, words_each: int = WORDS) -> DataFrame:
     own = keep(texts(docs, line_of().alias("line")).mapInArrow(partial(_sketches, words_each=words_each), schema))
     same = own.filter("n > 0").groupBy("mark0", "mark1").agg(
         F.min("doc_id").alias("first_id"), F.min("line").alias("line"), F.min("n").alias("n"), F.first("points").alias("points"))
-    nodes = keep(same.withColumn("node", F.monotonically_increasing_id()))
-    roots = keep(components(linked_nodes(docs, nodes, words_each)))
+    met = keep(same.withColumn("node", F.monotonically_increasing_id()))
+    drop_shuffles(docs.sparkSession)
+    wide, own = own, keep(own.drop("points"))
+    forget(wide)
+    candidates = candidates_of(met)
+    nodes = keep(met.drop("points"))
+    forget(met)
+    drop_shuffles(docs.sparkSession)
+    roots = keep(joined(keep(linked_nodes(docs, nodes, candidates, words_each))))
     named = nodes.select("mark0", "mark1", "node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     groups = keep(named.join(smallest, "root").select("mark0", "mark1", "component_id"))

@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd import empty, prose, table
 
 from gaugeworks.llm import jaccard_join
-from gaugeworks.llm.jaccard_join import bitmaps, jaccard_groups, linked, meeting_points, shingle_set, tile_links
+from gaugeworks.llm.jaccard_join import bitmaps, closest, jaccard_groups, linked, meeting_points, parities, parity_bits, shingle_set, tile_links
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -131,3 +132,40 @@ def test_shingles():
     assert len(shingle_set(b" A b\tC d ")) == 2 and (shingle_set(b"a B c D") == shingle_set(b"A b  C d")).all()
     assert len(shingle_set(b"")) == 0 and len(shingle_set(b"x y")) == 1
     assert shingle_set("É".encode())[0] != shingle_set("é".encode())[0]
+
+
+def shuffled(spark):
+    """Bytes written to shuffles by all stages so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_crowded_long_texts_are_not_copied_to_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LOT_VALUES", 1 << 14)  # read by the driver only
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefgilmnorst") for _ in range(5)) for _ in range(400)]
+    base = prose(rng, 3000, vocabulary)
+    rows = [(i, changed(rng, base, rng.randint(20, 50), vocabulary)) for i in range(60)]
+    docs, before = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2), shuffled(spark)
+    found = got(docs)
+    moved = shuffled(spark) - before
+    assert found == brute(rows)
+    assert moved < 3 * 8 * sum(n for _, n, _ in found), moved
+
+
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(8)
+    sets = []
+    for size in (12, 60, 120, 127, 128, 130, 400):
+        base = rng.integers(0, 1 << 64, size, np.uint64, endpoint=False)
+        for less in range(0, size // 6, max(1, size // 40)):
+            sets.append(np.unique(np.concatenate([base[less:], rng.integers(0, 1 << 64, less // 2, np.uint64, endpoint=False)])))
+    many = len(sets)
+    rows = pa.table({"node": np.arange(many), "n": [len(s) for s in sets], "label": np.arange(many), "home": np.ones(many, bool),
+                     "bits": pa.array([parities(s) for s in sets], pa.binary()), "apart": pa.array([[]] * many, pa.list_(pa.int64()))})
+    node, other, _, _ = closest(rows, many)
+    named = set(zip(node.tolist(), other.tolist(), strict=True))
+    want = {(i, j) for i in range(many) for j in range(many) if i != j and linked(sets[i], sets[j])}
+    assert len({parity_bits(len(s)) for s in sets}) > 3 and want and want <= named
+    assert len(closest(rows.set_column(rows.schema.get_field_index("label"), "label", pa.array(np.zeros(many, np.int64))), many)[0]) == 0
